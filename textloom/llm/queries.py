@@ -10,6 +10,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: (host, path, verdict); fixed values of the query.
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.urls import judge_urls
+
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.chat import format_chats, log_of, read_back
+
+    same = "</s>[INST] ok [/INST]"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", same), (-1, 1, "assistant", same)], "conv_id long, turn long, role string, text string")
+    return read_back(format_chats(log_of(rows.unionByName(more))))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.packing import pack_documents
 
@@ -28,9 +48,38 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op6_packing, op7_mixing, op8_token_output)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op6_packing, op7_mixing, op8_token_output)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": r"""
+with rest as (
+  select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as r from pages),
+parts as (
+  select page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path
+  from rest),
+rules(rhost, rpath, rverdict) as (
+  values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fits as (
+  select p.*, rhost || rpath as rule, rverdict,
+         row_number() over (partition by page_id order by length(rhost || rpath) desc nulls last, length(rhost) desc) as n
+  from parts p left join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath))
+select page_id, host, path, rule, coalesce(rverdict, 'allow') as verdict from fits where n = 1""",
+    "op2_chat_formatting": r"""
+with logs as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+marked as (
+  select *, replace(text, '␛', '␛␛') as m from logs),
+escaped as (
+  select *, length(regexp_replace(m, '(<)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|startoftext\|>|\|system\|>|\|user\|>|\|assistant\|>|\|eot_id\|>|\|start_header_id\|>|\|end_header_id\|>|s>|/s>|unk>|pad>|<SYS>>|</SYS>>)|(\[)(INST\]|/INST\])', '\1\3␛\2\4', 'g')) as n
+  from marked)
+select conv_id, count(*)::bigint as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(length('<|im_start|>') + length(role) + 1 + n + length('<|im_end|>') + 1)::bigint as formatted_chars
+from escaped group by conv_id""",
     "op7_mixing": r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
