@@ -30,6 +30,20 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(log_of(rows.unionByName(more))))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.rules import judge_quality, learn_rules
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = judge_quality(docs, learn_rules(docs, _table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.perplexity import classify
+
+    return classify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.packing import pack_documents
 
@@ -48,7 +62,7 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op6_packing, op7_mixing, op8_token_output)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op4_quality_rules, op5_quality_classifier, op6_packing, op7_mixing, op8_token_output)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": r"""
