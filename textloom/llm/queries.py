@@ -62,7 +62,13 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op4_quality_rules, op5_quality_classifier, op6_packing, op7_mixing, op8_token_output)}
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.setjoin import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op4_quality_rules, op5_quality_classifier, op6_packing, op7_mixing, op8_token_output, op9_ngram_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": r"""
