@@ -68,7 +68,13 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op4_quality_rules, op5_quality_classifier, op6_packing, op7_mixing, op8_token_output, op9_ngram_jaccard_join)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.brown import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op4_quality_rules, op5_quality_classifier, op6_packing, op7_mixing, op8_token_output, op9_ngram_jaccard_join, op10_lm_scoring)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": r"""
