@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,12 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(log_of(rows.unionByName(more))))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.neighbours import search
+
+    return search(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 100 == 0, k=10)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.rules import judge_quality, learn_rules
 
@@ -74,7 +81,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op4_quality_rules, op5_quality_classifier, op6_packing, op7_mixing, op8_token_output, op9_ngram_jaccard_join, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_nearest_neighbours, op4_quality_rules, op5_quality_classifier, op6_packing, op7_mixing, op8_token_output, op9_ngram_jaccard_join, op10_lm_scoring)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": r"""
@@ -106,6 +113,16 @@ select conv_id, count(*)::bigint as n_turns,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
        sum(length('<|im_start|>') + length(role) + 1 + n + length('<|im_end|>') + 1)::bigint as formatted_chars
 from escaped group by conv_id""",
+    "op3_nearest_neighbours": r"""
+with sound as (
+  select distinct vec_id, embedding::double[] as v from embeddings
+  where embedding is not null and len(embedding) = len(list_filter(embedding, lambda x: x is not null and isfinite(x)))
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs as (
+  select q.vec_id as query_id, r.vec_id as vec_id, list_distance(q.v, r.v) as score
+  from sound q join sound r on q.vec_id <> r.vec_id where q.vec_id % 100 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score, vec_id) as rank from pairs)
+select query_id, rank::int as rank, vec_id, score from ranked where rank <= 10""",
     "op7_mixing": r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
