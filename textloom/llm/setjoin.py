@@ -12,7 +12,8 @@ A document's set is its distinct 5-word shingles (64-bit hashes).  Equal sets ar
    merged to components.
 4. Answers derived.  In each list only pairs across components are left.  Block skips by size and
    by position in the order, and the members' known distances to the leader (Jaccard distance is
-   a metric, so ``|d(x,l) - d(y,l)|`` bounds ``d(x,y)`` from below) settle most; the rest is compared.
+   a metric, so ``|d(x,l) - d(y,l)|`` bounds ``d(x,y)`` from below) settle most.  A set whose pairs
+   stay open asks the other component: its members under the same leader, until one links.
 
 Comparing moves texts, not sets: compressed text is smaller than its hashes.  A leader's members
 are dealt over several groups with a copy of the leader each.  Groups of copies thus cost one
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
@@ -38,7 +39,7 @@ from textloom.llm.storage import small, written
 from textloom.llm.words import Words, mix, pieces, shingles
 
 CELLS = 1 << 24
-MEMBERS = 400
+MEMBERS, ASKERS = 400, 200
 _SEND_WHOLE = 500_000
 
 
@@ -158,14 +159,18 @@ def lists(prefix: DataFrame) -> DataFrame:
     return prefix.repartition(partitions, "h").sortWithinPartitions("h", "sig").mapInArrow(task, "h long, leader long, leader_n int, sig long, n int, pos int")
 
 
+def texts_of(sigs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """sig, text of one document for each of ``sigs`` (sig); nodes: sig, doc_id."""
+    needed = small(sigs.distinct().join(nodes, "sig").select("sig", F.col("doc_id").alias("_id")))
+    # sent whole only if they are few
+    wanted = F.broadcast(needed) if needed.count() <= _SEND_WHOLE else needed
+    return written(docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_id"))).select("sig", "text"), "texts")
+
+
 def compare(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``common``, the size of the intersection; nodes: sig, doc_id of one document each."""
-    spark = pairs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    needed = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(nodes, "sig").select("sig", "doc_id")
-    needed = small(needed)
-    texts = docs.join(F.broadcast(needed) if needed.count() <= _SEND_WHOLE else needed, docs["doc_id"].eqNullSafe(needed["doc_id"])).select("sig", "text")
-    texts = written(texts, "texts")
+    """``pairs`` (a, b) with ``common``, the size of the intersection; best where many pairs share their a."""
+    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = texts_of(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")), docs, nodes)
     deal = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("groups"))
     members = pairs.join(deal, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("sig"))
     leaders = deal.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("sig"))
@@ -177,7 +182,7 @@ def compare(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             a, part, role, sig = _arrays(batch, ("a", "part", "role", "sig"))
             found = []
             for k, own in enumerate(_sets(batch)):
-                if _signature(own) != sig[k]:
+                if not len(own) or _signature(own) != sig[k]:
                     continue  # another text under the same id
                 if role[k] == 0:
                     key, leader = (a[k], part[k]), own
@@ -192,25 +197,38 @@ def compare(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return small(dealt.mapInArrow(task, "a long, b long, common long").distinct())
 
 
-def open_pairs(known: DataFrame) -> DataFrame:
-    """Pairs (a, b) across components that sizes, positions and leaders' distances leave open."""
+def open_questions(known: DataFrame) -> DataFrame:
+    """leader, component, sig: sets that sizes, positions and distances to the leader leave open towards a component.
+
+    Of two components that meet in a list, the one with fewer sets there asks.
+    """
     partitions = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ("h", "leader", "sig", "n", "pos", "component", "distance")
 
-    def pairs_of(leader: int, sig: np.ndarray, n: np.ndarray, pos: np.ndarray, part: np.ndarray, distance: np.ndarray) -> Iterator[np.ndarray]:
+    def asked(leader: int, sig: np.ndarray, n: np.ndarray, pos: np.ndarray, part: np.ndarray, distance: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if (part == part[0]).all():
             return
         rest = sig != leader  # compared with everyone already
-        sig, n, pos, part, distance = sig[rest], n[rest].astype(np.int64), pos[rest], part[rest], distance[rest]
+        sig, n, pos, part, distance = sig[rest], n[rest].astype(np.int64), pos[rest].astype(np.int64), part[rest], distance[rest]
+        if not len(sig):
+            return
         block = np.searchsorted(n, n * 5 // 4, "right")  # sizes up to n / 0.8
+        _, group, size = np.unique(part, return_inverse=True, return_counts=True)
+        size = size[group]
         for i in range(len(sig) - 1):
             j = slice(i + 1, block[i])
             most = 1 + np.minimum(n[i] - 1 - pos[i], n[j] - 1 - pos[j])
             ok = (part[j] != part[i]) & (9 * most >= 4 * (n[i] + n[j]))
             ok &= ~(np.abs(distance[j] - distance[i]) > 0.2 + 1e-9)  # unknown distances settle nothing
             if ok.any():
-                other = sig[j][ok]
-                yield np.stack([np.minimum(other, sig[i]), np.maximum(other, sig[i])])
+                other = i + 1 + np.flatnonzero(ok)
+                self_asks = (size[i] < size[other]) | (size[i] == size[other]) & (part[i] < part[other])
+                if self_asks.any():
+                    towards = np.unique(part[other[self_asks]])
+                    yield np.full(len(towards), sig[i]), towards
+                if not self_asks.all():
+                    askers = sig[other[~self_asks]]
+                    yield askers, np.full(len(askers), part[i])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -218,10 +236,15 @@ def open_pairs(known: DataFrame) -> DataFrame:
         def close() -> Iterator[pa.RecordBatch]:
             h, leader, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
             cuts = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))
-            found = [p for a, b in zip(cuts[:-1], cuts[1:], strict=True) for p in pairs_of(leader[a], *(c[a:b] for c in rest))]
+            found = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                own = list(asked(leader[a], *(c[a:b] for c in rest)))
+                if own:
+                    who, whom = (np.concatenate(c) for c in zip(*own, strict=True))
+                    found.append(np.unique(np.stack([np.full(len(who), leader[a]), whom, who]), axis=1))
             if found:
-                both = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                out = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["leader", "component", "sig"])
 
         for batch in batches:
             own = _arrays(batch, names)
@@ -229,6 +252,9 @@ def open_pairs(known: DataFrame) -> DataFrame:
                 continue
             if own[0][0] != own[0][-1]:
                 cut = int(np.searchsorted(own[0], own[0][-1]))
+                if held and held[-1][0][-1] != own[0][0]:
+                    yield from close()
+                    held = []
                 held.append([c[:cut] for c in own])
                 yield from close()
                 held, own = [], [c[cut:] for c in own]
@@ -239,7 +265,78 @@ def open_pairs(known: DataFrame) -> DataFrame:
         if held:
             yield from close()
 
-    return known.repartition(partitions, "h").sortWithinPartitions("h", "n", "sig").mapInArrow(task, "a long, b long").distinct()
+    return known.repartition(partitions, "h").sortWithinPartitions("h", "n", "sig").mapInArrow(task, "leader long, component long, sig long").distinct()
+
+
+def answer(questions: DataFrame, answers: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between asking sets and sets of the component they ask, one for each part of it at least.
+
+    Askers and members of a (leader, component) are dealt over a grid of groups, so that each text
+    moves once for many comparisons and no group grows with the component.
+    """
+    partitions = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    where = ["leader", "component"]
+    asked = questions.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("int").alias("rows"))
+    members = answers.where("sig <> leader").join(asked.select(*where), where, "left_semi")
+    grid = small(asked.join(members.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("columns")), where))
+    known = answers.select("leader", "sig", "distance")
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    def one(count: str) -> Column:
+        return F.pmod(F.xxhash64("sig"), F.col(count)).cast("int")
+
+    asking = questions.join(known, ["leader", "sig"]).join(grid, where)
+    asking = asking.select(*where, one("rows").alias("i"), every("columns").alias("j"), F.lit(0).alias("role"), "sig", "distance")
+    told = members.join(grid, where).select(*where, every("rows").alias("i"), one("columns").alias("j"), F.lit(1).alias("role"), "sig", "distance")
+    rows = small(asking.unionByName(told))
+    texts = texts_of(rows.select("sig"), docs, nodes)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, askers, linked = None, [], set()
+        for batch in pieces(batches, "text", 4 << 20):
+            keys = list(zip(*_arrays(batch, ("leader", "component", "i", "j")), strict=True))
+            role, sig, distance = _arrays(batch, ("role", "sig", "distance"))
+            sets, found = list(_sets(batch)), []
+            good = [len(x) > 0 and _signature(x) == g for x, g in zip(sets, sig, strict=True)]
+            at = 0
+            while at < len(keys):
+                to = at
+                while to < len(keys) and keys[to] == keys[at] and role[to] == role[at]:
+                    to += 1
+                own = [k for k in range(at, to) if good[k]]
+                if key != keys[at]:
+                    key, askers, linked = keys[at], [], set()
+                if role[at] == 0:
+                    askers += [(sig[k], sets[k], distance[k]) for k in own]
+                elif own:
+                    n, d, s = np.array([len(sets[k]) for k in own]), distance[own], sig[own]
+                    ends, flat = np.cumsum(n), np.concatenate([sets[k] for k in own])
+                    for who, mine, away in askers:
+                        size = len(mine)
+                        may = (10 * np.minimum(n, size) >= 8 * np.maximum(n, size)) & ~(np.abs(d - away) > 0.2 + 1e-9)
+                        if who in linked or not may.any():
+                            continue
+                        if may.all():
+                            these, bounds = flat, ends - n
+                        else:
+                            these = flat[np.repeat(may, n)]
+                            bounds = np.cumsum(n[may]) - n[may]
+                        spot = np.searchsorted(mine, these)
+                        spot[spot == size] = 0
+                        common = np.add.reduceat(mine[spot] == these, bounds, dtype=np.int64)
+                        hit = np.flatnonzero(100 * common >= 80 * (n[may] + size - common))
+                        if len(hit):
+                            linked.add(who)
+                            found.append((who, s[may][hit[0]]))
+                at = to
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    rows = rows.join(texts, "sig").select(*where, "i", "j", "role", "sig", "distance", "text")
+    dealt = rows.repartition(partitions, *where, "i", "j").sortWithinPartitions(*where, "i", "j", "role", "sig")
+    return small(dealt.mapInArrow(task, "a long, b long").distinct())
 
 
 def _links(compared: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -264,10 +361,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     distance = 1 - F.col("common") / (F.col("leader_n") + F.col("n") - F.col("common"))
     answers = answers.select("leader", "sig", distance.alias("distance")).unionByName(starred.select("leader", F.col("leader").alias("sig"), F.lit(0.0).alias("distance")).distinct())
     answers = answers.join(merged.withColumnRenamed("node", "sig"), "sig", "left").select("leader", "sig", F.coalesce("component", "sig").alias("component"), "distance")
-    more = small(open_pairs(index.join(answers, ["leader", "sig"])).join(compared.select("a", "b"), ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        later = _links(compare(more, docs, nodes), nodes)
-        merged = components(links.unionByName(later))
+    answers = small(answers)
+    questions = small(open_questions(index.join(answers, ["leader", "sig"])))
+    if not questions.isEmpty():
+        merged = components(links.unionByName(answer(questions, answers, docs, nodes)))
     named = nodes.join(merged.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", F.coalesce("component", "sig").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = small(named.join(least, "component").select("sig", "component_id"))
