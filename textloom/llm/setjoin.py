@@ -13,7 +13,8 @@ A document's set is its distinct 5-word shingles (64-bit hashes).  Equal sets ar
 4. Answers derived.  In each list only pairs across components are left.  Block skips by size and
    by position in the order, and the members' known distances to the leader (Jaccard distance is
    a metric, so ``|d(x,l) - d(y,l)|`` bounds ``d(x,y)`` from below) settle most.  A set whose pairs
-   stay open asks the other component: its members under the same leader, until one links.
+   stay open asks the other component: counting sketches of its members bound the intersections,
+   and what they allow is compared.
 
 Comparing moves texts, not sets: compressed text is smaller than its hashes.  A leader's members
 are dealt over several groups with a copy of the leader each.  Groups of copies thus cost one
@@ -39,7 +40,7 @@ from textloom.llm.storage import small, written
 from textloom.llm.words import Words, mix, pieces, shingles
 
 CELLS = 1 << 24
-MEMBERS, ASKERS = 400, 200
+MEMBERS, ASKERS, SKETCH = 400, 200, 512
 _SEND_WHOLE = 500_000
 
 
@@ -76,16 +77,22 @@ def frequent_cells(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sig for each document; sig is null for an empty set."""
+    """doc_id, n, sig, sketch for each document; sig is null for an empty set.
+
+    The sketch counts a set's shingles by ``SKETCH`` cells of their hash, a byte each (null if one
+    doesn't fit): the cells' smaller counts add up to an upper bound of an intersection.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             own = list(_sets(batch))
             n = np.array([len(x) for x in own], np.int64)
             sig = np.array([_signature(x) if len(x) else 0 for x in own], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sig, mask=n == 0)], ["doc_id", "n", "sig"])
+            cells = (np.bincount((x % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) for x in own)
+            sketch = [c.astype(np.uint8).tobytes() if len(x) and c.max() < 256 else None for c, x in zip(cells, own, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sig, mask=n == 0), pa.array(sketch, pa.binary())], ["doc_id", "n", "sig", "sketch"])
 
-    return docs.mapInArrow(task, "doc_id long, n long, sig long")
+    return docs.mapInArrow(task, "doc_id long, n long, sig long, sketch binary")
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -198,7 +205,7 @@ def compare(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def open_questions(known: DataFrame) -> DataFrame:
-    """leader, component, sig: sets that sizes, positions and distances to the leader leave open towards a component.
+    """component, sig: sets that sizes, positions and distances to the leader leave open towards a component.
 
     Of two components that meet in a list, the one with fewer sets there asks.
     """
@@ -241,10 +248,10 @@ def open_questions(known: DataFrame) -> DataFrame:
                 own = list(asked(leader[a], *(c[a:b] for c in rest)))
                 if own:
                     who, whom = (np.concatenate(c) for c in zip(*own, strict=True))
-                    found.append(np.unique(np.stack([np.full(len(who), leader[a]), whom, who]), axis=1))
+                    found.append(np.unique(np.stack([whom, who]), axis=1))
             if found:
                 out = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["leader", "component", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["component", "sig"])
 
         for batch in batches:
             own = _arrays(batch, names)
@@ -265,21 +272,20 @@ def open_questions(known: DataFrame) -> DataFrame:
         if held:
             yield from close()
 
-    return known.repartition(partitions, "h").sortWithinPartitions("h", "n", "sig").mapInArrow(task, "leader long, component long, sig long").distinct()
+    return known.repartition(partitions, "h").sortWithinPartitions("h", "n", "sig").mapInArrow(task, "component long, sig long").distinct()
 
 
-def answer(questions: DataFrame, answers: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between asking sets and sets of the component they ask, one for each part of it at least.
+def possible_links(questions: DataFrame, members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) of an asking set and a set of the component asked whose sketches allow a link.
 
-    Askers and members of a (leader, component) are dealt over a grid of groups, so that each text
-    moves once for many comparisons and no group grows with the component.
+    ``questions``: component, sig; ``members``: component, sig; ``sketches``: sig, n, sketch.
+    Askers and members of a component are dealt over a grid of groups, so that a sketch moves once
+    for many comparisons and no group grows with the component.
     """
     partitions = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    where = ["leader", "component"]
-    asked = questions.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("int").alias("rows"))
-    members = answers.where("sig <> leader").join(asked.select(*where), where, "left_semi")
-    grid = small(asked.join(members.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("columns")), where))
-    known = answers.select("leader", "sig", "distance")
+    asked = questions.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("int").alias("rows"))
+    members = members.join(asked.select("component"), "component", "left_semi")
+    grid = small(asked.join(members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("columns")), "component"))
 
     def every(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
@@ -287,55 +293,38 @@ def answer(questions: DataFrame, answers: DataFrame, docs: DataFrame, nodes: Dat
     def one(count: str) -> Column:
         return F.pmod(F.xxhash64("sig"), F.col(count)).cast("int")
 
-    asking = questions.join(known, ["leader", "sig"]).join(grid, where)
-    asking = asking.select(*where, one("rows").alias("i"), every("columns").alias("j"), F.lit(0).alias("role"), "sig", "distance")
-    told = members.join(grid, where).select(*where, every("rows").alias("i"), one("columns").alias("j"), F.lit(1).alias("role"), "sig", "distance")
-    rows = small(asking.unionByName(told))
-    texts = texts_of(rows.select("sig"), docs, nodes)
+    asking = questions.join(grid, "component").select("component", one("rows").alias("i"), every("columns").alias("j"), F.lit(0).alias("role"), "sig")
+    told = members.join(grid, "component").select("component", every("rows").alias("i"), one("columns").alias("j"), F.lit(1).alias("role"), "sig")
+    rows = asking.unionByName(told).join(sketches, "sig").select("component", "i", "j", "role", "sig", "n", "sketch")
+    full = np.full(SKETCH, 255, np.uint8).tobytes()  # bounds nothing
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, askers, linked = None, [], set()
-        for batch in pieces(batches, "text", 4 << 20):
-            keys = list(zip(*_arrays(batch, ("leader", "component", "i", "j")), strict=True))
-            role, sig, distance = _arrays(batch, ("role", "sig", "distance"))
-            sets, found = list(_sets(batch)), []
-            good = [len(x) > 0 and _signature(x) == g for x, g in zip(sets, sig, strict=True)]
-            at = 0
+        key, askers = None, []
+        for batch in batches:
+            keys = list(zip(*_arrays(batch, ("component", "i", "j")), strict=True))
+            role, sig, n = _arrays(batch, ("role", "sig", "n"))
+            loose = np.asarray(batch.column("sketch").is_null())
+            table = np.frombuffer(b"".join(x if x is not None else full for x in batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            at, found = 0, []
             while at < len(keys):
                 to = at
                 while to < len(keys) and keys[to] == keys[at] and role[to] == role[at]:
                     to += 1
-                own = [k for k in range(at, to) if good[k]]
                 if key != keys[at]:
-                    key, askers, linked = keys[at], [], set()
+                    key, askers = keys[at], []
                 if role[at] == 0:
-                    askers += [(sig[k], sets[k], distance[k]) for k in own]
-                elif own:
-                    n, d, s = np.array([len(sets[k]) for k in own]), distance[own], sig[own]
-                    ends, flat = np.cumsum(n), np.concatenate([sets[k] for k in own])
-                    for who, mine, away in askers:
-                        size = len(mine)
-                        may = (10 * np.minimum(n, size) >= 8 * np.maximum(n, size)) & ~(np.abs(d - away) > 0.2 + 1e-9)
-                        if who in linked or not may.any():
-                            continue
-                        if may.all():
-                            these, bounds = flat, ends - n
-                        else:
-                            these = flat[np.repeat(may, n)]
-                            bounds = np.cumsum(n[may]) - n[may]
-                        spot = np.searchsorted(mine, these)
-                        spot[spot == size] = 0
-                        common = np.add.reduceat(mine[spot] == these, bounds, dtype=np.int64)
-                        hit = np.flatnonzero(100 * common >= 80 * (n[may] + size - common))
-                        if len(hit):
-                            linked.add(who)
-                            found.append((who, s[may][hit[0]]))
+                    askers += [(sig[k], int(n[k]), table[k], loose[k]) for k in range(at, to)]
+                else:
+                    own_n, own_sig, own = n[at:to], sig[at:to], table[at:to]
+                    for who, size, sketch, unsure in askers:
+                        most = np.minimum(np.minimum(own_n, size), np.where(loose[at:to] | unsure, size, np.minimum(own, sketch).sum(1, dtype=np.int64)))
+                        hit = own_sig[(9 * most >= 4 * (own_n + size)) & (own_sig != who)]
+                        found += [(who, x) for x in hit]
                 at = to
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-    rows = rows.join(texts, "sig").select(*where, "i", "j", "role", "sig", "distance", "text")
-    dealt = rows.repartition(partitions, *where, "i", "j").sortWithinPartitions(*where, "i", "j", "role", "sig")
+    dealt = rows.repartition(partitions, "component", "i", "j").sortWithinPartitions("component", "i", "j", "role", "sig")
     return small(dealt.mapInArrow(task, "a long, b long").distinct())
 
 
@@ -347,7 +336,8 @@ def _links(compared: DataFrame, sizes: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for all ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = small(signatures(docs))
+    full = written(signatures(docs), "sets")
+    table = full.drop("sketch")
     nodes = small(table.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
     index = written(lists(prefixes(docs, frequent_cells(docs))), "lists")
     near = "10 * least({0}, {1}) >= 8 * greatest({0}, {1})"
@@ -361,10 +351,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     distance = 1 - F.col("common") / (F.col("leader_n") + F.col("n") - F.col("common"))
     answers = answers.select("leader", "sig", distance.alias("distance")).unionByName(starred.select("leader", F.col("leader").alias("sig"), F.lit(0.0).alias("distance")).distinct())
     answers = answers.join(merged.withColumnRenamed("node", "sig"), "sig", "left").select("leader", "sig", F.coalesce("component", "sig").alias("component"), "distance")
-    answers = small(answers)
     questions = small(open_questions(index.join(answers, ["leader", "sig"])))
     if not questions.isEmpty():
-        merged = components(links.unionByName(answer(questions, answers, docs, nodes)))
+        members = nodes.join(merged.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("component", "sig").alias("component"))
+        sketches = full.where("sig is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        pairs = possible_links(questions, members, sketches)
+        compared = compare(pairs.join(compared.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), docs, nodes)
+        merged = components(links.unionByName(_links(compared, nodes)))
     named = nodes.join(merged.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", F.coalesce("component", "sig").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = small(named.join(least, "component").select("sig", "component_id"))
