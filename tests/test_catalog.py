@@ -1,6 +1,7 @@
 """Every catalog query with SQL against DuckDB, on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from textloom.plans import catalog
@@ -10,13 +11,11 @@ SF = "/root/testdata/sf0.001"
 
 def rows(frame):
     def value(x):
-        if x is None or x != x:
-            return "null"
-        if isinstance(x, float):
-            return f"{x:.6g}"
-        if isinstance(x, list) or hasattr(x, "tolist") and not isinstance(x, (str, bytes)) and getattr(x, "ndim", 0):
+        if isinstance(x, list) or getattr(x, "ndim", 0):
             return str([value(y) for y in x])
-        return str(x)
+        if pd.isna(x):
+            return "null"
+        return f"{x:.6g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
     frame = frame[sorted(frame.columns)].astype(object)
     return sorted("|".join(map(value, r)) for r in frame.itertuples(index=False))
