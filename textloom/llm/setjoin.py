@@ -367,8 +367,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that name their component; of rows with the same id, one."""
-    kept = jaccard_components(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    kept = small(kept.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    rows = docs.join(kept.select(F.col("doc_id").alias("_id"), "n"), docs["doc_id"].eqNullSafe(F.col("_id"))).select(*[docs[c] for c in docs.columns], "n")
-    again = rows.where("n > 1").drop("n").dropDuplicates(["doc_id"])
-    return rows.where("n = 1").drop("n").unionByName(again)
+    kept = jaccard_components(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("_copies"))
+    kept = small(kept.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), "_copies"))
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"])).drop("_id")
+    again = rows.where("_copies > 1").drop("_copies").dropDuplicates(["doc_id"])
+    return rows.where("_copies = 1").drop("_copies").unionByName(again)
