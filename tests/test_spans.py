@@ -33,3 +33,10 @@ def test_hash_mask(spark):
 
 def test_special_ratio(spark):
     assert abs(one(spark, "Hello, world!  How are you?   ", profile.special_ratio(F.col("text"))) - 11 / 30) < 1e-12
+
+
+def test_think_block(spark):
+    from textloom.plans.rewrite import rewrite_think
+
+    assert one(spark, "x<think>a\n b</think>y", rewrite_think(F.col("text"))) == "x> DeepThink: a\n> by"
+    assert one(spark, "no block", rewrite_think(F.col("text"))) == "no block"
