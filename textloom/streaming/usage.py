@@ -8,5 +8,5 @@ from pyspark.sql import functions as F
 
 def tumbling(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """event_type, hour, n, total of a stream of events (ts, event_type, value); rows later than ``late`` are left out."""
-    rows = events.withWatermark("ts", late).groupBy("event_type", F.window("ts", window).alias("w"))
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("event_type", F.window("ts", window).alias("w"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("event_type", F.col("w.start").alias("hour"), "n", "total")
