@@ -26,7 +26,9 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PROBES_PER_SWEEP = 2000
+from textloom.llm.storage import small
+
+PROBES_PER_SWEEP, SENT_HOSTS = 2000, 200_000
 
 
 def host_of(url: Column) -> Column:
@@ -64,6 +66,11 @@ def rule_events(rules: DataFrame) -> DataFrame:
     return events.select("host_key", "key", F.struct(*[top[f].alias(f) for f in ("size", "host_size", "rule", "verdict")]).alias("top"))
 
 
+def _few(hosts: DataFrame) -> DataFrame:
+    """Rows of one rule host each, sent whole if they are few, so that a host's probes stay where they are."""
+    return F.broadcast(hosts) if hosts.count() <= SENT_HOSTS else hosts
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_column: str = "page_id", url_column: str = "url") -> DataFrame:
     """``id_column``, host, path, rule, verdict for all ``pages`` by ``rules`` (host, path, verdict)."""
     events = rule_events(rules.select("host", "path", "verdict").where("host <> '' and path is not null and verdict is not null"))
@@ -75,10 +82,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(1, longest)))), lambda n: F.array_join(F.reverse(F.slice(labels, F.size(labels) - n + 1, n)), "."))
     probes = pages.where("host <> ''").select("id", "host", "path", F.explode(suffixes).alias("host_key"))
     hosts = events.groupBy("host_key").agg(F.count(F.lit(1)).alias("n_events"))
+    hosts = _few(small(hosts))
     probes = probes.join(hosts.select("host_key"), "host_key", "left_semi")
     # sweeps for each host: as many probes in each, and never fewer than the events they carry
     counts = probes.groupBy("host_key").agg(F.count(F.lit(1)).alias("n_probes")).join(hosts, "host_key")
-    sweeps = counts.select("host_key", F.ceil(F.col("n_probes") / F.greatest(F.lit(PROBES_PER_SWEEP), F.col("n_events"))).cast("int").alias("sweeps"))
+    sweeps = _few(small(counts.select("host_key", F.ceil(F.col("n_probes") / F.greatest(F.lit(PROBES_PER_SWEEP), F.col("n_events"))).cast("int").alias("sweeps"))))
     deal = F.pmod(F.xxhash64("id", "host", "path"), F.col("sweeps")).cast("int")
     no_top = F.lit(None).cast("struct<size:int,host_size:int,rule:string,verdict:string>")
     merged = probes.join(sweeps, "host_key").select("host_key", deal.alias("sweep"), F.encode(F.col("path"), "UTF-8").alias("key"), F.lit(True).alias("probe"), no_top.alias("top"), "id", "host", "path")
