@@ -34,6 +34,13 @@ def encoder(path: str) -> Encoder:
     return _OPEN[path]
 
 
+def release() -> None:
+    """Gives back what the worker's encoders have learnt; workers outlive a stage, and the next one needs the memory."""
+    for e in _OPEN.values():
+        e.forget()
+    pa.default_memory_pool().release_unused()
+
+
 class Encoder:
     """Encodes string arrays with the vocabulary file at ``path`` (tokenizers' JSON)."""
 
