@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.storage import small
+from textloom.llm.storage import small, swept
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,4 +30,5 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state:
             break
         state = now
+    swept(edges.sparkSession)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -28,7 +28,7 @@ with different texts are different documents; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
-from textloom.llm.storage import small, written
+from textloom.llm.storage import small, swept, temporary, written
 from textloom.llm.words import Words, mix, pieces, shingles
 
 CELLS = 1 << 24
@@ -166,18 +166,18 @@ def lists(prefix: DataFrame) -> DataFrame:
     return prefix.repartition(partitions, "h").sortWithinPartitions("h", "sig").mapInArrow(task, "h long, leader long, leader_n int, sig long, n int, pos int")
 
 
-def texts_of(sigs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """sig, text of one document for each of ``sigs`` (sig); nodes: sig, doc_id."""
+def texts_of(sigs: DataFrame, docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """sig, text of one document for each of ``sigs`` (sig), and what deletes this table; nodes: sig, doc_id."""
     needed = small(sigs.distinct().join(nodes, "sig").select("sig", F.col("doc_id").alias("_id")))
     # sent whole only if they are few
     wanted = F.broadcast(needed) if needed.count() <= _SEND_WHOLE else needed
-    return written(docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_id"))).select("sig", "text"), "texts")
+    return temporary(docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_id"))).select("sig", "text"), "texts")
 
 
 def compare(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with ``common``, the size of the intersection; best where many pairs share their a."""
     partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = texts_of(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")), docs, nodes)
+    texts, drop = texts_of(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")), docs, nodes)
     deal = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("groups"))
     members = pairs.join(deal, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("sig"))
     leaders = deal.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("sig"))
@@ -201,7 +201,9 @@ def compare(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b", "common"])
 
     dealt = rows.repartition(partitions, "a", "part").sortWithinPartitions("a", "part", "role", "sig")
-    return small(dealt.mapInArrow(task, "a long, b long, common long").distinct())
+    found = small(dealt.mapInArrow(task, "a long, b long, common long").distinct())
+    drop()
+    return found
 
 
 def open_questions(known: DataFrame) -> DataFrame:
@@ -339,7 +341,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     full = written(signatures(docs), "sets")
     table = full.drop("sketch")
     nodes = small(table.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
-    index = written(lists(prefixes(docs, frequent_cells(docs))), "lists")
+    index, drop = temporary(lists(prefixes(docs, frequent_cells(docs))), "lists")
     near = "10 * least({0}, {1}) >= 8 * greatest({0}, {1})"
     starred = small(index.where("sig <> leader").select("leader", "leader_n", "sig", "n").distinct())
     pairs = starred.where(near.format("leader_n", "n")).select(F.col("leader").alias("a"), F.col("sig").alias("b"))
@@ -352,6 +354,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     answers = answers.select("leader", "sig", distance.alias("distance")).unionByName(starred.select("leader", F.col("leader").alias("sig"), F.lit(0.0).alias("distance")).distinct())
     answers = answers.join(merged.withColumnRenamed("node", "sig"), "sig", "left").select("leader", "sig", F.coalesce("component", "sig").alias("component"), "distance")
     questions = small(open_questions(index.join(answers, ["leader", "sig"])))
+    drop()
     if not questions.isEmpty():
         members = nodes.join(merged.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("component", "sig").alias("component"))
         sketches = full.where("sig is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -361,6 +364,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     named = nodes.join(merged.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", F.coalesce("component", "sig").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = small(named.join(least, "component").select("sig", "component_id"))
+    swept(docs.sparkSession)
     rows = table.join(named, "sig", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

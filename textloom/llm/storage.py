@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def temporary(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """``written``, and a function that deletes the table once all that reads it is checkpointed or written."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    df.write.parquet(path)
+
+    def drop() -> None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        swept(spark)
+
+    return spark.read.schema(df.schema).parquet(path), drop
+
+
+def swept(spark: SparkSession) -> None:
+    """Frees the disk of finished jobs: Spark deletes a shuffle's files when the driver's handle of it is collected.
+
+    Iterative operators leave many shuffles behind a checkpoint; a driver with little to do may
+    not collect them for half an hour.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame) -> DataFrame:
     """Lineage cut by a reliable checkpoint, for results of a few bytes a row."""
     shared_dir(df.sparkSession)
