@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from textloom.llm.words import _SPACE, range_hashes, raw
+from textloom.llm.words import _SPACE, give_back, range_hashes, raw
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -35,10 +35,9 @@ def encoder(path: str) -> Encoder:
 
 
 def release() -> None:
-    """Gives back what the worker's encoders have learnt; workers outlive a stage, and the next one needs the memory."""
-    for e in _OPEN.values():
-        e.forget()
-    pa.default_memory_pool().release_unused()
+    """Drops the worker's encoders; workers outlive a stage, and the next one needs the memory."""
+    _OPEN.clear()
+    give_back()
 
 
 class Encoder:

@@ -8,6 +8,8 @@ followed by a full avalanche step.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,3 +156,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
             to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+_LIBC = ctypes.CDLL(ctypes.util.find_library("c"))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; a worker outlives its task and would hold it beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
