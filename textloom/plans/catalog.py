@@ -254,13 +254,32 @@ def eval_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("*", rate("fp").alias("micro_precision"), rate("fn").alias("micro_recall"))
 
 
+#: Query vectors sent whole at a time; more go in further blocks.
+QUERY_BLOCK = 8192
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id: the ``k`` nearest of ``rows`` (vec_id, v) for each of ``queries`` (query_id, q), not itself.
+
+    Queries go out in blocks of about ``QUERY_BLOCK``; each task keeps k rows a query before the
+    shuffle.
+    """
+    distance = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    best = Window.partitionBy("query_id").orderBy("d", "vec_id")
+    out = None
+    for block in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        pairs = rows.join(F.broadcast(own), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", distance.alias("d"))
+        found = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("""select query_id, rank, vec_id from (select q.vec_id as query_id, r.vec_id, row_number() over (partition by q.vec_id order by list_distance(q.embedding::double[], r.embedding::double[]), r.vec_id) as rank
-from embeddings q join embeddings r on q.vec_id <> r.vec_id where q.vec_id < 5) where rank <= 4""")
+from embeddings q join embeddings r on q.vec_id <> r.vec_id where q.vec_id % 20 = 0) where rank <= 4""")
 def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact search for a stated set of five query vectors."""
+    """Exact search: every vector whose id is divisible by 20 against all."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    queries = rows.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    distance = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    pairs = rows.join(F.broadcast(queries), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", distance.alias("d"))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id")))
-    return ranked.where("rank <= 4").select("query_id", "rank", "vec_id")
+    return nearest(rows, rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), 4)
+

@@ -4,9 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 
 def tumbling(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """event_type, hour, n, total of a stream of events (ts, event_type, value); rows later than ``late`` are left out."""
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("event_type", F.window("ts", window).alias("w"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("event_type", F.col("w.start").alias("hour"), "n", "total")
+
+
+def latest(stream: DataFrame, path: str, checkpoint: str, n: int = 200, order: str = "ts") -> StreamingQuery:
+    """Keeps the last ``n`` rows of ``stream`` by ``order``: after batch b they are in ``path/batch=b``.
+
+    A batch merges with what its predecessor left and overwrites its own folder, so one that is
+    run again gives the same.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema(batch.schema).parquet(f"{path}/batch={number - 1}") if number else batch.limit(0)
+        rows = before.unionByName(batch).orderBy(F.col(order).desc(), *[F.col(c) for c in batch.columns if c != order]).limit(n)
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
