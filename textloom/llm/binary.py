@@ -132,7 +132,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
             row = [part, shard, file, int(doc_ids[0]), len(doc_ids), len(ids)]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["part", "shard", "file", "first_doc", "n_docs", "n_ids"])
 
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 4 << 20, keep=True):
             bounds, ids = encoder(tokenizer).encode(batch.column("text"))
             ids = np.insert(ids, bounds[1:], np.uint32(end_id))
             key = batch.column("doc_id")

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from textloom.llm.words import _SPACE, give_back, range_hashes, raw
+from textloom.llm.words import _SPACE, CACHES, range_hashes, raw
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -25,6 +25,7 @@ _GROUP = 20_000
 _SEPARATORS = "🎉❤➡•€…"
 _UNSURE = r"<\||[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F]"
 _OPEN: dict[str, Encoder] = {}
+CACHES.append(_OPEN.clear)
 
 
 def encoder(path: str) -> Encoder:
@@ -34,12 +35,6 @@ def encoder(path: str) -> Encoder:
     return _OPEN[path]
 
 
-def release() -> None:
-    """Drops the worker's encoders; workers outlive a stage, and the next one needs the memory."""
-    _OPEN.clear()
-    give_back()
-
-
 class Encoder:
     """Encodes string arrays with the vocabulary file at ``path`` (tokenizers' JSON)."""
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.curves import hilbert_keys
-from textloom.llm.encoding import encoder, release
+from textloom.llm.encoding import encoder
 from textloom.llm.words import pieces, raw
 
 DIMS, BITS, SPREAD = 4, 15, 24.0
@@ -75,7 +75,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int
 
         stream = 0  # ids of this partition so far
         base = TaskContext.get().partitionId() << 36
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 4 << 20, keep=True):
             bounds, ids = encoder(tokenizer).encode(batch.column("text"))
             ids = np.insert(ids, bounds[1:], np.uint32(end_id))
             bounds = bounds + np.arange(len(bounds))
@@ -89,7 +89,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int
             columns = [starts - bounds[doc], ends - starts, np.array(crc, np.int64), np.diff(bounds)[doc], base + at // length, at % length]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *map(pa.array, columns)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
             stream += len(ids)
-        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("curve", key_column(F.col("text")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -147,8 +147,15 @@ def shingles(hashes: np.ndarray, first: np.ndarray, n: int = 5) -> Iterator[np.n
             yield np.zeros(0, np.uint64)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds about ``limit`` bytes of text; a longer text stands alone."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds about ``limit`` bytes of text; a longer text stands alone.
+
+    Unless ``keep`` says that the task needs them, what modules keep in the worker is dropped first.
+    """
+    if not keep:
+        for drop in CACHES:
+            drop()
+        give_back()
     for batch in batches:
         bounds, _ = raw(batch.column(column))
         at = 0
@@ -159,6 +166,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
     give_back()
 
 
+#: What drops a module's tables kept in the worker process; workers go on to other stages.
+CACHES: list[Callable[[], object]] = []
 _LIBC = ctypes.CDLL(ctypes.util.find_library("c"))
 
 
