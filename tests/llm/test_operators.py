@@ -213,3 +213,21 @@ def test_search(spark):
         d[q] = np.inf
         assert [r["vec_id"] for r in got if r["query_id"] == q] == np.argsort(d, kind="stable")[:10].tolist()
     assert neighbours.search(table.limit(0), F.col("id") % 100 == 0).count() == 0
+
+
+def test_lm_classes_of_rarer_words(spark):
+    """A rarer word's class comes from its neighbours, whatever its ending."""
+    rng = np.random.default_rng(1)
+    kinds = [[f"{a}{k}" for k in range(6)] for a in "xyz"]
+    texts = [" ".join(rng.choice(kinds[k % 3]) for k in range(30)) for _ in range(300)]  # x, y and z in turn
+    texts += [f"x{k % 6} ra{k}q z{k % 6} x{k % 6} y{k % 6} rb{k}q x{k % 6}" for k in range(40)]
+    training = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = sorted(w for kind in kinds for w in kind)
+    keys = {w: int(h) for w, h in zip(words, Words(pa.array([" ".join(words)])).hashes().view(np.int64), strict=True)}
+    core = np.sort(np.array(list(keys.values())))
+    member, g = brown.exchange(len(core) + 2, *brown.item_bigrams(training, core), classes=brown.CLASSES)
+    rare = {r["key"]: r for r in brown.rarer_words(training, core, member, g).collect()}
+    assert len(rare) == 80 and all(r["c"] == 1 for r in rare.values())
+    of = {w: rare[int(Words(pa.array([w])).hashes().view(np.int64)[0])]["class"] for k in range(40) for w in (f"ra{k}q", f"rb{k}q")}
+    own = [{int(member[np.searchsorted(core, keys[w])]) for w in kind} for kind in kinds]
+    assert all(of[f"ra{k}q"] in own[1] and of[f"rb{k}q"] in own[2] for k in range(40))
