@@ -231,3 +231,17 @@ def test_lm_classes_of_rarer_words(spark):
     of = {w: rare[int(Words(pa.array([w])).hashes().view(np.int64)[0])]["class"] for k in range(40) for w in (f"ra{k}q", f"rb{k}q")}
     own = [{int(member[np.searchsorted(core, keys[w])]) for w in kind} for kind in kinds]
     assert all(of[f"ra{k}q"] in own[1] and of[f"rb{k}q"] in own[2] for k in range(40))
+
+
+def test_set_join_and_mix_by_row(spark):
+    """Rows without an id, or whose id stands on another text too, are documents of their own."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(20)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, c), (1, c), (2, c), (2, d), (3, d), (None, ""), (None, " ")]
+    docs = spark.createDataFrame([(k, t, "en", "a", 0, 0, 0) for k, t in rows], DOCS)
+    got = sorted((str(r["doc_id"]), r["text"]) for r in setjoin.one_of_each(docs).collect())
+    assert got == sorted([("None", a), ("None", b), ("1", c), ("2", d), ("None", ""), ("None", " ")])
+    mixed = mixing.mixed_documents(docs, weights=(1,), share=2.0, max_epochs=2.0)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in mixed.collect()) == sorted(2 * [(str(k), t) for k, t in rows if t.strip()])
+    short = spark.createDataFrame([(None, "one", "en", "a", 0, 0, 0), (None, "two three four", "en", "a", 0, 0, 0)], DOCS)
+    words = [w for r in mixing.mixed_documents(short, weights=(1,), share=1.5).collect() for w in r["text"].split()]
+    assert len(words) == 6

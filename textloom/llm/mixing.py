@@ -52,9 +52,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max
     return row.select("source", "source_size", F.least(F.col("cap"), F.col("w") * level).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target, taken for all ``docs`` (doc_id, text, source)."""
-    sized = small(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_size(F.col("text").cast("string")).alias("size")))
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix", keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken and ``keep`` for all ``docs`` (doc_id, text, source)."""
+    sized = small(docs.select(*keep, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_size(F.col("text").cast("string")).alias("size")))
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = sized.withColumn("dealt", order).withColumn("bucket", F.substring("dealt", 1, DIGITS))
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -67,22 +67,23 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     targets = targets.select("*", times.cast("long").alias("times"))
     targets = targets.withColumn("rest", F.round(F.col("target") - F.col("times") * F.col("source_size")).cast("long"))
     buckets = buckets.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "bucket_size")
-    inside = Window.partitionBy("source", "bucket").orderBy("dealt", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("dealt", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     there = buckets.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", "source_size", "target", "times", "rest")
     rows = rows.join(there, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("inside")))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times") + extra).cast("long").alias("taken"))
+    return rows.select(*keep, "doc_id", "size", "source_size", "target", (F.col("size") * F.col("times") + extra).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: a row for each repetition, a cut one with the words it takes.
 
-    Ids name documents here: rows that share one are repeated alike, as the largest of them.
+    Rows count each by themselves, also those that share an id or have none.
     A cut document keeps its first words with single blanks between them and its own ``n_chars``.
     """
-    taken = mix_sources(docs, **options).groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken")).where("_taken > 0")
-    rows = docs.join(taken.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    keyed = docs.withColumn("_key", F.xxhash64(*docs.columns))  # the same for equal rows only
+    taken = mix_sources(keyed, keep=("_key",), **options).where("taken > 0").select("_key", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    rows = keyed.dropDuplicates(["_key"]).join(taken, "_key")
     whole = F.floor(F.col("_taken") / F.col("_size"))
     cut = F.col("_taken") - whole * F.col("_size")
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), (whole + F.when(cut > 0, 1).otherwise(0)).cast("int"))))

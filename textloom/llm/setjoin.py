@@ -335,8 +335,8 @@ def _links(compared: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.where("100 * common >= 80 * (na + nb - common)").select("a", "b")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for all ``docs`` (doc_id, text)."""
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, sig, n, component, component_id for all ``docs`` (doc_id, text); component names a component of sets, null ids or not."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     full = written(signatures(docs), "sets")
     table = full.drop("sketch")
@@ -363,16 +363,43 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         merged = components(links.unionByName(_links(compared, nodes)))
     named = nodes.join(merged.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", F.coalesce("component", "sig").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = small(named.join(least, "component").select("sig", "component_id"))
+    named = small(named.join(least, "component").select("sig", "component", "component_id"))
     swept(docs.sparkSession)
-    rows = table.join(named, "sig", "left")
+    return table.join(named, "sig", "left")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for all ``docs`` (doc_id, text)."""
+    rows = _named(docs)
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def signed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the signature of each row's set as _sig, null for an empty set."""
+    schema = docs.withColumn("_sig", F.lit(None).cast("long")).schema
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            own = list(_sets(batch))
+            sig = np.array([_signature(x) if len(x) else 0 for x in own], np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sig, mask=np.array([len(x) == 0 for x in own], bool))], [*batch.schema.names, "_sig"])
+
+    return docs.mapInArrow(task, schema)
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name their component; of rows with the same id, one."""
-    kept = jaccard_components(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("_copies"))
-    kept = small(kept.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), "_copies"))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"])).drop("_id")
-    again = rows.where("_copies > 1").drop("_copies").dropDuplicates(["doc_id"])
-    return rows.where("_copies = 1").drop("_copies").unionByName(again)
+    """One row of ``docs`` for each component of sets, of smallest id and then signature; a null id comes last.
+
+    Rows with an empty set are linked with nothing: of those with the same id one stays, of those
+    without an id all.
+    """
+    named = _named(docs).where("sig is not null")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "sig")
+    kept = named.groupBy("component").agg(F.min(order).alias("x"))
+    kept = small(kept.select(F.col("x.doc_id").alias("_id"), F.col("x.sig").alias("_kept")))
+    rows = signed(docs)
+    own = F.col("doc_id").cast("long")
+    full = rows.where("_sig is not null").join(kept, (F.col("_sig") == F.col("_kept")) & own.eqNullSafe(F.col("_id")))
+    full = full.dropDuplicates(["_sig", "doc_id"]).select(*docs.columns)  # the same set and id: copies
+    empty = rows.where("_sig is null").drop("_sig")
+    return full.unionByName(empty.where("doc_id is not null").dropDuplicates(["doc_id"])).unionByName(empty.where("doc_id is null"))
