@@ -20,6 +20,8 @@ SOURCES = {
     "pdf": [r"page\s+\d+\s+of\s+\d+", r"\[\d+\]", r"figure\s+\d+", r"table\s+\d+"],
 }
 EMAIL, CARD = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", r"\b(?:\d{4}[-\s]?){3}\d{4}\b"
+# What counts towards density.
+FOUND = (EMAIL, CARD, r"\b(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}\b", r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b", r"(?i)\d+\s+[A-Z][a-z]+\s+(St|Ave|Rd|Blvd|Dr|Ln|Ct|Way)")
 
 
 def chars(text: Column, wanted: str) -> Column:
@@ -50,29 +52,30 @@ def source_type(text: Column) -> Column:
 def features(text: Column) -> dict[str, Column]:
     """Scalar features; densities are per word."""
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    found = F.regexp_count(text, F.lit(EMAIL)) + F.regexp_count(text, F.lit(CARD))
+    found = sum((F.regexp_count(text, F.lit(p)) for p in FOUND[1:]), F.regexp_count(text, F.lit(FOUND[0])))
     return {
         "text_length": F.length(text),
         "word_count": words,
         "sentence_count": chars(text, ".!?"),
         "n_found": found,
         "density": found.cast("double") / F.greatest(words, F.lit(1)),
-        "multilingual": text.rlike(r"[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]"),
+        "multilingual": text.rlike(r"[^\x00-\x7F]"),
+        "complex_formatting": text.rlike(r"[+().\-]{2,}"),
     }
 
 
-def complexity(text_length: Column, density: Column, multilingual: Column, sentence_count: Column) -> Column:
-    parts = [(text_length > 500, 0.2), (text_length > 1000, 0.1), (density > 0.1, 0.2), (density > 0.3, 0.1), (multilingual, 0.15), (sentence_count > 5, 0.1)]
+def complexity(text_length: Column, density: Column, multilingual: Column, complex_formatting: Column, sentence_count: Column) -> Column:
+    parts = [(text_length > 500, 0.2), (text_length > 1000, 0.1), (density > 0.1, 0.2), (density > 0.3, 0.1), (multilingual, 0.15), (complex_formatting, 0.1), (sentence_count > 5, 0.1)]
     total = F.lit(0.0)
     for fits, worth in parts:
         total = total + F.when(fits, worth).otherwise(0.0)
     return F.least(total, F.lit(1.0))
 
 
-def strategy(domain: Column, source: Column, text_length: Column, density: Column, multilingual: Column, score: Column) -> Column:
+def strategy(domain: Column, source: Column, text_length: Column, density: Column, multilingual: Column, complex_formatting: Column, score: Column) -> Column:
     return (
         F.when(domain.isin("financial", "medical", "legal"), "high_precision")
-        .when((density > 0.3) | multilingual, "high_recall")
+        .when((density > 0.3) | complex_formatting | multilingual, "high_recall")
         .when((source == "conversation") & (text_length < 200), "high_precision")
         .when((text_length > 500) & (density < 0.1) | domain.isin("technical", "customer_service"), "balanced")
         .when(score > 0.6, "high_recall")

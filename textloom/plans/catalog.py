@@ -142,10 +142,10 @@ from i"""
 def smart_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = profile.features(F.col("text"))
     rows = table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in f.items()], profile.domain(F.col("text")).alias("domain"), profile.source_type(F.col("text")).alias("source_type"))
-    score = profile.complexity(*[F.col(c) for c in ("text_length", "density", "multilingual", "sentence_count")])
+    score = profile.complexity(*[F.col(c) for c in ("text_length", "density", "multilingual", "complex_formatting", "sentence_count")])
     rows = rows.withColumn("complexity", score)
     c = F.col
-    return rows.select("doc_id", "domain", "source_type", "complexity", profile.strategy(c("domain"), c("source_type"), c("text_length"), c("density"), c("multilingual"), c("complexity")).alias("strategy"), profile.model_size(c("domain"), c("multilingual"), c("complexity")).alias("model_size"))
+    return rows.select("doc_id", "domain", "source_type", "complexity", profile.strategy(c("domain"), c("source_type"), c("text_length"), c("density"), c("multilingual"), c("complex_formatting"), c("complexity")).alias("strategy"), profile.model_size(c("domain"), c("multilingual"), c("complexity")).alias("model_size"))
 
 
 @query("select doc_id, ratio from (select doc_id, case when length(text) > 0 then (length(text) - length(regexp_replace(text, '[\\x09-\\x0D\\x20-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E]', '', 'g')))::double / length(text) else 0.0 end as ratio from documents) where ratio <= 0.5")
