@@ -40,3 +40,27 @@ def test_think_block(spark):
 
     assert one(spark, "x<think>a\n b</think>y", rewrite_think(F.col("text"))) == "x> DeepThink: a\n> by"
     assert one(spark, "no block", rewrite_think(F.col("text"))) == "no block"
+
+
+def test_all_patterns(spark, tmp_path):
+    import re
+
+    from textloom.plans import catalog
+
+    text = "Ann Lee, 12 Main Street, card 4532********3333 or 4532 1111 2222 3333, (555) 123-4567, 123-45-6789, http://a.org/x on 2024-01-31, P.O. Box 7, 10.0.0.1"
+    expected, seen = [], set()
+    for kind, pattern in spans.ALL:
+        for m in re.finditer(pattern, text, re.ASCII):
+            if m.span() not in seen:
+                seen.add(m.span())
+                expected.append((kind, *m.span(), m.group()))
+    spark.createDataFrame([(1, text, "en", "a")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["entity_type"], r["start"], r["stop"], r["entity_value"]) for r in catalog.QUERIES["pii_span_offsets"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(expected) and {k for k, *_ in got} == {k for k, _ in spans.ALL} - {"EMAIL"}
+    assert ("CREDIT_CARD", "4532********3333") in {(k, v) for k, _, _, v in got} and ("ADDRESS", "12 Main Street") in {(k, v) for k, _, _, v in got}
+    counts = {r["entity_type"]: r["n"] for r in catalog.QUERIES["pii_type_counts"](spark, str(tmp_path)).collect()}
+    assert sum(counts.values()) == len(expected)
+    assert sum(r["n"] for r in catalog.QUERIES["error_grouping_sets"](spark, str(tmp_path)).collect()) == 3 * len(expected)
+    assert max(r["n"] for r in catalog.QUERIES["pii_rollup"](spark, str(tmp_path)).collect()) == len(expected)
+    masked = catalog.QUERIES["pii_mask_placeholder"](spark, str(tmp_path)).first()["masked"]
+    assert "3333" not in masked and "12" not in masked

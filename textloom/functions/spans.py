@@ -6,7 +6,7 @@ offsets.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +23,24 @@ PATTERNS = {
     "ADDRESS": r"P\.?O\.?\s*Box\s+\d+",
     "PERSON": r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b",
 }
+# All detection patterns with their types, in order of precedence.
+ALL = (
+    ("EMAIL", PATTERNS["EMAIL"]),
+    ("PHONE", PATTERNS["PHONE"]),
+    ("CREDIT_CARD", PATTERNS["CREDIT_CARD"]),
+    ("CREDIT_CARD", r"\b[0-9]{4}\s[0-9]{4}\s[0-9]{4}\s[0-9]{4}\b"),
+    ("CREDIT_CARD", r"\b[0-9]{4}\*{4}\*{4}[0-9]{4}\b"),
+    ("SSN", PATTERNS["SSN"]),
+    ("IP_ADDRESS", PATTERNS["IP_ADDRESS"]),
+    ("URL", PATTERNS["URL"]),
+    ("DATE", PATTERNS["DATE"]),
+    ("PHONE", r"\b\+?\d{1,3}[-.\s]?\(?\d{1,4}\)?[-.\s]?\d{1,4}[-.\s]?\d{1,9}\b"),
+    ("PHONE", r"\b\d{3,4}[-.\s]\d{3,4}[-.\s]\d{4}\b"),
+    ("PHONE", r"\(\d{3}\)\s*\d{3}-\d{4}"),
+    ("ADDRESS", r"\d+\s+[A-Z][a-z]+\s+(Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Court|Ct)"),
+    ("ADDRESS", PATTERNS["ADDRESS"]),
+    ("PERSON", PATTERNS["PERSON"]),
+)
 # How sensitive a type is, 1 to 10; others 5.
 SENSITIVITY = {"CREDIT_CARD": 10, "SSN": 10, "PASSWORD": 10, "PHONE": 7, "EMAIL": 6, "PERSON": 5, "ADDRESS": 7, "DATE": 3, "LOCATION": 4, "ORGANIZATION": 3, "IP_ADDRESS": 6, "URL": 4}
 SPAN = "struct<entity_type:string,start:int,stop:int,entity_value:string,confidence:double>"
@@ -48,9 +66,9 @@ def find(text: Column, pattern: str, entity_type: str, confidence: float = 0.9)
     return F.when(text.rlike(pattern), F.aggregate(pairs, start, step)["spans"]).otherwise(start["spans"])
 
 
-def find_all(text: Column, patterns: Mapping[str, str] = PATTERNS) -> Column:
+def find_all(text: Column, patterns: Sequence[tuple[str, str]] = ALL) -> Column:
     """Matches of all patterns; of equal spans the first pattern's."""
-    found = F.concat(*[find(text, p, t) for t, p in patterns.items()])
+    found = F.concat(*[find(text, p, t) for t, p in patterns])
     return let(found, lambda f: F.filter(f, lambda x, i: ~F.exists(F.slice(f, F.lit(1), i), lambda y: (y["start"] == x["start"]) & (y["stop"] == x["stop"]))))
 
 
