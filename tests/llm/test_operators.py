@@ -245,3 +245,65 @@ def test_set_join_and_mix_by_row(spark):
     short = spark.createDataFrame([(None, "one", "en", "a", 0, 0, 0), (None, "two three four", "en", "a", 0, 0, 0)], DOCS)
     words = [w for r in mixing.mixed_documents(short, weights=(1,), share=1.5).collect() for w in r["text"].split()]
     assert len(words) == 6
+
+
+def near_copies(n, least, most, words=80):
+    rng = np.random.default_rng(11)
+    out, base = [], [f"b{k}" for k in range(words)]
+    for k in range(n):
+        own = base.copy()
+        for p in rng.choice(words, rng.integers(least, most + 1), replace=False):
+            own[p] = f"e{rng.integers(10**9)}"
+        out.append((k, " ".join(own), None, None, 0, 0, 0))
+    return out
+
+
+@pytest.mark.parametrize("edits", [(0, 2), (1, 3)])
+def test_set_join_work_grows_with_a_group(spark, monkeypatch, edits):
+    """A group of near copies, with or without the text they come from: right, and compared in proportion to its size."""
+    compared = []
+    own = setjoin.compare
+
+    def counted(pairs, texts):
+        compared[-1] += pairs.count()
+        return own(pairs, texts)
+
+    monkeypatch.setattr(setjoin, "compare", counted)
+    for n in (150, 600):
+        rows = near_copies(n, *edits)
+        compared.append(0)
+        got = sorted((str(r[0]), r[1], str(r[2])) for r in setjoin.jaccard_components(spark.createDataFrame(rows, DOCS)).collect())
+        if n == 150:
+            assert got == jaccard(rows)
+    assert compared[0] <= 3 * 150 and compared[1] <= 3 * 600
+
+
+def test_set_join_of_null_and_repeated_ids(spark):
+    """Texts are found by row: ids that are null or stand on many texts join nothing twice."""
+    texts = [" ".join(f"{x}{k}" for k in range(30)) for x in range(100)]
+    edited = [t.rsplit(" ", 1)[0] + " end" for t in texts]
+    rows = [(key, t, None, None, 0, 0, 0) for key in (None, 7) for t in texts + edited] + [(None, texts[0], None, None, 0, 0, 0)] * 3
+    docs = spark.createDataFrame(rows, DOCS)
+    got = sorted((str(r[0]), r[1], str(r[2])) for r in setjoin.jaccard_components(docs).collect())
+    assert got == jaccard(rows)
+    plain = docs.select("doc_id", "text")
+    nodes = setjoin.signatures(plain).groupBy("sig", "doc_id", "xh").agg(F.count(F.lit(1)).alias("rows"))
+    nodes = nodes.groupBy("sig").agg(F.min(F.struct("doc_id", "xh", "rows")).alias("x")).select("sig", "x.*")
+    found, drop = setjoin.texts_of(nodes.select("sig"), plain, nodes)
+    assert found.count() == 200 and found.select("sig").distinct().count() == 200
+    drop()
+    kept = setjoin.one_of_each(docs).collect()
+    assert len(kept) == 100 and {r["doc_id"] for r in kept} == {7}
+
+
+def test_set_join_matches_sql(spark):
+    import duckdb
+
+    from textloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    expected = sorted(db.execute(queries.ORACLE_SQL["op9_ngram_jaccard_join"]).fetchall())
+    names = [d[0] for d in db.execute(queries.ORACLE_SQL["op9_ngram_jaccard_join"]).description]
+    assert sorted(map(tuple, queries.QUERIES["op9_ngram_jaccard_join"](spark, sf).select(*names).collect())) == expected

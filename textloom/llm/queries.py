@@ -147,4 +147,21 @@ dealt as (
 select doc_id, size, source_size, target,
        (size * times + greatest(0, least(size, round(target - times * source_size)::bigint - before)))::bigint as taken
 from dealt""",
+    "op9_ngram_jaccard_join": r"""
+with recursive worded as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+words as (select r, unnest(w) as word, generate_subscripts(w, 1) as i from worded),
+runs as (
+  select r, word || coalesce(' ' || lead(word, 1) over o, '') || coalesce(' ' || lead(word, 2) over o, '') || coalesce(' ' || lead(word, 3) over o, '') || coalesce(' ' || lead(word, 4) over o, '') as h,
+         i, count(*) over (partition by r) as c
+  from words window o as (partition by r order by i)),
+shingles as (select distinct r, h from runs where i <= greatest(c - 4, 1)),
+sets as (select r, doc_id, coalesce(n, 0) as n from worded left join (select r, count(*) as n from shingles group by r) using (r)),
+shared as (select a.r as a, b.r as b, count(*) as common from shingles a join shingles b on a.h = b.h and a.r <> b.r group by a.r, b.r),
+links as (
+  select a, b from shared join sets x on x.r = a join sets y on y.r = b where 100 * common >= 80 * (x.n + y.n - common)),
+reached as (select r, r as other from sets union select reached.r, b from reached join links on a = other)
+select x.doc_id, x.n::bigint as n_shingles, case when x.n = 0 then x.doc_id else min(y.doc_id) end as component_id
+from reached join sets x on x.r = reached.r join sets y on y.r = other group by x.r, x.doc_id, x.n""",
 }

@@ -6,15 +6,22 @@ A document's set is its distinct 5-word shingles (64-bit hashes).  Equal sets ar
    logarithmic level) and then by hash.  Any order is exact; this one keeps passages that many
    documents share out of the indexed part.  The table has ``CELLS`` bytes whatever the input.
 2. Index.  Two sets of similarity 0.8 share one of their first ``n - ceil(0.8 n) + 1`` shingles.
-   These make inverted lists, streamed in (shingle, set) order; lists of one set are dropped.
-3. Answers of the leaders.  A list's first set is its leader; every other member is compared with
-   it, a comparison that most lists of a group of near copies share.  Links found so far are
-   merged to components.
-4. Answers derived.  In each list only pairs across components are left.  Block skips by size and
-   by position in the order, and the members' known distances to the leader (Jaccard distance is
-   a metric, so ``|d(x,l) - d(y,l)|`` bounds ``d(x,y)`` from below) settle most.  A set whose pairs
-   stay open asks the other component: counting sketches of its members bound the intersections,
-   and what they allow is compared.
+   These make inverted lists; lists of one set are dropped.  A list is cut in classes of size by
+   factors of 1.25, so that linked sets are in the same class or neighbouring ones.
+3. Answers of the leaders.  The leader of a list's class is the set that reaches the list's shingle
+   earliest, thus the one with fewest rare shingles of its own, which of a group of near copies is
+   the most central.  Every other member is compared with it, a comparison that most lists of a
+   group share, and neighbouring classes' leaders with each other.  Links found so far are merged
+   to components.
+4. Block skipping.  Members of a list that agree in leader, size, position and distance to the
+   leader are a block.  Of two blocks, sizes, positions in the order and the distances (Jaccard
+   distance is a metric, so ``|d(x,l) - d(y,l)|`` bounds ``d(x,y)`` from below) skip nearly all
+   pairs at once, and pairs within a component are settled.  A set with a pair left joins the pool
+   of the leader in question.
+5. Answers derived.  In a pool, the sets outside its largest component ask all of it: counting
+   sketches bound the intersections from above.  Of what they allow, each set compares its best
+   candidate of each component first; links merge components and settle the others.  Sets with
+   candidates left ask again, for more of them, until none has any.
 
 Comparing moves texts, not sets: compressed text is smaller than its hashes.  A leader's members
 are dealt over several groups with a copy of the leader each.  Groups of copies thus cost one
@@ -39,9 +46,14 @@ from textloom.llm.components import components
 from textloom.llm.storage import small, swept, temporary, written
 from textloom.llm.words import Words, mix, pieces, shingles
 
-CELLS = 1 << 24
-MEMBERS, ASKERS, SKETCH = 400, 200, 512
-_SEND_WHOLE = 500_000
+CELLS = 1 << 22
+MEMBERS, ASKERS, SKETCH = 1000, 1000, 512
+#: Keys sent to every task at once; more are joined by shuffles.
+_SEND_WHOLE = 200_000
+#: Candidates of a set and group in the first round of a pool, and the factor from round to round.
+FIRST, MORE = 4, 8
+#: Steps of the distance to the leader.
+_STEPS = 100
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -55,7 +67,7 @@ def _signature(own: np.ndarray) -> int:
 
 
 def _cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(40)).astype(np.int64)
+    return (hashes >> np.uint64(42)).astype(np.int64)
 
 
 def frequent_cells(docs: DataFrame) -> np.ndarray:
@@ -67,7 +79,7 @@ def frequent_cells(docs: DataFrame) -> np.ndarray:
             own = list(_sets(batch))
             np.add.at(n, _cells(np.concatenate(own)), 1)
         mean = n.sum() / CELLS
-        often = np.flatnonzero(n >= 8 + mean + 6 * np.sqrt(mean))
+        often = np.flatnonzero(n >= 3 + mean + 4 * np.sqrt(mean))
         yield pa.RecordBatch.from_arrays([pa.array(often.astype(np.int32)), pa.array(n[often].astype(np.int64))], ["cell", "n"])
 
     rows = docs.mapInArrow(task, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
@@ -77,26 +89,20 @@ def frequent_cells(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sig, sketch for each document; sig is null for an empty set.
-
-    The sketch counts a set's shingles by ``SKETCH`` cells of their hash, a byte each (null if one
-    doesn't fit): the cells' smaller counts add up to an upper bound of an intersection.
-    """
+    """doc_id, xh, n, sig for each document; xh tells texts apart, sig sets; sig is null for an empty set."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             own = list(_sets(batch))
             n = np.array([len(x) for x in own], np.int64)
             sig = np.array([_signature(x) if len(x) else 0 for x in own], np.int64)
-            cells = (np.bincount((x % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) for x in own)
-            sketch = [c.astype(np.uint8).tobytes() if len(x) and c.max() < 256 else None for c, x in zip(cells, own, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sig, mask=n == 0), pa.array(sketch, pa.binary())], ["doc_id", "n", "sig", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("xh"), pa.array(n), pa.array(sig, mask=n == 0)], ["doc_id", "xh", "n", "sig"])
 
-    return docs.mapInArrow(task, "doc_id long, n long, sig long, sketch binary")
+    return docs.withColumn("xh", F.xxhash64("text")).mapInArrow(task, "doc_id long, xh long, n long, sig long")
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """h, sig, n, pos: each task's distinct sets under the shingles they are indexed by."""
+    """h, class, pos, n, sig: each task's distinct sets under the shingles they are indexed by."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # CELLS bytes
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +123,12 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             if parts:
                 length = [len(p) for p in parts]
                 pos = np.arange(sum(length)) - np.repeat(np.cumsum(length) - length, length)
-                columns = [np.concatenate(parts).view(np.int64), np.repeat(sigs, length), np.repeat(np.array(sizes, np.int32), length), pos.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "sig", "n", "pos"])
+                size = np.array(sizes, np.int32)
+                of_size = np.floor(np.log(size) / np.log(1.25)).astype(np.int32)
+                columns = [np.concatenate(parts).view(np.int64), np.repeat(of_size, length), pos.astype(np.int32), np.repeat(size, length), np.repeat(sigs, length)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "class", "pos", "n", "sig"])
 
-    return docs.mapInArrow(task, "h long, sig long, n int, pos int")
+    return docs.mapInArrow(task, "h long, class int, pos int, n int, sig long")
 
 
 def _arrays(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
@@ -128,56 +136,66 @@ def _arrays(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
 
 
 def lists(prefix: DataFrame) -> DataFrame:
-    """Lists of two sets or more: h, leader, leader_n, sig, n, pos."""
+    """Lists of two sets or more: h, class, leader, before, sig, n, pos.
+
+    ``before`` is the leader of the class before, null if the list lacks that class.
+    """
     partitions = int(prefix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: list | None = None  # first row of the list that may go on, and whether it is out
-        out, last = False, 0
+        # the last row's h, class, leader, before and whether that is known; and that row itself while its list has no other
+        head, lone, last = (0, 0, 0, 0, False), None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, sig, n, pos = _arrays(batch, ("h", "sig", "n", "pos"))
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (sig[1:] != sig[:-1])
-            if head is not None:
-                new &= (h != head[0]) | (sig > last)
-            h, sig, n, pos = h[new], sig[new], n[new], pos[new]
+            h, of_size, pos, n, sig = _arrays(batch, ("h", "class", "pos", "n", "sig"))
+            new = np.append(last != (h[0], sig[0]), (h[1:] != h[:-1]) | (sig[1:] != sig[:-1]))
+            goes_on = last is not None and last[0] == h[0]
+            last = (h[-1], sig[-1])
+            h, of_size, pos, n, sig = h[new], of_size[new], pos[new], n[new], sig[new]
             if not len(h):
                 continue
-            going_on = out
-            if head is not None:
-                h, sig, n, pos = (np.concatenate([[x], c]).astype(c.dtype) for x, c in zip(head, (h, sig, n, pos), strict=True))
-            else:
-                going_on = False
-            starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            length = np.diff(np.append(starts, len(h)))
-            first = np.repeat(starts, length)
-            emit = np.repeat(length, length) > 1
-            if going_on:
-                emit[0] = False
-            a = starts[-1]
-            out = bool(length[-1] > 1 or going_on and len(starts) == 1)
-            head, last = [h[a], sig[a], n[a], pos[a]], sig[-1]
-            if emit.any():
-                columns = [h[emit], sig[first][emit], n[first][emit], sig[emit], n[emit], pos[emit]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "leader", "leader_n", "sig", "n", "pos"])
-
-    return prefix.repartition(partitions, "h").sortWithinPartitions("h", "sig").mapInArrow(task, "h long, leader long, leader_n int, sig long, n int, pos int")
+            same = np.append(goes_on and head[0] == h[0], h[1:] == h[:-1])
+            opens = ~same | (of_size != np.append(head[1], of_size[:-1]))
+            at = np.flatnonzero(opens)
+            # classes, after the one that may go on
+            leaders, classes, of_list = np.append(head[2], sig[at]), np.append(head[1], of_size[at]), np.append(head[0], h[at])
+            follows = np.append(head[4], same[at] & (of_list[1:] == of_list[:-1]) & (classes[1:] == classes[:-1] + 1))
+            behind = np.append(head[3], leaders[:-1])
+            which = np.cumsum(opens)
+            columns = [h, of_size, leaders[which], behind[which], follows[which], sig, n, pos]
+            emit = same | np.append(same[1:], False)
+            out = [c[emit] for c in columns]
+            if lone is not None and same[0]:
+                out = [np.append(x, c).astype(c.dtype) for x, c in zip(lone, out, strict=True)]
+            lone = None if emit[-1] else [c[-1] for c in columns]
+            head = tuple(c[-1] for c in columns[:5])
+            if len(out[0]):
+                h, of_size, leader, before, known, sig, n, pos = out
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(of_size), pa.array(leader), pa.array(before, mask=~known), pa.array(sig), pa.array(n), pa.array(pos)], ["h", "class", "leader", "before", "sig", "n", "pos"])
+
+    dealt = prefix.repartition(partitions, "h").sortWithinPartitions("h", "class", "pos", "n", "sig")
+    return dealt.mapInArrow(task, "h long, class int, leader long, before long, sig long, n int, pos int")
+
+
+def _sent(keys: DataFrame) -> DataFrame:
+    """``keys``, sent whole if they are few."""
+    return F.broadcast(keys) if keys.count() <= _SEND_WHOLE else keys
 
 
 def texts_of(sigs: DataFrame, docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-    """sig, text of one document for each of ``sigs`` (sig), and what deletes this table; nodes: sig, doc_id."""
-    needed = small(sigs.distinct().join(nodes, "sig").select("sig", F.col("doc_id").alias("_id")))
-    # sent whole only if they are few
-    wanted = F.broadcast(needed) if needed.count() <= _SEND_WHOLE else needed
-    return temporary(docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_id"))).select("sig", "text"), "texts")
+    """sig, text for each of ``sigs`` (sig), and what deletes this table; nodes: sig, doc_id, xh, rows."""
+    needed = small(sigs.distinct().join(nodes, "sig").select("sig", F.col("doc_id").alias("_id"), F.col("xh").alias("_xh"), "rows"))
+    found = docs.join(_sent(needed), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_xh")))
+    texts = found.where("rows = 1").select("sig", "text")
+    if not needed.where("rows > 1").isEmpty():  # repeated rows
+        texts = texts.unionByName(found.where("rows > 1").groupBy("sig").agg(F.first("text").alias("text")))
+    return temporary(texts, "texts")
 
 
-def compare(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``common``, the size of the intersection; best where many pairs share their a."""
+def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with ``na``, ``nb`` and ``common``, the sizes of the sets and of the intersection; best where many share their a."""
     partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts, drop = texts_of(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")), docs, nodes)
     deal = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("groups"))
     members = pairs.join(deal, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("sig"))
     leaders = deal.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("sig"))
@@ -189,180 +207,251 @@ def compare(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             a, part, role, sig = _arrays(batch, ("a", "part", "role", "sig"))
             found = []
             for k, own in enumerate(_sets(batch)):
-                if not len(own) or _signature(own) != sig[k]:
-                    continue  # another text under the same id
                 if role[k] == 0:
                     key, leader = (a[k], part[k]), own
                 elif key == (a[k], part[k]):
                     at = np.searchsorted(leader, own)
                     at[at == len(leader)] = 0
-                    found.append((a[k], sig[k], int((leader[at] == own).sum())))
+                    found.append((a[k], sig[k], len(leader), len(own), int((leader[at] == own).sum())))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b", "common"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b", "na", "nb", "common"])
 
     dealt = rows.repartition(partitions, "a", "part").sortWithinPartitions("a", "part", "role", "sig")
-    found = small(dealt.mapInArrow(task, "a long, b long, common long").distinct())
-    drop()
-    return found
-
-
-def open_questions(known: DataFrame) -> DataFrame:
-    """component, sig: sets that sizes, positions and distances to the leader leave open towards a component.
-
-    Of two components that meet in a list, the one with fewer sets there asks.
+    return small(dealt.mapInArrow(task, "a long, b long, na long, nb long, common long"))
+
+
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.where("100 * common >= 80 * (na + nb - common)").select("a", "b")
+
+
+def _open_blocks(key: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of one list's blocks: leader of a pool, blocks in it, and for each the least and greatest component among those it can link with."""
+    of_size, leader, n, pos, step = key
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    rest = n - pos  # what is left from this place on bounds the intersection
+    for c in np.unique(of_size):
+        ours = np.flatnonzero(of_size == c)
+        all_ = np.flatnonzero((of_size == c) | (of_size == c + 1))
+        if low[all_].min() == high[all_].max():
+            continue
+        lows, highs = np.full(len(all_), np.iinfo(np.int64).max), np.full(len(all_), np.iinfo(np.int64).min)
+        place = np.searchsorted(all_, ours)
+        for a in range(0, len(ours), 128):
+            i, at = ours[a : a + 128], place[a : a + 128]
+            both = n[i][:, None] + n[all_]
+            ok = 9 * np.minimum(rest[i][:, None], rest[all_]) >= 4 * both
+            # of the same leader, with both distances known; a step less than the gap is sure
+            gap = np.abs(step[i][:, None] - step[all_])
+            ok &= ~((of_size[all_] == c) & (step[i][:, None] >= 0) & (step[all_] >= 0) & (5 * (gap - 1) > _STEPS))
+            big = np.where(ok, low[all_], np.iinfo(np.int64).max)
+            small_ = np.where(ok, high[all_], np.iinfo(np.int64).min)
+            lows[at], highs[at] = np.minimum(lows[at], big.min(1)), np.maximum(highs[at], small_.max(1))
+            lows = np.minimum(lows, np.where(ok, low[i][:, None], np.iinfo(np.int64).max).min(0))
+            highs = np.maximum(highs, np.where(ok, high[i][:, None], np.iinfo(np.int64).min).max(0))
+        hit = (lows < high[all_]) | (highs > low[all_])
+        if hit.any():
+            yield leader[ours[0]], all_[hit], lows[hit], highs[hit]
+
+
+def open_sets(index: DataFrame, answers: DataFrame) -> DataFrame:
+    """pool, sig: sets with a pair in a list that sizes, positions, distances and components leave open.
+
+    ``index``: the lists; ``answers``: leader, sig, component, step (of the distance, null if unknown).
     """
-    partitions = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ("h", "leader", "sig", "n", "pos", "component", "distance")
-
-    def asked(leader: int, sig: np.ndarray, n: np.ndarray, pos: np.ndarray, part: np.ndarray, distance: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if (part == part[0]).all():
-            return
-        rest = sig != leader  # compared with everyone already
-        sig, n, pos, part, distance = sig[rest], n[rest].astype(np.int64), pos[rest].astype(np.int64), part[rest], distance[rest]
-        if not len(sig):
-            return
-        block = np.searchsorted(n, n * 5 // 4, "right")  # sizes up to n / 0.8
-        _, group, size = np.unique(part, return_inverse=True, return_counts=True)
-        size = size[group]
-        for i in range(len(sig) - 1):
-            j = slice(i + 1, block[i])
-            most = 1 + np.minimum(n[i] - 1 - pos[i], n[j] - 1 - pos[j])
-            ok = (part[j] != part[i]) & (9 * most >= 4 * (n[i] + n[j]))
-            ok &= ~(np.abs(distance[j] - distance[i]) > 0.2 + 1e-9)  # unknown distances settle nothing
-            if ok.any():
-                other = i + 1 + np.flatnonzero(ok)
-                self_asks = (size[i] < size[other]) | (size[i] == size[other]) & (part[i] < part[other])
-                if self_asks.any():
-                    towards = np.unique(part[other[self_asks]])
-                    yield np.full(len(towards), sig[i]), towards
-                if not self_asks.all():
-                    askers = sig[other[~self_asks]]
-                    yield askers, np.full(len(askers), part[i])
+    partitions = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = ["h", "class", "leader", "n", "pos"]
+    rows = index.join(answers, ["leader", "sig"])
+    blocks = rows.groupBy(*place, "step").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    names = ("h", "class", "leader", "n", "pos", "step", "low", "high")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[list[np.ndarray]] = []  # blocks of the list that may go on
 
         def close() -> Iterator[pa.RecordBatch]:
-            h, leader, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
+            h, *key, low, high = (np.concatenate(c) for c in zip(*held, strict=True))
             cuts = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))
-            found = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                own = list(asked(leader[a], *(c[a:b] for c in rest)))
-                if own:
-                    who, whom = (np.concatenate(c) for c in zip(*own, strict=True))
-                    found.append(np.unique(np.stack([whom, who]), axis=1))
-            if found:
-                out = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["component", "sig"])
+                if b - a < 2 and low[a] == high[a]:
+                    continue
+                for pool, at, lows, highs in _open_blocks([c[a:b] for c in key], low[a:b], high[a:b]):
+                    k = a + at
+                    columns = [h[k], *[c[k] for c in key], np.full(len(k), pool), lows, highs]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "class", "leader", "n", "pos", "step", "pool", "lows", "highs"])
 
         for batch in batches:
-            own = _arrays(batch, names)
-            if not len(own[0]):
+            if not batch.num_rows:
                 continue
-            if own[0][0] != own[0][-1]:
-                cut = int(np.searchsorted(own[0], own[0][-1]))
-                if held and held[-1][0][-1] != own[0][0]:
-                    yield from close()
-                    held = []
+            own = _arrays(batch, names)
+            cut = int(np.searchsorted(own[0], own[0][-1]))
+            if held and held[-1][0][-1] != own[0][0]:
+                yield from close()
+                held = []
+            if cut:
                 held.append([c[:cut] for c in own])
                 yield from close()
                 held, own = [], [c[cut:] for c in own]
-            elif held and held[-1][0][-1] != own[0][0]:
-                yield from close()
-                held = []
             held.append(own)
         if held:
             yield from close()
 
-    return known.repartition(partitions, "h").sortWithinPartitions("h", "n", "sig").mapInArrow(task, "component long, sig long").distinct()
+    dealt = blocks.withColumn("step", F.coalesce("step", F.lit(-1))).repartition(partitions, "h").sortWithinPartitions("h")
+    asked = small(dealt.mapInArrow(task, "h long, class int, leader long, n int, pos int, step int, pool long, lows long, highs long"))
+    if asked.isEmpty():
+        return asked.select("pool", F.col("n").cast("long").alias("sig"))
+    again = index.join(_sent(small(asked.select("h").distinct())), "h").join(answers, ["leader", "sig"]).withColumn("step", F.coalesce("step", F.lit(-1)))
+    found = again.join(asked, [*place, "step"]).where((F.col("lows") < F.col("component")) | (F.col("highs") > F.col("component")))
+    return small(found.select("pool", "sig").distinct())
 
 
-def possible_links(questions: DataFrame, members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of an asking set and a set of the component asked whose sketches allow a link.
+def sketches_of(texts: DataFrame) -> DataFrame:
+    """sig, n, sketch of ``texts`` (sig, text).
 
-    ``questions``: component, sig; ``members``: component, sig; ``sketches``: sig, n, sketch.
-    Askers and members of a component are dealt over a grid of groups, so that a sketch moves once
-    for many comparisons and no group grows with the component.
+    The sketch counts a set's shingles by ``SKETCH`` cells of their hash, a byte each (null if one
+    doesn't fit): the cells' smaller counts add up to an upper bound of an intersection.
     """
-    partitions = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = questions.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("int").alias("rows"))
-    members = members.join(asked.select("component"), "component", "left_semi")
-    grid = small(asked.join(members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("columns")), "component"))
 
-    def every(count: str) -> Column:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            own = list(_sets(batch))
+            cells = (np.bincount((x % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) for x in own)
+            sketch = [c.astype(np.uint8).tobytes() if c.max() < 256 else None for c in cells]
+            yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array([len(x) for x in own], pa.int64()), pa.array(sketch, pa.binary())], ["sig", "n", "sketch"])
+
+    return texts.mapInArrow(task, "sig long, n long, sketch binary")
+
+
+_EVEN = np.uint64(0x00FF00FF00FF00FF)
+
+
+def _shared(own: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """For each row of ``own`` the sum of its bytes' minima with ``sketch``."""
+    least = np.minimum(own, sketch).view(np.uint64)
+    pairs = ((least & _EVEN) + ((least >> np.uint64(8)) & _EVEN)).sum(1)  # 16 bits hold each of the four sums
+    return sum((pairs >> np.uint64(16 * k) & np.uint64(0xFFFF)).astype(np.int64) for k in range(4))
+
+
+def possible_links(asking: DataFrame, pools: DataFrame, sketches: DataFrame, most_of_each: int, every: bool) -> DataFrame:
+    """a, b, left: pairs of an asking set and one of its pool, of another component, whose sketches allow a link.
+
+    ``asking``, ``pools``: pool, sig, component.  Of each group that a set meets, it names at most
+    ``most_of_each`` candidates, the best first, and unless ``every`` only one of each component;
+    ``left`` tells whether it has others.  Both sides are dealt over a grid of groups, so that no
+    group grows with the pool.
+    """
+    partitions = int(asking.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows_ = asking.groupBy("pool").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("int").alias("rows"))
+    grid = small(rows_.join(pools.groupBy("pool").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("columns")), "pool"))
+
+    def each(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
     def one(count: str) -> Column:
         return F.pmod(F.xxhash64("sig"), F.col(count)).cast("int")
 
-    asking = questions.join(grid, "component").select("component", one("rows").alias("i"), every("columns").alias("j"), F.lit(0).alias("role"), "sig")
-    told = members.join(grid, "component").select("component", every("rows").alias("i"), one("columns").alias("j"), F.lit(1).alias("role"), "sig")
-    rows = asking.unionByName(told).join(sketches, "sig").select("component", "i", "j", "role", "sig", "n", "sketch")
+    asks = asking.join(grid, "pool").select("pool", one("rows").alias("i"), each("columns").alias("j"), F.lit(0).alias("role"), "sig", "component")
+    told = pools.join(grid, "pool").select("pool", each("rows").alias("i"), one("columns").alias("j"), F.lit(1).alias("role"), "sig", "component")
+    rows = asks.unionByName(told).join(sketches, "sig").select("pool", "i", "j", "role", "sig", "component", "n", "sketch")
     full = np.full(SKETCH, 255, np.uint8).tobytes()  # bounds nothing
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, askers = None, []
         for batch in batches:
-            keys = list(zip(*_arrays(batch, ("component", "i", "j")), strict=True))
-            role, sig, n = _arrays(batch, ("role", "sig", "n"))
+            keys = np.stack(_arrays(batch, ("pool", "i", "j", "role")), 1)
+            sig, part, n = _arrays(batch, ("sig", "component", "n"))
             loose = np.asarray(batch.column("sketch").is_null())
             table = np.frombuffer(b"".join(x if x is not None else full for x in batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-            at, found = 0, []
-            while at < len(keys):
-                to = at
-                while to < len(keys) and keys[to] == keys[at] and role[to] == role[at]:
-                    to += 1
-                if key != keys[at]:
-                    key, askers = keys[at], []
-                if role[at] == 0:
-                    askers += [(sig[k], int(n[k]), table[k], loose[k]) for k in range(at, to)]
-                else:
-                    own_n, own_sig, own = n[at:to], sig[at:to], table[at:to]
-                    for who, size, sketch, unsure in askers:
-                        most = np.minimum(np.minimum(own_n, size), np.where(loose[at:to] | unsure, size, np.minimum(own, sketch).sum(1, dtype=np.int64)))
-                        hit = own_sig[(9 * most >= 4 * (own_n + size)) & (own_sig != who)]
-                        found += [(who, x) for x in hit]
-                at = to
+            cuts = np.append(np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))), len(keys)) if len(keys) else np.zeros(1, int)
+            found: list[tuple[int, int, bool]] = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if key != tuple(keys[a][:3]):
+                    key, askers = tuple(keys[a][:3]), []
+                if keys[a][3] == 0:
+                    askers += [(sig[k], part[k], int(n[k]), table[k], loose[k]) for k in range(a, b)]
+                    continue
+                own_n, own_sig, own_part, own, own_loose = n[a:b], sig[a:b], part[a:b], table[a:b], loose[a:b]
+                for who, home, size, sketch, unsure in askers:
+                    most = np.minimum(np.minimum(own_n, size), np.where(own_loose | unsure, size, _shared(own, sketch)))
+                    hit = np.flatnonzero((9 * most >= 4 * (own_n + size)) & (own_part != home))
+                    if not len(hit):
+                        continue
+                    order = hit[np.lexsort((own_sig[hit], -most[hit] / (own_n[hit] + size)))]
+                    best = order if every else order[np.sort(np.unique(own_part[order], return_index=True)[1])]
+                    best = best[:most_of_each]
+                    found += [(who, x, len(best) < len(hit)) for x in own_sig[best]]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
-
-    dealt = rows.repartition(partitions, "component", "i", "j").sortWithinPartitions("component", "i", "j", "role", "sig")
-    return small(dealt.mapInArrow(task, "a long, b long").distinct())
-
-
-def _links(compared: DataFrame, sizes: DataFrame) -> DataFrame:
-    rows = compared.join(sizes.select(F.col("sig").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b")
-    return rows.where("100 * common >= 80 * (na + nb - common)").select("a", "b")
+                who, whom, left = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(whom, pa.int64()), pa.array(left)], ["a", "b", "left"])
+
+    dealt = rows.repartition(partitions, "pool", "i", "j").sortWithinPartitions("pool", "i", "j", "role", "sig")
+    return small(dealt.mapInArrow(task, "a long, b long, left boolean"))
+
+
+def _placed(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """``rows`` (sig) with their component; a set without links is its own."""
+    return rows.join(merged.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+
+
+def _joined(merged: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further ``links`` (a, b)."""
+    ends = _placed(_placed(links.select("a", F.col("b").alias("sig")), merged).select(F.col("component").alias("b"), F.col("a").alias("sig")), merged)
+    more = small(components(ends.select(F.col("component").alias("a"), "b")))
+    to = more.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    moved = merged.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return small(moved.unionByName(more.join(merged.select("node"), "node", "left_anti")))
+
+
+def settled(pools: DataFrame, merged: DataFrame, compared: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Components after all open pairs of ``pools`` (pool, sig) are settled."""
+    texts, drop = texts_of(pools.select("sig"), docs, nodes)
+    sketches, drop_sketches = temporary(sketches_of(texts), "sketches")
+    done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    asking, most_of_each = None, FIRST
+    while True:
+        placed = small(_placed(pools, merged))
+        shares = placed.groupBy("pool", "component").agg(F.count(F.lit(1)).alias("n"))
+        largest = shares.groupBy("pool").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        asks = placed.join(largest, "pool").where("component <> largest").select("pool", "sig", "component")
+        if asking is not None:
+            asks = asks.join(asking, "sig", "left_semi")
+        found = possible_links(asks, placed, sketches, most_of_each, every=asking is not None)
+        pairs = small(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
+        answers = compare(pairs, texts)
+        done = done.unionByName(pairs)
+        merged = _joined(merged, _links(answers))
+        asking = small(found.where("left").select(F.col("a").alias("sig")).distinct())
+        if asking.isEmpty():
+            break
+        most_of_each *= MORE
+    drop_sketches()
+    drop()
+    return merged
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """doc_id, sig, n, component, component_id for all ``docs`` (doc_id, text); component names a component of sets, null ids or not."""
+    """doc_id, xh, n, sig, component, component_id for all ``docs`` (doc_id, text); component names a component of sets, null ids or not."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    full = written(signatures(docs), "sets")
-    table = full.drop("sketch")
-    nodes = small(table.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
-    index, drop = temporary(lists(prefixes(docs, frequent_cells(docs))), "lists")
-    near = "10 * least({0}, {1}) >= 8 * greatest({0}, {1})"
-    starred = small(index.where("sig <> leader").select("leader", "leader_n", "sig", "n").distinct())
-    pairs = starred.where(near.format("leader_n", "n")).select(F.col("leader").alias("a"), F.col("sig").alias("b"))
-    compared = compare(pairs, docs, nodes)
-    links = small(_links(compared, nodes))
-    merged = components(links)
-    # each member's component and distance to the leader; the leader's own row too
-    answers = starred.join(compared.select(F.col("a").alias("leader"), F.col("b").alias("sig"), "common"), ["leader", "sig"], "left")
-    distance = 1 - F.col("common") / (F.col("leader_n") + F.col("n") - F.col("common"))
-    answers = answers.select("leader", "sig", distance.alias("distance")).unionByName(starred.select("leader", F.col("leader").alias("sig"), F.lit(0.0).alias("distance")).distinct())
-    answers = answers.join(merged.withColumnRenamed("node", "sig"), "sig", "left").select("leader", "sig", F.coalesce("component", "sig").alias("component"), "distance")
-    questions = small(open_questions(index.join(answers, ["leader", "sig"])))
+    table = written(signatures(docs), "sets")
+    one = table.where("sig is not null").groupBy("sig", "doc_id", "xh").agg(F.count(F.lit(1)).alias("rows"))
+    nodes = small(one.groupBy("sig").agg(F.min(F.struct("doc_id", "xh", "rows")).alias("x"), F.min("doc_id").alias("least")).select("sig", "x.doc_id", "x.xh", "x.rows", "least"))
+    levels = frequent_cells(docs)
+    index, drop = temporary(lists(prefixes(docs, levels)), "lists")
+    starred = small(index.where("sig <> leader").select("leader", "sig").distinct())
+    beside = index.where("sig = leader and before is not null").select(F.col("before").alias("leader"), "sig").distinct()
+    pairs = small(starred.unionByName(beside).select(F.col("leader").alias("a"), F.col("sig").alias("b")))
+    texts, drop_texts = texts_of(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")), docs, nodes)
+    compared = compare(pairs, texts)
+    drop_texts()
+    merged = components(_links(compared))
+    # each member's component and distance to its leader; the leader's own row too
+    step = F.floor(_STEPS * (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common")))).cast("int")
+    answers = starred.join(compared.select(F.col("a").alias("leader"), F.col("b").alias("sig"), step.alias("step")), ["leader", "sig"], "left")
+    alone = index.where("sig = leader").select("leader", "sig").distinct().withColumn("step", F.lit(0))
+    pools = open_sets(index, small(_placed(answers.unionByName(alone), merged)))
     drop()
-    if not questions.isEmpty():
-        members = nodes.join(merged.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("component", "sig").alias("component"))
-        sketches = full.where("sig is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-        pairs = possible_links(questions, members, sketches)
-        compared = compare(pairs.join(compared.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), docs, nodes)
-        merged = components(links.unionByName(_links(compared, nodes)))
-    named = nodes.join(merged.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", F.coalesce("component", "sig").alias("component"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    if not pools.isEmpty():
+        merged = settled(pools, merged, compared, docs, nodes)
+    named = _placed(nodes.select("sig", "least"), merged)
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = small(named.join(least, "component").select("sig", "component", "component_id"))
     swept(docs.sparkSession)
     return table.join(named, "sig", "left")
@@ -374,32 +463,31 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the signature of each row's set as _sig, null for an empty set."""
-    schema = docs.withColumn("_sig", F.lit(None).cast("long")).schema
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            own = list(_sets(batch))
-            sig = np.array([_signature(x) if len(x) else 0 for x in own], np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sig, mask=np.array([len(x) == 0 for x in own], bool))], [*batch.schema.names, "_sig"])
-
-    return docs.mapInArrow(task, schema)
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component of sets, of smallest id and then signature; a null id comes last.
 
     Rows with an empty set are linked with nothing: of those with the same id one stays, of those
     without an id all.
     """
-    named = _named(docs).where("sig is not null")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "sig")
-    kept = named.groupBy("component").agg(F.min(order).alias("x"))
-    kept = small(kept.select(F.col("x.doc_id").alias("_id"), F.col("x.sig").alias("_kept")))
-    rows = signed(docs)
-    own = F.col("doc_id").cast("long")
-    full = rows.where("_sig is not null").join(kept, (F.col("_sig") == F.col("_kept")) & own.eqNullSafe(F.col("_id")))
-    full = full.dropDuplicates(["_sig", "doc_id"]).select(*docs.columns)  # the same set and id: copies
-    empty = rows.where("_sig is null").drop("_sig")
-    return full.unionByName(empty.where("doc_id is not null").dropDuplicates(["doc_id"])).unionByName(empty.where("doc_id is null"))
+    named = _named(docs)
+    full, key = named.where("sig is not null"), [F.col("doc_id").alias("_id"), F.col("xh").alias("_xh")]
+    first = F.struct(F.col("doc_id").isNull().alias("later"), "doc_id", "sig", "xh")
+    kept = small(full.groupBy("component").agg(F.min(first).alias("x")).select("x.*")).select(*key)
+    counted = full.groupBy("doc_id", "xh").agg(F.count(F.lit(1)).alias("rows")).select(*key, "rows")
+    counted = small(counted.join(kept.withColumn("stays", F.lit(True)), (counted["_id"].eqNullSafe(kept["_id"])) & (counted["_xh"] == kept["_xh"]), "left").select(counted["_id"], counted["_xh"], "rows", F.coalesce("stays", F.lit(False)).alias("stays")))
+    empty = small(named.where("sig is null").select(*key).distinct())
+    again = counted.where("stays and rows > 1").select("_id", "_xh")
+    rows = docs.withColumn("_own", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+
+    def joined(left: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return left.join(_sent(keys), left["_own"].eqNullSafe(F.col("_id")) & (left["_hash"] == F.col("_xh")), how)
+
+    out = joined(rows, counted.where("not stays").select("_id", "_xh"), "left_anti")
+    special = again.unionByName(empty)
+    if not special.isEmpty():
+        blank = joined(rows, empty, "left_semi")
+        parts = [joined(rows, again, "left_semi").dropDuplicates(["_own", "_hash"]), blank.where("_own is not null").dropDuplicates(["_own"]), blank.where("_own is null")]
+        out = joined(out, special, "left_anti")
+        for part in parts:
+            out = out.unionByName(part)
+    return out.select(*docs.columns)
