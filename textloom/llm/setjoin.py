@@ -8,9 +8,9 @@ A document's set is its distinct 5-word shingles (64-bit hashes).  Equal sets ar
 2. Index.  Two sets of similarity 0.8 share one of their first ``n - ceil(0.8 n) + 1`` shingles.
    These make inverted lists; lists of one set are dropped.  A list is cut in classes of size by
    factors of 1.25, so that linked sets are in the same class or neighbouring ones.
-3. Answers of the leaders.  The leader of a list's class is the set that reaches the list's shingle
-   earliest, thus the one with fewest rare shingles of its own, which of a group of near copies is
-   the most central.  Every other member is compared with it, a comparison that most lists of a
+3. Answers of the leaders.  The leader of a list's class is the set with fewest rare shingles, which
+   of a group of near copies is the most central and leads all lists that it is in.  Every other
+   member is compared with it, a comparison that most lists of a
    group share, and neighbouring classes' leaders with each other.  Links found so far are merged
    to components.
 4. Block skipping.  Members of a list that agree in leader, size, position and distance to the
@@ -35,6 +35,7 @@ with different texts are different documents; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -102,20 +103,21 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """h, class, pos, n, sig: each task's distinct sets under the shingles they are indexed by."""
+    """h, rare, pos, n, sig: each task's distinct sets under the shingles they are indexed by; rare counts a set's rare shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # CELLS bytes
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in pieces(batches, "text"):
-            parts, sigs, sizes = [], [], []
+            parts, sigs, sizes, rare = [], [], [], []
             for own in _sets(batch):
                 n = len(own)
                 if not n or (sig := _signature(own)) in seen:
                     continue
                 seen.add(sig)
                 level = shared.value[_cells(own)]
-                if level.any():
+                rare.append(n - np.count_nonzero(level))
+                if rare[-1] < n:
                     own = own[np.argsort(level, kind="stable")]
                 parts.append(own[: n - -(-4 * n // 5) + 1])
                 sigs.append(sig)
@@ -123,12 +125,10 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             if parts:
                 length = [len(p) for p in parts]
                 pos = np.arange(sum(length)) - np.repeat(np.cumsum(length) - length, length)
-                size = np.array(sizes, np.int32)
-                of_size = np.floor(np.log(size) / np.log(1.25)).astype(np.int32)
-                columns = [np.concatenate(parts).view(np.int64), np.repeat(of_size, length), pos.astype(np.int32), np.repeat(size, length), np.repeat(sigs, length)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "class", "pos", "n", "sig"])
+                columns = [np.concatenate(parts).view(np.int64), np.repeat(np.array(rare, np.int32), length), pos.astype(np.int32), np.repeat(np.array(sizes, np.int32), length), np.repeat(sigs, length)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "rare", "pos", "n", "sig"])
 
-    return docs.mapInArrow(task, "h long, class int, pos int, n int, sig long")
+    return docs.mapInArrow(task, "h long, rare int, pos int, n int, sig long")
 
 
 def _arrays(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
@@ -174,7 +174,8 @@ def lists(prefix: DataFrame) -> DataFrame:
                 h, of_size, leader, before, known, sig, n, pos = out
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(of_size), pa.array(leader), pa.array(before, mask=~known), pa.array(sig), pa.array(n), pa.array(pos)], ["h", "class", "leader", "before", "sig", "n", "pos"])
 
-    dealt = prefix.repartition(partitions, "h").sortWithinPartitions("h", "class", "pos", "n", "sig")
+    dealt = prefix.repartition(partitions, "h").withColumn("class", F.floor(F.log("n") / math.log(1.25)).cast("int"))
+    dealt = dealt.sortWithinPartitions("h", "class", "rare", "sig").drop("rare")
     return dealt.mapInArrow(task, "h long, class int, leader long, before long, sig long, n int, pos int")
 
 
@@ -412,7 +413,9 @@ def settled(pools: DataFrame, merged: DataFrame, compared: DataFrame, docs: Data
         largest = shares.groupBy("pool").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         asks = placed.join(largest, "pool").where("component <> largest").select("pool", "sig", "component")
         if asking is not None:
-            asks = asks.join(asking, "sig", "left_semi")
+            asks = small(asks.join(asking, "sig", "left_semi"))
+            if asks.isEmpty():  # what they could still link with has been merged
+                break
         found = possible_links(asks, placed, sketches, most_of_each, every=asking is not None)
         pairs = small(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
         answers = compare(pairs, texts)
