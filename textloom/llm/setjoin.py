@@ -136,15 +136,16 @@ def _arrays(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
 
 
 def lists(prefix: DataFrame) -> DataFrame:
-    """Lists of two sets or more: h, class, leader, before, sig, n, pos.
+    """Lists of two sets or more: h, class, leader, asks, sig, n, pos.
 
-    ``before`` is the leader of the class before, null if the list lacks that class.
+    ``asks`` is whom the set is compared with: its leader, or the class before's if it leads itself;
+    null if the list lacks that or their sizes and positions allow no link.
     """
     partitions = int(prefix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the last row's h, class, leader, before and whether that is known; and that row itself while its list has no other
-        head, lone, last = (0, 0, 0, 0, False), None, None
+        # the last row's h, class, leader and the leader's n and pos; and that row itself while its list has no other
+        head, lone, last = (0, 0, 0, 0, 0), None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -155,28 +156,29 @@ def lists(prefix: DataFrame) -> DataFrame:
             h, of_size, pos, n, sig = h[new], of_size[new], pos[new], n[new], sig[new]
             if not len(h):
                 continue
-            same = np.append(goes_on and head[0] == h[0], h[1:] == h[:-1])
+            same = np.append(goes_on, h[1:] == h[:-1])
             opens = ~same | (of_size != np.append(head[1], of_size[:-1]))
-            at = np.flatnonzero(opens)
+            at, which = np.flatnonzero(opens), np.cumsum(opens)
             # classes, after the one that may go on
-            leaders, classes, of_list = np.append(head[2], sig[at]), np.append(head[1], of_size[at]), np.append(head[0], h[at])
-            follows = np.append(head[4], same[at] & (of_list[1:] == of_list[:-1]) & (classes[1:] == classes[:-1] + 1))
-            behind = np.append(head[3], leaders[:-1])
-            which = np.cumsum(opens)
-            columns = [h, of_size, leaders[which], behind[which], follows[which], sig, n, pos]
+            of_list, classes, leaders, sizes, places = (np.append(x, c[at]) for x, c in zip(head, (h, of_size, sig, n, pos), strict=True))
+            follows = np.append(False, same[at] & (of_list[1:] == of_list[:-1]) & (classes[1:] == classes[:-1] + 1))
+            asked = np.where(opens, which - 1, which)
+            near = 9 * np.minimum(n - pos, (sizes - places)[asked]).astype(np.int64) >= 4 * (n + sizes[asked]).astype(np.int64)
+            near &= ~opens | follows[which]
             emit = same | np.append(same[1:], False)
+            columns = [h, of_size, leaders[which], leaders[asked], near, sig, n, pos]
             out = [c[emit] for c in columns]
             if lone is not None and same[0]:
                 out = [np.append(x, c).astype(c.dtype) for x, c in zip(lone, out, strict=True)]
             lone = None if emit[-1] else [c[-1] for c in columns]
-            head = tuple(c[-1] for c in columns[:5])
+            head = (h[-1], of_size[-1], leaders[-1], sizes[-1], places[-1])
             if len(out[0]):
-                h, of_size, leader, before, known, sig, n, pos = out
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(of_size), pa.array(leader), pa.array(before, mask=~known), pa.array(sig), pa.array(n), pa.array(pos)], ["h", "class", "leader", "before", "sig", "n", "pos"])
+                h, of_size, leader, asks, near, sig, n, pos = out
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(of_size), pa.array(leader), pa.array(asks, mask=~near), pa.array(sig), pa.array(n), pa.array(pos)], ["h", "class", "leader", "asks", "sig", "n", "pos"])
 
     dealt = prefix.repartition(partitions, "h").withColumn("class", F.floor(F.log("n") / math.log(1.25)).cast("int"))
     dealt = dealt.sortWithinPartitions("h", "class", "rare", "sig").drop("rare")
-    return dealt.mapInArrow(task, "h long, class int, leader long, before long, sig long, n int, pos int")
+    return dealt.mapInArrow(task, "h long, class int, leader long, asks long, sig long, n int, pos int")
 
 
 def _sent(keys: DataFrame) -> DataFrame:
@@ -438,18 +440,16 @@ def _named(docs: DataFrame) -> DataFrame:
     nodes = small(one.groupBy("sig").agg(F.min(F.struct("doc_id", "xh", "rows")).alias("x"), F.min("doc_id").alias("least")).select("sig", "x.doc_id", "x.xh", "x.rows", "least"))
     levels = frequent_cells(docs)
     index, drop = temporary(lists(prefixes(docs, levels)), "lists")
-    starred = small(index.where("sig <> leader").select("leader", "sig").distinct())
-    beside = index.where("sig = leader and before is not null").select(F.col("before").alias("leader"), "sig").distinct()
-    pairs = small(starred.unionByName(beside).select(F.col("leader").alias("a"), F.col("sig").alias("b")))
+    pairs = small(index.where("asks is not null").select(F.col("asks").alias("a"), F.col("sig").alias("b")).distinct())
     texts, drop_texts = texts_of(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")), docs, nodes)
     compared = compare(pairs, texts)
     drop_texts()
     merged = components(_links(compared))
     # each member's component and distance to its leader; the leader's own row too
     step = F.floor(_STEPS * (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common")))).cast("int")
-    answers = starred.join(compared.select(F.col("a").alias("leader"), F.col("b").alias("sig"), step.alias("step")), ["leader", "sig"], "left")
-    alone = index.where("sig = leader").select("leader", "sig").distinct().withColumn("step", F.lit(0))
-    pools = open_sets(index, small(_placed(answers.unionByName(alone), merged)))
+    answers = index.select("leader", "sig").distinct().join(compared.select(F.col("a").alias("leader"), F.col("b").alias("sig"), step.alias("step")), ["leader", "sig"], "left")
+    answers = answers.withColumn("step", F.when(F.col("leader") == F.col("sig"), 0).otherwise(F.col("step")))
+    pools = open_sets(index, small(_placed(answers, merged)))
     drop()
     if not pools.isEmpty():
         merged = settled(pools, merged, compared, docs, nodes)
