@@ -6,9 +6,11 @@ A document's set is its distinct 5-word shingles (64-bit hashes).  Equal sets ar
    logarithmic level) and then by hash.  Any order is exact; this one keeps passages that many
    documents share out of the indexed part.  The table has ``CELLS`` bytes whatever the input.
 2. Index.  Two sets of similarity 0.8 share one of their first ``n - ceil(0.8 n) + 1`` shingles.
-   These make inverted lists; lists of one set are dropped.  A list is cut in classes of size by
-   factors of 1.25, so that linked sets are in the same class or neighbouring ones.
-3. Answers of the leaders.  The leader of a list's class is the set with fewest rare shingles, which
+   These make inverted lists; lists of one set are dropped.  Pairs that meet in lists of up to
+   ``FEW`` sets are counted, and compared if they share enough; so all that meet there are settled.
+   A longer list is cut in classes of size by factors of 1.25, so that linked sets are in the same
+   class or neighbouring ones.
+3. Answers of the leaders.  The leader of a long list's class is the set with fewest rare shingles, which
    of a group of near copies is the most central and leads all lists that it is in.  Every other
    member is compared with it, a comparison that most lists of a
    group share, and neighbouring classes' leaders with each other.  Links found so far are merged
@@ -47,10 +49,12 @@ from textloom.llm.components import components
 from textloom.llm.storage import small, swept, temporary, written
 from textloom.llm.words import Words, mix, pieces, shingles
 
-CELLS = 1 << 22
+CELLS, BLOCK = 1 << 23, 1 << 15
 MEMBERS, ASKERS, SKETCH = 1000, 1000, 512
 #: Keys sent to every task at once; more are joined by shuffles.
 _SEND_WHOLE = 200_000
+#: Lists of so many sets are taken as pairs.
+FEW = 3
 #: Candidates of a set and group in the first round of a pool, and the factor from round to round.
 FIRST, MORE = 4, 8
 #: Steps of the distance to the leader.
@@ -68,25 +72,48 @@ def _signature(own: np.ndarray) -> int:
 
 
 def _cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(42)).astype(np.int64)
+    return (hashes >> np.uint64(41)).astype(np.int64)
 
 
 def frequent_cells(docs: DataFrame) -> np.ndarray:
-    """A byte for each cell: 0, or the binary logarithm of how often its shingles occur."""
+    """A byte for each cell: 0, or the binary logarithm of how often its shingles occur more than by chance.
+
+    Tasks count in blocks of cells, which are added up block by block.
+    """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(CELLS, np.int32)
         for batch in pieces(batches, "text"):
-            own = list(_sets(batch))
-            np.add.at(n, _cells(np.concatenate(own)), 1)
-        mean = n.sum() / CELLS
-        often = np.flatnonzero(n >= 3 + mean + 4 * np.sqrt(mean))
-        yield pa.RecordBatch.from_arrays([pa.array(often.astype(np.int32)), pa.array(n[often].astype(np.int64))], ["cell", "n"])
-
-    rows = docs.mapInArrow(task, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
-    out = np.zeros(CELLS, np.uint8)
-    out[rows.column("cell").to_numpy()] = np.log2(rows.column("n").to_numpy()).astype(np.uint8)
-    return out
+            np.add.at(n, _cells(np.concatenate(list(_sets(batch)))), 1)
+        own = np.minimum(n, 65535).astype(np.uint16).reshape(-1, BLOCK)
+        full = np.flatnonzero(own.any(1))
+        for k in full:
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(own[k] & 255).astype(np.uint8).tobytes()], pa.binary()), pa.array([(own[k] >> 8).astype(np.uint8).tobytes()], pa.binary())], ["block", "low", "high"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = None, np.zeros(BLOCK, np.int64)
+        for batch in batches:
+            for k, low, high in zip(*(batch.column(c).to_pylist() for c in ("block", "low", "high")), strict=True):
+                if k != key and key is not None:
+                    yield level(key, n)
+                    n = np.zeros(BLOCK, np.int64)
+                key = k
+                n += np.frombuffer(low, np.uint8) + 256 * np.frombuffer(high, np.uint8).astype(np.int64)
+        if key is not None:
+            yield level(key, n)
+
+    def level(key: int, n: np.ndarray) -> pa.RecordBatch:
+        chance = np.median(n)  # cells of chance are most of them
+        more = n - chance
+        out = np.where(more >= 3 + 4 * np.sqrt(chance), np.log2(np.maximum(more, 1)), 0).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["block", "levels"])
+
+    counted = docs.mapInArrow(task, "block int, low binary, high binary").repartition(partitions, "block").sortWithinPartitions("block")
+    out = np.zeros((CELLS // BLOCK, BLOCK), np.uint8)
+    for row in counted.mapInArrow(add, "block int, levels binary").toLocalIterator():  # CELLS bytes
+        out[row["block"]] = np.frombuffer(row["levels"], np.uint8)
+    return out.reshape(-1)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -136,26 +163,58 @@ def _arrays(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
 
 
 def lists(prefix: DataFrame) -> DataFrame:
-    """Lists of two sets or more: h, class, leader, asks, sig, n, pos.
+    """Lists of more than ``FEW`` sets, a row a set: h, class, leader, asks, sig, n, pos; shorter ones as pairs.
 
     ``asks`` is whom the set is compared with: its leader, or the class before's if it leads itself;
-    null if the list lacks that or their sizes and positions allow no link.
+    null if the list lacks that or their sizes and positions allow no link.  A pair of a short list
+    is (leader, sig) with the sizes (pos, n), and its class is null.
     """
     partitions = int(prefix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ("h", "class", "pos", "n", "sig")
+    out_names = ["h", "class", "leader", "asks", "sig", "n", "pos"]
+
+    def pairs(rows: list[np.ndarray], starts: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+        """Of lists of 2 to FEW sets."""
+        ends = [(starts[length > k] + i, starts[length > k] + k) for k in range(1, FEW) for i in range(k)]
+        one, other = (np.concatenate(x) for x in zip(*ends, strict=True))
+        h, _, _, n, sig = rows
+        near = 5 * np.minimum(n[one], n[other]).astype(np.int64) >= 4 * np.maximum(n[one], n[other]).astype(np.int64)
+        one, other = one[near], other[near]
+        one, other = np.where(sig[one] < sig[other], one, other), np.where(sig[one] < sig[other], other, one)
+        none = pa.nulls(len(one), pa.int32()), pa.nulls(len(one), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(h[one]), none[0], pa.array(sig[one]), none[1], pa.array(sig[other]), pa.array(n[other]), pa.array(n[one])], out_names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the last row's h, class, leader and the leader's n and pos; and that row itself while its list has no other
-        head, lone, last = (0, 0, 0, 0, 0), None, None
+        # the last long list's row's h, class, leader and the leader's n and pos; the last list's rows while they are few
+        head, held, last = (0, 0, 0, 0, 0), [np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int32, np.int64)], None
+        going = False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, of_size, pos, n, sig = _arrays(batch, ("h", "class", "pos", "n", "sig"))
+            rows = _arrays(batch, names)
+            h, sig = rows[0], rows[4]
             new = np.append(last != (h[0], sig[0]), (h[1:] != h[:-1]) | (sig[1:] != sig[:-1]))
-            goes_on = last is not None and last[0] == h[0]
             last = (h[-1], sig[-1])
-            h, of_size, pos, n, sig = h[new], of_size[new], pos[new], n[new], sig[new]
+            rows = [np.append(x, c[new]) for x, c in zip(held, rows, strict=True)]
+            h = rows[0]
             if not len(h):
                 continue
+            starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            length = np.diff(np.append(starts, len(h)))
+            goes_on = going and head[0] == h[0]
+            long = length > FEW
+            long[0] |= goes_on
+            going = bool(long[-1])
+            cut = len(h) if going else starts[-1]
+            held = [c[cut:] for c in rows]
+            few = ~long & (length > 1)
+            few[-1] &= going  # else held
+            if few.any():
+                yield pairs(rows, starts[few], length[few])
+            of_long = np.repeat(long, length)
+            if not of_long.any():
+                continue
+            h, of_size, pos, n, sig = (c[of_long] for c in rows)
             same = np.append(goes_on, h[1:] == h[:-1])
             opens = ~same | (of_size != np.append(head[1], of_size[:-1]))
             at, which = np.flatnonzero(opens), np.cumsum(opens)
@@ -165,22 +224,40 @@ def lists(prefix: DataFrame) -> DataFrame:
             asked = np.where(opens, which - 1, which)
             near = 9 * np.minimum(n - pos, (sizes - places)[asked]).astype(np.int64) >= 4 * (n + sizes[asked]).astype(np.int64)
             near &= ~opens | follows[which]
-            emit = same | np.append(same[1:], False)
-            columns = [h, of_size, leaders[which], leaders[asked], near, sig, n, pos]
-            out = [c[emit] for c in columns]
-            if lone is not None and same[0]:
-                out = [np.append(x, c).astype(c.dtype) for x, c in zip(lone, out, strict=True)]
-            lone = None if emit[-1] else [c[-1] for c in columns]
             head = (h[-1], of_size[-1], leaders[-1], sizes[-1], places[-1])
-            if len(out[0]):
-                h, of_size, leader, asks, near, sig, n, pos = out
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(of_size), pa.array(leader), pa.array(asks, mask=~near), pa.array(sig), pa.array(n), pa.array(pos)], ["h", "class", "leader", "asks", "sig", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(of_size), pa.array(leaders[which]), pa.array(leaders[asked], mask=~near), pa.array(sig), pa.array(n), pa.array(pos)], out_names)
+        if len(held[0]) > 1:
+            yield pairs(held, np.zeros(1, int), np.array([len(held[0])]))
 
     dealt = prefix.repartition(partitions, "h").withColumn("class", F.floor(F.log("n") / math.log(1.25)).cast("int"))
     dealt = dealt.sortWithinPartitions("h", "class", "rare", "sig").drop("rare")
     return dealt.mapInArrow(task, "h long, class int, leader long, asks long, sig long, n int, pos int")
 
 
+def pairs_of_short_lists(index: DataFrame) -> DataFrame:
+    """a, b: pairs of short lists that share enough of what both are indexed by.
+
+    With c shared shingles among the first ones of two sets, no more than c and what is left of the
+    set whose indexed part ends later are common.  Long lists add to c at most as many as they hold
+    the set.
+    """
+    pairs = index.where("class is null").groupBy(F.col("leader").alias("a"), F.col("sig").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("pos").alias("na"), F.first("n").alias("nb"))
+    held = index.where("class is not null").groupBy("sig").agg(F.count(F.lit(1)).alias("held"))
+    for side in "ab":
+        pairs = pairs.join(held.select(F.col("sig").alias(side), F.col("held").alias(f"held_{side}")), side, "left")
+    most = F.col("c") + F.least(F.coalesce("held_a", F.lit(0)), F.coalesce("held_b", F.lit(0))) + F.ceil(F.greatest("na", "nb") * 4 / 5) - 1
+    return pairs.where(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def pairs_with_leaders(index: DataFrame) -> DataFrame:
+    """asks, sig: whom a set of long lists is compared with.
+
+    Not those that it shares so few lists with that a link is unlikely; they stay open.
+    """
+    pairs = index.where("asks is not null").groupBy("asks", "sig").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    return pairs.where(2 * F.col("c") >= F.col("n") * (8 / 9 - 4 / 5)).select("asks", "sig")
+
+
 def _sent(keys: DataFrame) -> DataFrame:
     """``keys``, sent whole if they are few."""
     return F.broadcast(keys) if keys.count() <= _SEND_WHOLE else keys
@@ -413,9 +490,11 @@ def settled(pools: DataFrame, merged: DataFrame, compared: DataFrame, docs: Data
         placed = small(_placed(pools, merged))
         shares = placed.groupBy("pool", "component").agg(F.count(F.lit(1)).alias("n"))
         largest = shares.groupBy("pool").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        asks = placed.join(largest, "pool").where("component <> largest").select("pool", "sig", "component")
-        if asking is not None:
-            asks = small(asks.join(asking, "sig", "left_semi"))
+        asks = placed.join(largest, "pool")
+        if asking is None:
+            asks = asks.where("component <> largest").select("pool", "sig", "component")
+        else:
+            asks = small(asks.join(asking, "sig", "left_semi").select("pool", "sig", "component"))
             if asks.isEmpty():  # what they could still link with has been merged
                 break
         found = possible_links(asks, placed, sketches, most_of_each, every=asking is not None)
@@ -440,14 +519,19 @@ def _named(docs: DataFrame) -> DataFrame:
     nodes = small(one.groupBy("sig").agg(F.min(F.struct("doc_id", "xh", "rows")).alias("x"), F.min("doc_id").alias("least")).select("sig", "x.doc_id", "x.xh", "x.rows", "least"))
     levels = frequent_cells(docs)
     index, drop = temporary(lists(prefixes(docs, levels)), "lists")
-    pairs = small(index.where("asks is not null").select(F.col("asks").alias("a"), F.col("sig").alias("b")).distinct())
+    pairs = pairs_with_leaders(index).select(F.least("asks", "sig").alias("a"), F.greatest("asks", "sig").alias("b"), F.col("asks").alias("leader"))
+    pairs = small(pairs.unionByName(pairs_of_short_lists(index).withColumn("leader", F.col("a"))).groupBy("a", "b").agg(F.min("leader").alias("leader")))
+    pairs = pairs.select(F.col("leader").alias("a"), F.when(F.col("leader") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("b"))
+    index = index.where("class is not null")
     texts, drop_texts = texts_of(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")), docs, nodes)
     compared = compare(pairs, texts)
     drop_texts()
     merged = components(_links(compared))
     # each member's component and distance to its leader; the leader's own row too
     step = F.floor(_STEPS * (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common")))).cast("int")
-    answers = index.select("leader", "sig").distinct().join(compared.select(F.col("a").alias("leader"), F.col("b").alias("sig"), step.alias("step")), ["leader", "sig"], "left")
+    known = compared.select("a", "b", step.alias("step"))
+    known = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "step")).select(F.col("a").alias("leader"), F.col("b").alias("sig"), "step")
+    answers = index.select("leader", "sig").distinct().join(known, ["leader", "sig"], "left")
     answers = answers.withColumn("step", F.when(F.col("leader") == F.col("sig"), 0).otherwise(F.col("step")))
     pools = open_sets(index, small(_placed(answers, merged)))
     drop()
