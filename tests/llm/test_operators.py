@@ -143,7 +143,7 @@ def test_classifier(spark, docs):
     assert got[5]["kept"] and not got[0]["kept"] and got[0]["perplexity"] is None
     assert perplexity.kept_by_perplexity(docs, labels).columns == docs.columns
     assert perplexity.classify(docs, labels.limit(0)).where("kept").count() > 5
-    table = perplexity.table_of(perplexity.kneser_ney(perplexity.count_ngrams(docs)))
+    table = perplexity.table_of(perplexity.gathered(perplexity.kneser_ney(perplexity.count_ngrams(docs))))
     sums = (10.0 ** table.reshape(-1, perplexity.SYMBOLS)).sum(1)
     assert np.abs(sums - 1).max() < 1e-3
 
@@ -307,3 +307,74 @@ def test_set_join_matches_sql(spark):
     expected = sorted(db.execute(queries.ORACLE_SQL["op9_ngram_jaccard_join"]).fetchall())
     names = [d[0] for d in db.execute(queries.ORACLE_SQL["op9_ngram_jaccard_join"]).description]
     assert sorted(map(tuple, queries.QUERIES["op9_ngram_jaccard_join"](spark, sf).select(*names).collect())) == expected
+
+
+def test_classifier_against_plain_kneser_ney(spark):
+    """Perplexities and thresholds against a plain interpolated modified Kneser-Ney model."""
+    texts = ["The cat sat, and the dog ran.", "A dog sat on the mat 12 times.", "the mat and the cat ran on", "Zq#x 99 !!"]
+    rows = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    symbol = perplexity._SYMBOL
+    padded = [[0] * 3 + [int(symbol[b]) for b in t.encode()] for t in texts]
+    counts = {4: collections.Counter(tuple(s[k - 3 : k + 1]) for s in padded[:3] for k in range(3, len(s)))}
+    for k in (3, 2, 1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+
+    def discounts(c):
+        n = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
+        if not all(n[:3]):
+            return 0.5, 0.75, 0.9
+        y = n[0] / (n[0] + 2 * n[1])
+        return tuple(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3))
+
+    def p(gram):
+        if not gram:
+            return 1 / 64
+        c = counts[len(gram)]
+        d = discounts(c)
+        heirs = {g: v for g, v in c.items() if g[:-1] == gram[:-1]}
+        if not heirs:
+            return p(gram[1:])
+        total, taken = sum(heirs.values()), sum(d[min(v, 3) - 1] for v in heirs.values())
+        v = heirs.get(gram, 0)
+        return ((v - d[min(v, 3) - 1]) / total if v else 0) + taken / total * p(gram[1:])
+
+    def logs(s):
+        return [math.log10(p(tuple(s[k - 3 : k + 1]))) for k in range(3, len(s))]
+
+    own = [logs(s) for s in padded]
+    mean = sum(map(sum, own[:3])) / sum(map(len, own[:3]))
+    expected = [10 ** (-(sum(x) + perplexity.PRIOR * mean) / (len(x) + perplexity.PRIOR)) for x in own]
+    got = sorted(perplexity.classify(rows, labels).collect(), key=lambda r: r["doc_id"])
+    assert np.allclose([r["perplexity"] for r in got], expected, rtol=1e-4)
+    limit = max(expected[:3]) * perplexity.SLACK
+    assert np.allclose([r["threshold"] for r in got], limit, rtol=1e-4) and [r["kept"] for r in got] == [x <= limit for x in expected]
+    assert [r["doc_id"] for r in perplexity.kept_by_perplexity(rows, labels).orderBy("doc_id").collect()] == [k for k, x in enumerate(expected) if x <= limit]
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(2)
+    rows = [("a", float(x)) for x in np.round(rng.lognormal(1, 1, 500), 2)] + [(None, 3.0)] * 7 + [("b", 2.5)]
+    got = {r["lang"]: r["value"] for r in perplexity.exact_quantile(spark.createDataFrame(rows, "lang string, value double"), 0.95).collect()}
+    assert got == {k: sorted(v for x, v in rows if x == k)[math.ceil(0.95 * sum(x == k for x, _ in rows)) - 1] for k in ("a", None, "b")}
+
+
+def test_pieces_hold_the_tokenizer_s_ids(docs, rows):
+    """Each id lies in exactly one piece, with its checksum; sequences are full but for one a partition."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = packing.pack_documents(docs, path, length=64).toPandas()
+    left = collections.Counter()
+    for r, ids in zip(rows, Encoder(path).whole([r[1] or "" for r in rows]), strict=True):
+        left[(r[0] if r[0] is not None else -1, *ids, 1)] += 1
+    pieces = collections.defaultdict(list)
+    for r in got.fillna({"doc_id": -1}).itertuples():
+        pieces[(r.doc_id, r.doc_tokens)].append(r)
+    for (doc_id, n), own in pieces.items():
+        wanted = [k for k in left if k[0] == doc_id and len(k) - 1 == n for _ in range(left[k])]
+        assert sum(r.length for r in own) == n * len(wanted)
+        for r in own:
+            assert any(zlib.crc32(np.array(k[1 + r.start : 1 + r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for k in wanted)
+        starts = collections.Counter(p for r in own for p in range(r.start, r.start + r.length))
+        assert len(starts) == n and set(starts.values()) == {len(wanted)}
+    sizes = got.groupby("sequence_id").length.sum()
+    assert (sizes < 64).sum() <= 4

@@ -1,8 +1,8 @@
 """Shared storage: where the operators cut lineage and leave their files.
 
-Everything goes below ``spark.checkpoint.dir``, the folder that every executor and the driver
-see.  Where the session doesn't set it (tests), a folder in the system's temporary directory is
-set as the checkpoint directory once and used from then on.
+Everything goes below the session's checkpoint folder (``spark.checkpoint.dir`` or
+``setCheckpointDir``), which every executor and the driver see.  A local session without one
+(tests) gets a folder in the system's temporary directory; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -15,16 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder as a URI, without a trailing slash."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    own = spark.conf.get("textloom.shared.dir", None)
-    if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("textloom.shared.dir", own)
-        spark.sparkContext.setCheckpointDir(own)
-    return own
+    """The session's checkpoint folder as a URI, without a trailing slash."""
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if found.isDefined():  # qualified by Hadoop, from the setting or a call of setCheckpointDir
+        at = found.get().rstrip("/")
+        return at if not at.startswith("file:/") or at.startswith("file://") else "file://" + at[len("file:") :]
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="textloom-"))
+    return shared_dir(spark)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
