@@ -64,3 +64,30 @@ def test_all_patterns(spark, tmp_path):
     assert max(r["n"] for r in catalog.QUERIES["pii_rollup"](spark, str(tmp_path)).collect()) == len(expected)
     masked = catalog.QUERIES["pii_mask_placeholder"](spark, str(tmp_path)).first()["masked"]
     assert "3333" not in masked and "12" not in masked
+
+
+def test_preference_merge(spark):
+    from textloom.plans.measures import merge_preferred
+
+    def plain(found, prefer):
+        kept = []
+        for s in sorted(found, key=lambda x: (x[1], -x[3], x[2], x[0])):
+            for i, k in enumerate(kept):
+                shared, shorter = min(s[2], k[2]) - max(s[1], k[1]), min(s[2] - s[1], k[2] - k[1])
+                if shared > 0 and shorter > 0 and shared / shorter > 0.5:
+                    surer, longer = s[3] > k[3], s[2] - s[1] > k[2] - k[1]
+                    if surer if s[1:3] == k[1:3] or prefer != "longer" else longer:
+                        kept[i] = s
+                    break
+            else:
+                kept.append(s)
+        return kept
+
+    import random
+
+    dice = random.Random(4)
+    cases = [[(dice.choice("AB"), a, a + dice.randint(1, 9), dice.choice([0.3, 0.6, 0.9])) for a in (dice.randint(0, 20) for _ in range(dice.randint(0, 8)))] for _ in range(60)]
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "id int, s array<struct<entity_type:string,start:int,stop:int,confidence:double>>")
+    for prefer in ("longer", "higher_confidence"):
+        got = {r["id"]: [tuple(x) for x in r["m"]] for r in rows.select("id", merge_preferred(F.col("s"), prefer).alias("m")).collect()}
+        assert got == {k: plain(c, prefer) for k, c in enumerate(cases)}

@@ -41,6 +41,21 @@ spans as (
   from numbered)"""
 
 
+#: All patterns; of equal spans the first pattern's.
+_EVERY = "with found as (" + " union all ".join(
+    f"""select doc_id, '{t}' as entity_type, {k} as ordinal, regexp_extract_all(text, '{p}') as hits, string_split_regex(text, '{p}') as gaps from documents where regexp_matches(text, '{p}')""" for k, (t, p) in enumerate(spans.ALL)
+) + """),
+numbered as (select *, unnest(range(1, len(hits) + 1)) as i from found),
+placed as (
+  select doc_id, entity_type, ordinal, hits[i] as entity_value,
+         (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::int as start
+  from numbered),
+spans as (
+  select doc_id, entity_type, entity_value, start, (start + length(entity_value))::int as stop from placed
+  qualify row_number() over (partition by doc_id, start, length(entity_value) order by ordinal) = 1)"""
+_LEVEL = "case entity_type " + " ".join(f"when '{t}' then {n}" for t, n in spans.SENSITIVITY.items()) + " else 5 end"
+
+
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", F.inline(F.concat(*[spans.find(F.col("text"), p, t) for t, p in PLAIN.items()])))
@@ -51,24 +66,24 @@ def _all_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.inline(spans.find_all(F.col("text"))))
 
 
-@query(_SPANS + " select doc_id, entity_type, start, start + length(entity_value)::int as stop, entity_value from spans")
+@query(_EVERY + " select doc_id, entity_type, start, stop, entity_value from spans")
 def pii_span_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _all_spans(spark, sf_dir).drop("confidence")
 
 
-@query(_SPANS + " select entity_type, case entity_type when 'CREDIT_CARD' then 10 else 6 end as sensitivity, count(*) as n, count(distinct doc_id) as docs from spans group by all")
+@query(_EVERY + f" select entity_type, {_LEVEL} as sensitivity, count(*) as n, count(distinct doc_id) as docs from spans group by all")
 def pii_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _all_spans(spark, sf_dir).withColumn("sensitivity", spans.sensitivity(F.col("entity_type")))
     return rows.groupBy("entity_type", "sensitivity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query(_SPANS + " select entity_type, lang, count(*) as n from spans join documents using (doc_id) group by rollup (entity_type, lang)")
+@query(_EVERY + " select entity_type, lang, count(*) as n from spans join documents using (doc_id) group by rollup (entity_type, lang)")
 def pii_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("lang", F.inline(spans.find_all(F.col("text"))))
     return docs.rollup("entity_type", "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_SPANS + " select entity_type, lang, source, count(*) as n from spans join documents using (doc_id) group by grouping sets ((entity_type), (lang), (source))")
+@query(_EVERY + " select entity_type, lang, source, count(*) as n from spans join documents using (doc_id) group by grouping sets ((entity_type), (lang), (source))")
 def error_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("lang", "source", F.inline(spans.find_all(F.col("text"))))
     keys = [F.col(c) for c in ("entity_type", "lang", "source")]
@@ -88,11 +103,11 @@ def pii_mask_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", spans.splice(F.col("text"), F.col("marked")).alias("masked"), F.size("marked").alias("n_masked"))
 
 
-@query("select doc_id, text as recovered from documents")
+@query("select doc_id, text as recovered, " + " or ".join(f"regexp_matches(text, '{p}')" for _, p in spans.ALL) + " as changed from documents")
 def pii_recover_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", spans.merge_longest(spans.find_all(F.col("text"))).alias("spans"))
-    masked = docs.select("doc_id", "text", spans.placeholders(F.col("spans")).alias("marked")).select("doc_id", spans.splice(F.col("text"), F.col("marked")).alias("masked"), "marked")
-    return masked.select("doc_id", spans.recover(F.col("masked"), F.col("marked")).alias("recovered"))
+    masked = docs.select("doc_id", "text", spans.placeholders(F.col("spans")).alias("marked")).select("doc_id", "marked", spans.splice(F.col("text"), F.col("marked")).alias("masked"))
+    return masked.select("doc_id", spans.recover(F.col("masked"), F.col("marked")).alias("recovered"), (F.size("marked") > 0).alias("changed"))
 
 
 @query(f"select doc_id, list_reduce(list_distinct(regexp_extract_all(text, '{spans.PATTERNS['CREDIT_CARD']}')), lambda t, v: replace(t, v, 'CARD[HASH:' || left(sha256(v), 16) || ']'), text) as masked from documents")
@@ -110,12 +125,12 @@ def luhn_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "entity_value", spans.luhn(F.col("entity_value")).alias("valid"))
 
 
-_E, _C = profile.EMAIL, profile.CARD
 _FEATURES = f"""
 with f as (
   select doc_id, text, length(text)::int as text_length, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))::int as word_count,
          (length(text) - length(translate(text, '.!?', '')))::int as sentence_count,
-         (len(regexp_extract_all(text, '{_E}')) + len(regexp_extract_all(text, '{_C}')))::int as n_found from documents),
+         ({" + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in profile.FOUND)})::int as n_found,
+         regexp_matches(text, '[^\\x00-\\x7F]') as multilingual, regexp_matches(text, '[+().\\-]{{2,}}') as formatting from documents),
 g as (select *, n_found::double / greatest(word_count, 1) as density from f)"""
 
 
@@ -125,18 +140,18 @@ def smart_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *[f[c].alias(c) for c in ("text_length", "word_count", "sentence_count", "n_found", "density")])
 
 
-_SCORES = ", ".join("[" + ", ".join(f"contains(lower(text), '{k}')::int" for k in w.split()) + "]" for w in profile.DOMAINS.values())
+_SCORES = ", ".join("[" + ", ".join(f"contains(lower(text), '{k}')::int" for k in w) + "]" for w in profile.DOMAINS.values())
 _NAMES = ", ".join(f"'{d}'" for d in profile.DOMAINS)
 _SOURCE = " ".join("when " + " + ".join(f"regexp_matches(lower(text), '{p}')::int" for p in ps) + f" >= 2 then '{s}'" for s, ps in profile.SOURCES.items())
 _STRATEGY = _FEATURES + f""",
-h as (select *, list_transform([{_SCORES}], lambda x: list_sum(x)) as scores, regexp_matches(text, '[\\x{{4e00}}-\\x{{9fff}}\\x{{3040}}-\\x{{30ff}}\\x{{ac00}}-\\x{{d7af}}]') as multilingual from g),
+h as (select *, list_transform([{_SCORES}], lambda x: list_sum(x)) as scores from g),
 i as (select *, case when list_max(scores) < 2 then 'general' else ([{_NAMES}])[list_position(scores, list_max(scores))] end as domain,
   case {_SOURCE} when text_length / greatest(length(text) - length(replace(text, '.', '')), 1) < 100 and length(text) - length(replace(text, chr(10), '')) > length(text) - length(replace(text, '.', '')) then 'conversation'
   when text_length > 500 then 'document' else 'unknown' end as source_type,
   least(1.0::double, (case when text_length > 500 then 0.2::double else 0 end) + (case when text_length > 1000 then 0.1::double else 0 end) + (case when density > 0.1 then 0.2::double else 0 end)
-    + (case when density > 0.3 then 0.1::double else 0 end) + (case when multilingual then 0.15::double else 0 end) + (case when sentence_count > 5 then 0.1::double else 0 end)) as complexity from h)
+    + (case when density > 0.3 then 0.1::double else 0 end) + (case when multilingual then 0.15::double else 0 end) + (case when formatting then 0.1::double else 0 end) + (case when sentence_count > 5 then 0.1::double else 0 end)) as complexity from h)
 select doc_id, domain, source_type, complexity,
-  case when domain in ('financial', 'medical', 'legal') then 'high_precision' when density > 0.3 or multilingual then 'high_recall'
+  case when domain in ('financial', 'medical', 'legal') then 'high_precision' when density > 0.3 or formatting or multilingual then 'high_recall'
        when source_type = 'conversation' and text_length < 200 then 'high_precision' when text_length > 500 and density < 0.1 or domain in ('technical', 'customer_service') then 'balanced'
        when complexity > 0.6 then 'high_recall' else 'balanced' end as strategy,
   case when domain in ('financial', 'medical', 'legal') or complexity > 0.5 or multilingual then 'large' else 'medium' end as model_size
@@ -202,8 +217,8 @@ def conv_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select user_id, event_id, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1")
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return table(spark, sf_dir, "events").withColumn("n", F.row_number().over(newest)).where("n = 1").select("user_id", "event_id", "value")
+    newest = F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(newest.alias("x")).select("user_id", "x.event_id", "x.value")
 
 
 @query("select doc_id, lang from documents where doc_id not in (select doc_id from labels)")
@@ -236,8 +251,13 @@ def accuracy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("with r as (select doc_id, quality, row_number() over (partition by quality order by md5(doc_id::varchar), doc_id) as n, count(*) over (partition by quality) as c from labels) select doc_id, quality, case when n <= floor(c * 0.7::double) then 'train' when n <= floor(c * 0.7::double) + floor(c * 0.15::double) then 'val' else 'test' end as split from r")
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stratum = Window.partitionBy("quality")
-    rows = table(spark, sf_dir, "labels").select("doc_id", "quality", F.row_number().over(stratum.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")).alias("n"), F.count(F.lit(1)).over(stratum).alias("c"))
+    # places are counted inside leading hash digits, so that no task holds a stratum
+    rows = table(spark, sf_dir, "labels").select("doc_id", "quality", F.md5(F.col("doc_id").cast("string")).alias("dealt")).withColumn("bucket", F.substring("dealt", 1, 3))
+    buckets = rows.groupBy("quality", "bucket").agg(F.count(F.lit(1)).alias("own"))
+    upto = Window.partitionBy("quality").orderBy("bucket")
+    buckets = buckets.select(F.col("quality").alias("q"), F.col("bucket").alias("b"), (F.sum("own").over(upto) - F.col("own")).alias("before"), F.sum("own").over(Window.partitionBy("quality")).alias("c"))
+    rows = rows.join(buckets, F.col("quality").eqNullSafe(F.col("q")) & (F.col("bucket") == F.col("b")))
+    rows = rows.withColumn("n", F.col("before") + F.row_number().over(Window.partitionBy("quality", "bucket").orderBy("dealt", "doc_id")))
     train, val = F.floor(F.col("c") * 0.7), F.floor(F.col("c") * 0.15)
     return rows.select("doc_id", "quality", F.when(F.col("n") <= train, "train").when(F.col("n") <= train + val, "val").otherwise("test").alias("split"))
 
