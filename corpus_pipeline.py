@@ -50,7 +50,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Perplexities, learned rules and token ids are beyond SQL; tests/llm holds the stages against plain versions.
+#: Perplexities, learned rules and token ids are beyond SQL; tests/llm holds the operators, not yet the stages, against plain versions.
 ORACLE_SQL = None
 
 
