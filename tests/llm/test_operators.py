@@ -137,6 +137,38 @@ def test_rules(docs, rows):
     assert found.rules and {c.feature for c in found.rules[0]} == {"symbols_per_word", "upper_share"}
 
 
+def test_rules_find_junk_rarer_than_a_percentile():
+    rng = np.random.default_rng(4)
+    x = rng.random((6000, len(rules.FEATURES)))
+    bad = np.zeros(6000, bool)
+    bad[rng.choice(6000, 40, replace=False)] = True
+    x[bad, 5] = 2 + rng.random(40) / 10
+    x[np.flatnonzero(bad)[0], 5] = 1000.0  # one far value must not hide the others
+    found = rules.cover(x, bad).rules
+    assert len(found) == 1 and [c.feature for c in found[0]] == ["exclaim_per_word"]
+    assert found[0][0].above and 1 <= found[0][0].threshold < 2
+
+
+def test_judged_columns_against_plain_counts(spark):
+    """All columns of the contract, with and without a rule that fits."""
+    texts = [None, "", "a # b\n\nx\nx\n \nx", "A! " * 12, " ".join(f"w{k}" for k in range(40)), "$$ " + " ".join(f"v{k}" for k in range(40))]
+    docs = spark.createDataFrame([(k, t, 9, True) for k, t in enumerate(texts)] + [(None, texts[4], 9, True)], "doc_id long, text string, n_words long, kept boolean")
+    decisions = rules.DecisionList(((rules.Condition("symbols_per_word", True, 0.01),),))
+    got = {r["doc_id"]: r for r in rules.judge_quality(docs, decisions).collect()}
+    for k, text in [*enumerate(texts), (None, texts[4])]:
+        words = WORD.findall(text or "")
+        lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+        grams = collections.Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        repeated = {p for i in range(len(words) - 4) if grams[tuple(words[i : i + 5])] > 1 for p in range(i, i + 5)}
+        symbols = len(re.findall(r"[#*$%&|<>]", text or ""))
+        failed = len(words) < 10 or 100 * len(repeated) > 20 * len(words)
+        own = (len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(repeated), failed, not failed and not symbols > 0.01 * len(words))
+        assert tuple(got[k][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")) == own
+    assert rules.judge_quality(docs.limit(0), decisions).count() == 0
+    kept = rules.kept_by_rules(docs, decisions)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["4", "None"]
+
+
 def test_classifier(spark, docs):
     labels = spark.createDataFrame([(5, 1, 0), (8, 1, 0), (9, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in perplexity.classify(docs, labels).collect()}

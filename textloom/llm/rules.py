@@ -135,16 +135,19 @@ def _matrix(rows: list) -> np.ndarray:
 
 def cover(x: np.ndarray, bad: np.ndarray, precision: float = 0.99, most_rules: int = 12, most_conditions: int = 4, least_covered: int = 3) -> DecisionList:
     """Sequential covering; ``x``: a row of FEATURES each, nan where undefined; ``bad``: to be rejected."""
-    candidates, masks = [], []
+    candidates, masks, gaps = [], [], []
     for k, feature in enumerate(FEATURES):
         known = np.sort(x[~np.isnan(x[:, k]), k])
         if not len(known):
             continue
-        cuts = np.unique(np.quantile(known, np.linspace(0.01, 0.99, 99), method="lower"))
+        percentiles = np.quantile(known, np.linspace(0.01, 0.99, 99), method="lower")
+        tails = known[(known < percentiles[0]) | (known >= percentiles[-1])]  # every value there: a kind of junk may be rarer than 1 %
+        cuts = np.unique(np.concatenate([percentiles, tails]))
         for cut, next_ in zip(cuts, [*cuts[1:], known[-1]], strict=True):
             middle = float((cut + next_) / 2)
             for above in (True, False):
                 candidates.append(Condition(feature, above, middle))
+                gaps.append(next_ - cut)
                 masks.append(x[:, k] > middle if above else x[:, k] <= middle)
     if not masks:
         return DecisionList()
@@ -166,6 +169,10 @@ def cover(x: np.ndarray, bad: np.ndarray, precision: float = 0.99, most_rules: i
             best = int(np.argmax(gain))
             if gain[best] <= 1e-9:
                 break
+            # of equal thresholds the one in the widest gap: the others part rows of the pruning third
+            first = candidates[best]
+            equal = [k for k in np.flatnonzero(gain >= gain[best] - 1e-9) if (candidates[k].feature, candidates[k].above) == (first.feature, first.above)]
+            best = int(max(equal, key=lambda k: gaps[k]))
             rule.append(best)
             now = now & table[best]
         if not rule:
