@@ -25,6 +25,8 @@ from textloom.llm.encoding import encoder
 from textloom.llm.words import pieces, raw
 
 DIMS, BITS, SPREAD = 4, 15, 24.0
+#: Bytes of text that a worker projects or encodes at once; each takes some 25 bytes there.
+_PIECE = 1 << 20
 _SIGNS = np.where(np.random.default_rng(7).random((DIMS, 1 << 16)) < 0.5, -1, 1).astype(np.int8)
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -58,7 +60,7 @@ def key_column(text: Column) -> Column:
         bounds, _ = raw(texts)
         out, at = [], 0
         while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + (4 << 20), "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _PIECE, "right")) - 1)
             out.append(curve_key(texts.slice(at, to - at)))
             at = to
         return pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
@@ -75,7 +77,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int
 
         stream = 0  # ids of this partition so far
         base = TaskContext.get().partitionId() << 36
-        for batch in pieces(batches, "text", 4 << 20, keep=True):
+        for batch in pieces(batches, "text", _PIECE, keep=True):
             bounds, ids = encoder(tokenizer).encode(batch.column("text"))
             ids = np.insert(ids, bounds[1:], np.uint32(end_id))
             bounds = bounds + np.arange(len(bounds))

@@ -57,6 +57,8 @@ _SEND_WHOLE = 200_000
 FEW = 3
 #: Candidates of a set and group in the first round of a pool, and the factor from round to round.
 FIRST, MORE = 4, 8
+#: Bytes of text whose words and shingles a worker holds at once.
+_PIECE = 2 << 20
 #: Steps of the distance to the leader.
 _STEPS = 100
 
@@ -84,7 +86,7 @@ def frequent_cells(docs: DataFrame) -> np.ndarray:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(CELLS, np.int32)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", _PIECE):
             np.add.at(n, _cells(np.concatenate(list(_sets(batch)))), 1)
         own = np.minimum(n, 65535).astype(np.uint16).reshape(-1, BLOCK)
         full = np.flatnonzero(own.any(1))
@@ -120,7 +122,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, xh, n, sig for each document; xh tells texts apart, sig sets; sig is null for an empty set."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", _PIECE):
             own = list(_sets(batch))
             n = np.array([len(x) for x in own], np.int64)
             sig = np.array([_signature(x) if len(x) else 0 for x in own], np.int64)
@@ -135,7 +137,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", _PIECE):
             parts, sigs, sizes, rare = [], [], [], []
             for own in _sets(batch):
                 n = len(own)
@@ -283,7 +285,7 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, leader = None, None
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", _PIECE):
             a, part, role, sig = _arrays(batch, ("a", "part", "role", "sig"))
             found = []
             for k, own in enumerate(_sets(batch)):
@@ -391,7 +393,7 @@ def sketches_of(texts: DataFrame) -> DataFrame:
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", _PIECE):
             own = list(_sets(batch))
             cells = (np.bincount((x % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) for x in own)
             sketch = [c.astype(np.uint8).tobytes() if c.max() < 256 else None for c in cells]
