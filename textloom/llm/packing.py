@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.curves import hilbert_keys
 from textloom.llm.encoding import encoder
-from textloom.llm.words import pieces, raw
+from textloom.llm.words import CACHES, give_back, pieces, raw
 
 DIMS, BITS, SPREAD = 4, 15, 24.0
 #: Bytes of text that a worker projects or encodes at once; each takes some 25 bytes there.
@@ -57,12 +57,15 @@ def curve_key(texts: pa.Array) -> np.ndarray:
 def key_column(text: Column) -> Column:
     @F.arrow_udf("long")
     def key(texts: pa.Array) -> pa.Array:
+        for drop in CACHES:
+            drop()
         bounds, _ = raw(texts)
         out, at = [], 0
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _PIECE, "right")) - 1)
             out.append(curve_key(texts.slice(at, to - at)))
             at = to
+        give_back()
         return pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
 
     return key(text)
