@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import mixing, packing, perplexity, rules, setjoin
-from textloom.llm.storage import written
+from textloom.llm.storage import small_batches, written
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's threshold."""
+    small_batches(spark)
     return perplexity.kept_by_perplexity(docs, _labels(spark, sf_dir))
 
 
@@ -29,6 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of smallest id, of each group of near copies."""
+    small_batches(spark)
     return setjoin.one_of_each(docs)
 
 
@@ -39,6 +41,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, length=2048)
 
 
