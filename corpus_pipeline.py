@@ -2,6 +2,12 @@
 
 Each stage reads what its predecessor wrote.  Stages need the labels beside the documents, which
 they read from the same folder.
+
+Defined cases: null, empty and blank texts go in the first two stages; null ids are documents of
+their own; of repeated rows and near copies one stays; a null language or source is one of its
+own; without labels all texts pass the classifier but empty ones, and only the base rules reject;
+other columns stay until packing, clashing names included; empty tables give no rows.
+Stages that use Python limit the session's Arrow batches to 4 MB.
 """
 
 from __future__ import annotations
@@ -53,7 +59,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Perplexities, learned rules and token ids are beyond SQL; tests/llm holds the operators, not yet the stages, against plain versions.
+#: Perplexities, learned rules and token ids are beyond SQL; tests/llm holds the Jaccard stage and the
+#: base rules against plain versions, and the other stages against their operators and totals.
 ORACLE_SQL = None
 
 
