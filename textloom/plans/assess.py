@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import spans
-from textloom.functions.chunks import chunks
 from textloom.plans.catalog import PLAIN, query, table
 
 _NARROW = r"\b(?:[0-9]{1,2}\.){3}[0-9]{1,2}\b"
@@ -148,11 +147,3 @@ def win_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of judgements that name the second choice, the first one checked first."""
     second = F.when(F.contains("text", F.lit("the")), 0).when(F.contains("text", F.lit("a")), 1).otherwise(0)
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), (F.avg(second) * 100).alias("win_rate"))
-
-
-@query("select doc_id, length(regexp_replace(text, '\\s', '', 'g')) as kept_chars, true as fits from documents")
-def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recursive chunks of 500: what they hold besides white space, and that none is longer."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", chunks(F.col("text"), 500).alias("c"))
-    inked = F.aggregate("c", F.lit(0), lambda n, x: n + F.length(F.regexp_replace(x, r"\s", "")))
-    return rows.select("doc_id", inked.alias("kept_chars"), F.forall("c", lambda x: F.length(x) <= 500).alias("fits"))
