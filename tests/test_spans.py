@@ -91,3 +91,20 @@ def test_preference_merge(spark):
     for prefer in ("longer", "higher_confidence"):
         got = {r["id"]: [tuple(x) for x in r["m"]] for r in rows.select("id", merge_preferred(F.col("s"), prefer).alias("m")).collect()}
         assert got == {k: plain(c, prefer) for k, c in enumerate(cases)}
+
+
+def test_words_go_on_in_other_scripts(spark, tmp_path):
+    import re
+
+    import duckdb
+
+    from textloom.plans import catalog
+
+    texts = ["Thshea Stteä zu", "Äb Cd, Ef Gh.", "Ann Lee—Bo Day", "中Ab Cd 10.0.0.1é", "naïve 123-45-6789"]
+    rows = spark.createDataFrame([(k, t, "en", "a") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    expected = {(k, *m.span()) for k, t in enumerate(texts) for _, p in spans.ALL for m in re.finditer(p, t)}
+    assert {(r["doc_id"], r["start"], r["stop"]) for r in catalog.QUERIES["pii_span_offsets"](spark, str(tmp_path)).collect()} == expected
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert {(a, b, c) for a, b, c in db.execute(f"select doc_id, start, stop from ({catalog.SQL['pii_span_offsets']})").fetchall()} == expected

@@ -41,9 +41,18 @@ spans as (
   from numbered)"""
 
 
+def said(pattern: str) -> str:
+    """SQL: the text as ``pattern`` sees it.
+
+    RE2's ``\\b`` knows ASCII words only; letters, marks and digits of other scripts go on with a
+    word in the JVM and elsewhere, so they stand as ``_`` here, unless the pattern takes ``_`` itself.
+    """
+    return "text" if "_" in pattern or r"\b" not in pattern else r"regexp_replace(text, '[^\x00-\x7F\p{P}\p{S}\p{Z}\p{C}]', '_', 'g')"
+
+
 #: All patterns; of equal spans the first pattern's.
 _EVERY = "with found as (" + " union all ".join(
-    f"""select doc_id, '{t}' as entity_type, {k} as ordinal, regexp_extract_all(text, '{p}') as hits, string_split_regex(text, '{p}') as gaps from documents where regexp_matches(text, '{p}')""" for k, (t, p) in enumerate(spans.ALL)
+    f"""select doc_id, '{t}' as entity_type, {k} as ordinal, regexp_extract_all({said(p)}, '{p}') as hits, string_split_regex({said(p)}, '{p}') as gaps from documents where regexp_matches({said(p)}, '{p}')""" for k, (t, p) in enumerate(spans.ALL)
 ) + """),
 numbered as (select *, unnest(range(1, len(hits) + 1)) as i from found),
 placed as (
@@ -103,7 +112,7 @@ def pii_mask_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", spans.splice(F.col("text"), F.col("marked")).alias("masked"), F.size("marked").alias("n_masked"))
 
 
-@query("select doc_id, text as recovered, " + " or ".join(f"regexp_matches(text, '{p}')" for _, p in spans.ALL) + " as changed from documents")
+@query("select doc_id, text as recovered, " + " or ".join(f"regexp_matches({said(p)}, '{p}')" for _, p in spans.ALL) + " as changed from documents")
 def pii_recover_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", spans.merge_longest(spans.find_all(F.col("text"))).alias("spans"))
     masked = docs.select("doc_id", "text", spans.placeholders(F.col("spans")).alias("marked")).select("doc_id", "marked", spans.splice(F.col("text"), F.col("marked")).alias("masked"))
@@ -129,7 +138,7 @@ _FEATURES = f"""
 with f as (
   select doc_id, text, length(text)::int as text_length, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))::int as word_count,
          (length(text) - length(translate(text, '.!?', '')))::int as sentence_count,
-         ({" + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in profile.FOUND)})::int as n_found,
+         ({" + ".join(f"len(regexp_extract_all({said(p)}, '{p}'))" for p in profile.FOUND)})::int as n_found,
          regexp_matches(text, '[^\\x00-\\x7F]') as multilingual, regexp_matches(text, '[+().\\-]{{2,}}') as formatting from documents),
 g as (select *, n_found::double / greatest(word_count, 1) as density from f)"""
 
