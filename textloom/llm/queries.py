@@ -1,4 +1,4 @@
-"""The ten operators as queries over the tables of a folder."""
+"""The operators as queries over the tables of a folder."""
 
 from __future__ import annotations
 
@@ -81,9 +81,43 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_nearest_neighbours, op4_quality_rules, op5_quality_classifier, op6_packing, op7_mixing, op8_token_output, op9_ngram_jaccard_join, op10_lm_scoring)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.codes import vector_codes
+
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.align import align
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_nearest_neighbours, op4_quality_rules, op5_quality_classifier, op6_packing, op7_mixing, op8_token_output, op9_ngram_jaccard_join, op10_lm_scoring, op11_vector_codes, op13_token_alignment)}
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Statement of op11: one step of assigning and moving for each round, then a last assignment."""
+    near = "select r, p, x, e, d from (select *, row_number() over (partition by r, p order by d, e) as n from (select parts.*, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from parts join book{k} using (p))) where n = 1"
+    move = "select b.p, b.e, case when m.p is null then b.c else m.c end as c from book{k} b left join (select p, e, list(m order by i) as c from (select p, e, i, floor(sum(x[i])::double / count(*))::bigint as m from near{k}, range(1, 9) t(i) group by p, e, i) group by p, e) m using (p, e)"
+    steps = ",\n".join(f"near{k} as materialized ({near.format(k=k)})" + (f",\nbook{k + 1} as materialized ({move.format(k=k)})" if k < rounds else "") for k in range(rounds + 1))
+    return f"""
+with kept as materialized (
+  select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: floor(x::double * 4096)::bigint) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+parts as materialized (select r, p, v[p * 8 + 1 : p * 8 + 8] as x from kept, range(8) t(p)),
+starts as (select v, row_number() over (order by vec_id) - 1 as e from kept where vec_id is not null qualify e < 16),
+book0 as materialized (select p, e, v[p * 8 + 1 : p * 8 + 8] as c from starts, range(8) t(p)),
+{steps},
+coded as (select r, string_agg(lpad(to_hex(e), 2, '0'), '' order by p) as code, sum(d)::bigint as error from near{rounds} group by r)
+select vec_id, lower(code) as code, error, (sum(error) over (partition by label))::bigint as label_error,
+       (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) from book{rounds}) as codebooks_sha256
+from kept join coded using (r)"""
+
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_codes": _codes_sql(),
     "op1_url_filters": r"""
 with rest as (
   select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as r from pages),

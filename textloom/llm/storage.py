@@ -37,10 +37,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def temporary(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
-    """``written``, and a function that deletes the table once all that reads it is checkpointed or written."""
+def temporary(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, Callable[[], None]]:
+    """``written``, with the writer's ``options``, and a function that deletes the table once all that reads it is checkpointed or written."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
 
     def drop() -> None:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
