@@ -87,6 +87,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.secrets import find_secrets, summarised
+
+    return summarised(find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.align import align
 
@@ -94,7 +100,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_nearest_neighbours, op4_quality_rules, op5_quality_classifier, op6_packing, op7_mixing, op8_token_output, op9_ngram_jaccard_join, op10_lm_scoring, op11_vector_codes, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_nearest_neighbours, op4_quality_rules, op5_quality_classifier, op6_packing, op7_mixing, op8_token_output, op9_ngram_jaccard_join, op10_lm_scoring, op11_vector_codes, op12_secret_scans, op13_token_alignment)}
 
 
 def _codes_sql(rounds: int = 6) -> str:
