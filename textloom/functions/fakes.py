@@ -51,10 +51,45 @@ def email(seed: Column, original: Column) -> Column:
 
 
 def like(seed: Column, original: Column) -> Column:
-    """``original`` with other digits, its marks where they were; digits past the 64th stay."""
-    other = digits(seed)
+    """``original`` with other digits, its marks where they were; each 64 characters have digits of their own."""
     chars = F.filter(F.split(original, ""), lambda c: c != "")
-    return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]") & (i < 64), F.substr(other, i + 1, F.lit(1))).otherwise(c)), "")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.length(original) / 64)).cast("int")), lambda n: digits(F.when(n > 0, F.concat_ws("/", seed, n.cast("string"))).otherwise(seed)))
+    return F.array_join(F.zip_with(chars, F.filter(F.split(F.array_join(runs, ""), ""), lambda c: c != ""), lambda c, d: F.when(c.rlike("[0-9]"), d).otherwise(c)), "")
+
+
+def grammar(value: Column) -> Column:
+    """A value's format: ``9`` a digit, ``1`` a digit other than 0 that starts a number, ``A`` and ``a`` letters, all else as it stands.
+
+    So groups, separators, decimals, currencies, signs and percents stay in place.
+    """
+    lead = F.regexp_replace(value, r"(?<![0-9][.,]|[0-9])[1-9]", "\u0001")
+    letters = F.regexp_replace(F.regexp_replace(F.regexp_replace(lead, "[0-9]", "9"), r"\p{Lu}", "A"), r"[\p{L}&&[^\p{Lu}]]", "a")
+    return F.replace(letters, F.lit("\u0001"), F.lit("1"))
+
+
+def refilled(seed: Column, value: Column) -> Column:
+    """Another value of the same format: each place of its grammar by the digits of a hash, 32 places a hash.
+
+    A place draws from its kind without the original's character, so none stays.
+    """
+    runs = F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / 32).cast("int")), lambda n: F.sha2(F.concat_ws("/", seed, n.cast("string")), 256))
+    hexes = F.array_join(runs, "")
+    chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    places = F.zip_with(chars(grammar(value)), chars(value), lambda g, c: F.struct(g.alias("g"), c.alias("c")))
+
+    def drawn(alphabet: str, c: Column, n: Column) -> Column:
+        left = F.replace(F.lit(alphabet), c, F.lit(""))
+        return F.substr(left, (n % F.length(left) + 1).cast("int"), F.lit(1))
+
+    def one(p: Column, i: Column, h: Column) -> Column:
+        n = F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        kinds = {"9": "0123456789", "1": "123456789", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "a": "abcdefghijklmnopqrstuvwxyz"}
+        out = p["c"]
+        for k, alphabet in kinds.items():
+            out = F.when(p["g"] == k, drawn(alphabet, p["c"], n)).otherwise(out)
+        return out
+
+    return F.array_join(F.get(F.transform(F.array(hexes), lambda h: F.transform(places, lambda p, i: one(p, i, h))), F.lit(0)), "")
 
 
 def check_digit(head: Column) -> Column:

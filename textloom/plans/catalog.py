@@ -75,6 +75,12 @@ def _all_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.inline(spans.find_all(F.col("text"))))
 
 
+def _kept_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all types, disjoint: of overlapping neighbours the longer."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", F.inline(spans.merge_longest(spans.find_all(F.col("text")))))
+
+
 @query(_EVERY + " select doc_id, entity_type, start, stop, entity_value from spans")
 def pii_span_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _all_spans(spark, sf_dir).drop("confidence")
@@ -105,11 +111,14 @@ def pii_dict_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *found.values()).where("size(email) > 0 or size(credit_card) > 0")
 
 
-_MERGED = _EVERY + """,
+#: Disjoint spans: of overlapping neighbours the longer.
+_ONE = _EVERY + """,
 lists as (select doc_id, list({'kept': [{'t': entity_type, 'a': start, 'b': stop}]} order by start, stop desc) as l from spans group by doc_id),
 merged as (select doc_id, list_reduce(l, lambda k, x: case when x.kept[1].a >= k.kept[len(k.kept)].b then {'kept': list_concat(k.kept, x.kept)}
   when x.kept[1].b - x.kept[1].a > k.kept[len(k.kept)].b - k.kept[len(k.kept)].a then {'kept': list_concat(k.kept[1:len(k.kept) - 1], x.kept)} else k end).kept as kept from lists),
-one as (select doc_id, unnest(kept) as s from merged),
+one as (select doc_id, unnest(kept) as s from merged)"""
+_DISJOINT = _ONE + ", kept as (select doc_id, s.t as entity_type, s.a as start, s.b as stop, substr(text, s.a + 1, s.b - s.a) as entity_value from one join documents using (doc_id))"
+_MERGED = _ONE + """,
 named as (select doc_id, s.a as a, s.b as b, '${' || s.t || '_' || lpad((row_number() over (partition by doc_id, s.t order by s.a desc))::varchar, 3, '0') || '}' as name, coalesce(lag(s.b) over (partition by doc_id order by s.a), 0) as before from one)"""
 
 

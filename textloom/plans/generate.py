@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import fakes, spans
-from textloom.plans.catalog import _SPANS, _spans, query, table
+from textloom.plans.catalog import _DISJOINT, _kept_spans, query, table
 
 _C = F.col
 
@@ -31,13 +31,14 @@ _SEED = "((doc_id // 10)::varchar || ':' || entity_value)"
 _OWN = " or ".join(f"contains(lower(split_part(entity_value, '@', -1)), '{p}')" for p in fakes.PERSONAL)
 
 
-@query(_SPANS + f""" select doc_id, start, case when entity_type = 'EMAIL' then lower({_pick(fakes.FIRST, _SEED + " || '/first'")} || '.' || {_pick(fakes.LAST, _SEED + " || '/last'")}) || ({_num(_SEED)} % 100)::varchar || '@' || case when {_OWN} then 'example.com' else split_part(entity_value, '@', -1) end
-  else array_to_string(list_transform(string_split(entity_value, ''), lambda c, i: case when regexp_matches(c, '[0-9]') then substr({_digits(_SEED)}, i, 1) else c end), '') end as fake from spans""")
+@query(_DISJOINT + f""" select doc_id, start, case when entity_type = 'EMAIL' then lower({_pick(fakes.FIRST, _SEED + " || '/first'")} || '.' || {_pick(fakes.LAST, _SEED + " || '/last'")}) || ({_num(_SEED)} % 100)::varchar || '@' || case when {_OWN} then 'example.com' else split_part(entity_value, '@', -1) end
+  when entity_type = 'PERSON' then {_pick(fakes.FIRST, _SEED + " || '/first'")} || ' ' || {_pick(fakes.LAST, _SEED + " || '/last'")}
+  else array_to_string(list_transform(string_split(entity_value, ''), lambda c, i: case when regexp_matches(c, '[0-9]') then substr({_digits(_SEED + " || case when i > 64 then '/' || ((i - 1) // 64)::varchar else '' end")}, ((i - 1) % 64 + 1)::bigint, 1) else c end), '') end as fake from kept""")
 def consistent_fakes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fakes in the form of what they replace, the same for the same value of a session."""
     seed = F.concat(F.floor(_C("doc_id") / 10).cast("string"), F.lit(":"), "entity_value")
-    fake = F.when(_C("entity_type") == "EMAIL", fakes.email(seed, _C("entity_value"))).otherwise(fakes.like(seed, _C("entity_value")))
-    return _spans(spark, sf_dir).select("doc_id", "start", fake.alias("fake"))
+    fake = F.when(_C("entity_type") == "EMAIL", fakes.email(seed, _C("entity_value"))).when(_C("entity_type") == "PERSON", fakes.person(seed)).otherwise(fakes.like(seed, _C("entity_value")))
+    return _kept_spans(spark, sf_dir).select("doc_id", "start", fake.alias("fake"))
 
 
 @query(f"""with b(brand, len, n) as (values {", ".join(f"('{b}', {n}, {len(fakes.FORMATS)})" for b, (_, n) in fakes.BRANDS.items())})

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import profile, spans
-from textloom.plans.catalog import _EVERY, _SPANS, _all_spans, _spans, nearest, query, table
+from textloom.plans.catalog import _DISJOINT, _EVERY, _all_spans, _kept_spans, _spans, nearest, query, table
 
 # Masking strategies in order, with what they keep and the types they suit.
 STRATEGIES = (
@@ -151,18 +151,6 @@ def top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _categories(spark, sf_dir).select("category", "n").orderBy(F.col("n").desc(), "category").limit(10)
 
 
-@query(_CATEGORIES + """,
-s as (select sum(n) as total, sum(n) filter (format = 'COMPLEX') as formats, sum(n) filter (entity_type = 'PHONE_NUMBER') as phones, sum(n) filter (entity_type = 'LOCATION') as places from counted)
-select unnest(list_filter([case when formats > total * 0.3::double then 'complex formats' end, case when phones > total * 0.2::double then 'phones' end, case when places > total * 0.2::double then 'locations' end], lambda x: x is not null)) as advice from s""")
-def error_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What to mend first: shares of missed spans above their limits."""
-    n = F.col("n")
-    s = _categories(spark, sf_dir).agg(F.sum("n").alias("total"), F.sum(F.when(F.col("format") == "COMPLEX", n)).alias("formats"), F.sum(F.when(F.col("entity_type") == "PHONE_NUMBER", n)).alias("phones"), F.sum(F.when(F.col("entity_type") == "LOCATION", n)).alias("places"))
-    rules = [("formats", 0.3, "complex formats"), ("phones", 0.2, "phones"), ("places", 0.2, "locations")]
-    advice = F.array(*[F.when(F.col(c) > F.col("total") * limit, text) for c, limit, text in rules])
-    return s.select(F.explode(F.filter(advice, lambda x: x.isNotNull())).alias("advice"))
-
-
 def strategy_table(spark: SparkSession) -> DataFrame:
     """ordinal, strategy, reversible, keeps_format, keeps_meaning, utility, types."""
     rows = [F.struct(F.lit(k).alias("ordinal"), F.lit(n).alias("strategy"), F.lit(r).alias("reversible"), F.lit(f).alias("keeps_format"), F.lit(m).alias("keeps_meaning"), F.lit(u).alias("utility"), F.array(*map(F.lit, t)).alias("types")) for k, (n, r, f, m, u, t) in enumerate(STRATEGIES)]
@@ -307,19 +295,19 @@ def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WHITE = ("terms of use", "this work is licensed")
 
 
-@query(_SPANS + ", w as (select doc_id, " + " or ".join(f"contains(lower(text), '{x}')" for x in _WHITE) + " as listed from documents) select doc_id, listed, case when listed then 0 else coalesce(n, 0) end as n from w left join (select doc_id, count(*) as n from spans group by doc_id) using (doc_id)")
+@query(_EVERY + ", w as (select doc_id, " + " or ".join(f"contains(lower(text), '{x}')" for x in _WHITE) + " as listed from documents) select doc_id, listed, case when listed then 0 else coalesce(n, 0) end as n from w left join (select doc_id, count(*) as n from spans group by doc_id) using (doc_id)")
 def whitelisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with a listed phrase report no spans."""
     listed = F.exists(F.array(*map(F.lit, _WHITE)), lambda x: F.contains(F.lower("text"), x))
-    found = F.size(spans.find_all(F.col("text"), spans.ALL[:1] + spans.ALL[2:3] + spans.ALL[6:7]))
+    found = F.size(spans.find_all(F.col("text")))
     return table(spark, sf_dir, "documents").select("doc_id", listed.alias("listed"), F.when(listed, 0).otherwise(found).cast("long").alias("n"))
 
 
-@query(_SPANS + " select doc_id, start, '[' || entity_type || '_' || (row_number() over (partition by doc_id, entity_type order by start) - 1) || ']' as label from spans")
+@query(_EVERY + " select doc_id, start, stop, '[' || entity_type || '_' || (row_number() over (partition by doc_id, entity_type order by start, stop) - 1) || ']' as label from spans")
 def spans_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels numbered from 0 by type, in order of place."""
-    place = F.row_number().over(Window.partitionBy("doc_id", "entity_type").orderBy("start")) - 1
-    return _spans(spark, sf_dir).select("doc_id", "start", F.concat(F.lit("["), "entity_type", F.lit("_"), place.cast("string"), F.lit("]")).alias("label"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "entity_type").orderBy("start", "stop")) - 1
+    return _all_spans(spark, sf_dir).select("doc_id", "start", "stop", F.concat(F.lit("["), "entity_type", F.lit("_"), place.cast("string"), F.lit("]")).alias("label"))
 
 
 _MAIL = spans.PATTERNS["EMAIL"]
@@ -366,11 +354,11 @@ def recovered(masked: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten neighbouring documents are a session, each a turn."""
-    rows = _spans(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).alias("session"), F.col("doc_id").alias("turn"), "entity_type", "start", "stop", "entity_value")
+    rows = _kept_spans(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).alias("session"), F.col("doc_id").alias("turn"), "entity_type", "start", "stop", "entity_value")
     return session_mapping(rows)
 
 
-_MAPPING = _SPANS + ", mapped as (select doc_id // 10 as session, doc_id as turn, entity_type, start, entity_value, '${' || entity_type || '_' || lpad((row_number() over (partition by doc_id // 10, entity_type order by doc_id, start desc))::varchar, 3, '0') || '}' as placeholder from spans)"
+_MAPPING = _DISJOINT + ", mapped as (select doc_id // 10 as session, doc_id as turn, entity_type, start, entity_value, '${' || entity_type || '_' || lpad((row_number() over (partition by doc_id // 10, entity_type order by doc_id, start desc))::varchar, 3, '0') || '}' as placeholder from kept)"
 
 
 @query(_MAPPING + " select * from mapped")
@@ -378,15 +366,15 @@ def session_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sessions(spark, sf_dir).drop("stop")
 
 
-@query(_MAPPING + " select turn, d.text, n_masked from documents d join (select turn, count(*) as n_masked from mapped group by turn) on turn = doc_id")
+@query(_MAPPING + """, cuts as (select *, start + length(entity_value) as stop, coalesce(lag(start + length(entity_value)) over (partition by turn order by start), 0) as before from mapped)
+select turn, max(text) as text, string_agg(substr(text, before + 1, start - before) || placeholder, '' order by start) || substr(max(text), (max(stop) + 1)::bigint) as masked from cuts join documents on turn = doc_id group by turn""")
 def session_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Round trip: masked by the sessions' numbers, then recovered by a join on session and placeholder."""
+    """Masked by the sessions' numbers, then recovered by a join on session and placeholder."""
     mapping = _sessions(spark, sf_dir)
-    marked = mapping.groupBy("session", "turn").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "entity_value", "placeholder"))).alias("marked"), F.count(F.lit(1)).alias("n_masked"))
+    marked = mapping.groupBy("session", "turn").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "entity_value", "placeholder"))).alias("marked"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("turn"), "text")
-    masked = marked.join(docs, "turn").select("session", "turn", "n_masked", spans.splice(F.col("text"), F.col("marked")).alias("masked"))
-    back = recovered(masked.select("session", "turn", "masked"), mapping).where("masked <> text")
-    return back.join(masked.select("turn", "n_masked"), "turn").select("turn", "text", "n_masked")
+    masked = marked.join(docs, "turn").select("session", "turn", spans.splice(F.col("text"), F.col("marked")).alias("masked"))
+    return recovered(masked, mapping).select("turn", "text", "masked")
 
 
 @query("select u.conv_id, u.turn, u.text as asked, a.text as answered from conversations u join conversations a on u.conv_id = a.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant'")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import spans
-from textloom.plans.catalog import _SPANS, PLAIN, _spans, query, table
+from textloom.plans.catalog import _EVERY, _SPANS, _all_spans, _spans, query, table
 
 
 def rewrite_think(text: Column) -> Column:
@@ -17,26 +17,26 @@ def rewrite_think(text: Column) -> Column:
     return F.when(text.rlike(pattern), F.concat(F.regexp_extract(text, pattern, 1), quoted, F.regexp_extract(text, pattern, 3))).otherwise(text)
 
 
-@query(_SPANS + """
-select s.doc_id, s.start, substr(text, greatest(s.start - 20, 0) + 1, s.start - greatest(s.start - 20, 0)) as before, substr(text, s.start + length(entity_value) + 1, 20) as after
+@query(_EVERY + """
+select s.doc_id, s.start, s.stop, substr(text, greatest(s.start - 20, 0) + 1, s.start - greatest(s.start - 20, 0)) as before, substr(text, s.stop + 1, 20) as after
 from spans s join documents using (doc_id)""")
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.inline(F.concat(*[spans.find(F.col("text"), p, t) for t, p in PLAIN.items()])))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.inline(spans.find_all(F.col("text"))))
     left = F.greatest(F.col("start") - 20, F.lit(0))
-    return docs.select("doc_id", "start", F.substr("text", left + 1, F.col("start") - left).alias("before"), F.substr("text", F.col("stop") + 1, F.lit(20)).alias("after"))
+    return docs.select("doc_id", "start", "stop", F.substr("text", left + 1, F.col("start") - left).alias("before"), F.substr("text", F.col("stop") + 1, F.lit(20)).alias("after"))
 
 
-@query(_SPANS + """
+@query(_EVERY + """
 select a.doc_id, a.entity_type as type_a, a.start as start_a, b.entity_type as type_b, b.start as start_b
-from spans a join spans b on a.doc_id = b.doc_id and a.start < b.start + length(b.entity_value) + 200 and b.start < a.start + length(a.entity_value) + 200
-where (a.entity_type, a.start) < (b.entity_type, b.start)""")
+from spans a join spans b on a.doc_id = b.doc_id and a.start < b.stop + 200 and b.start < a.stop + 200
+where (a.entity_type, a.start, a.stop) < (b.entity_type, b.start, b.stop)""")
 def near_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval join: spans of a document within 200 characters of each other."""
-    rows = _spans(spark, sf_dir).select("doc_id", "entity_type", "start", "stop")
+    rows = _all_spans(spark, sf_dir).select("doc_id", "entity_type", "start", "stop")
     a, b = (rows.select("doc_id", *[F.col(c).alias(f"{c}_{x}") for c in ("entity_type", "start", "stop")]) for x in "ab")
     close = (F.col("start_a") < F.col("stop_b") + 200) & (F.col("start_b") < F.col("stop_a") + 200)
-    order = F.struct(F.col("entity_type_a").alias("t"), F.col("start_a").alias("s")) < F.struct(F.col("entity_type_b").alias("t"), F.col("start_b").alias("s"))
-    return a.join(b, "doc_id").where(close & order).select("doc_id", F.col("entity_type_a").alias("type_a"), "start_a", F.col("entity_type_b").alias("type_b"), "start_b")
+    place = lambda x: F.struct(*[F.col(f"{c}_{x}").alias(c) for c in ("entity_type", "start", "stop")])
+    return a.join(b, "doc_id").where(close & (place("a") < place("b"))).select("doc_id", F.col("entity_type_a").alias("type_a"), "start_a", F.col("entity_type_b").alias("type_b"), "start_b")
 
 
 @query(_SPANS + " select doc_id, start, left(entity_value, 2) || repeat('*', length(entity_value) - 6) || right(entity_value, 4) as masked from spans where entity_type = 'CREDIT_CARD'")

@@ -27,10 +27,26 @@ def labelled(line: Column) -> Column:
     return F.struct(F.coalesce(x["full_text"], x["text"], F.lit("")).alias("text"), places.alias("spans"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line (from 0), value of all lines of ``path``, its files taken in order of their names.
+
+    A file is read in splits; lines are counted by split, the counts are added up along the files,
+    and each line's place in its split is added.  So numbers don't depend on where files are cut.
+    """
+    meta = F.col("_metadata")
+    rows = spark.read.text(path).select("value", meta["file_path"].alias("_file"), meta["file_block_start"].alias("_split"), F.monotonically_increasing_id().alias("_at"))
+    splits = rows.groupBy("_file", "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = splits.groupBy("_file").agg(F.sum("_n").alias("_n")).select("_file", before(Window.orderBy("_file")).alias("_base"))  # one row a file
+    starts = splits.withColumn("_own", before(Window.partitionBy("_file").orderBy("_split"))).join(files, "_file")
+    starts = starts.select("_file", "_split", (F.col("_base") + F.col("_own") - F.col("_first")).alias("_start"))
+    return rows.join(starts, ["_file", "_split"]).select((F.col("_at") + F.col("_start")).alias("line"), "value")
+
+
 def read_labelled(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """sample_id, text, spans of JSON lines; ids follow the places of lines in their files, and ``limit`` takes the first of them."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("sample_id"))
-    rows = rows.where(F.trim("value") != "").select("sample_id", labelled(F.col("value")).alias("x")).select("sample_id", "x.*")
+    """sample_id, text, spans of JSON lines; ids are the numbers of lines, and ``limit`` takes the first lines that aren't blank."""
+    rows = numbered_lines(spark, path).where(F.trim("value") != "")
+    rows = rows.select(F.col("line").alias("sample_id"), labelled(F.col("value")).alias("x")).select("sample_id", "x.*")
     return rows if limit is None else rows.orderBy("sample_id").limit(limit)
 
 
