@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from textloom.plans import assess, catalog, generate, measures, passages, records, retrieval, rewrite, samples  # noqa: F401
+from textloom.plans import answers, assess, catalog, experiments, generate, measures, passages, ranking, records, retrieval, rewrite, samples, sessions  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
