@@ -24,7 +24,7 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_matches_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels", "conversations", "events", "orders"):
+    for t in ("documents", "embeddings", "pages", "labels", "conversations", "events", "orders", "customer"):
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     expected = db.execute(catalog.SQL[name]).fetchdf()
     got = catalog.QUERIES[name](spark, SF).toPandas()

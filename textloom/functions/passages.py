@@ -9,6 +9,7 @@ in a text; null and blank texts have no chunk.  The last chunk ends at the end o
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -44,7 +45,26 @@ def trimmed(text: str, boundary: re.Pattern[str]) -> Iterator[tuple[int, str]]:
             yield a + len(piece) - len(piece.lstrip(_BLANK)), inner
 
 
-def safe_end(text: str, target: int, around: int = AROUND) -> int:
+class Whole:
+    """What cuts should not split in a text, looked for once and only if it is asked for."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.found: list[tuple[list[int], list[int]]] | None = None
+
+    def end(self, target: int) -> int | None:
+        """The end of what a cut at ``target`` would split, of the first kind that has some."""
+        if self.found is None:
+            places = [[m.span() for m in pattern.finditer(self.text)] for pattern in WHOLE]
+            self.found = [([a for a, _ in p], [b for _, b in p]) for p in places]
+        for starts, ends in self.found:
+            at = bisect_left(starts, target) - 1
+            if at >= 0 and target < ends[at]:
+                return ends[at]
+        return None
+
+
+def safe_end(text: str, target: int, around: int = AROUND, whole: Whole | None = None) -> int:
     """A place near ``target``: after the first sentence end around it, else after the last space, else after what it would split."""
     first = max(0, target - around)
     window = text[first : target + around]
@@ -54,20 +74,14 @@ def safe_end(text: str, target: int, around: int = AROUND) -> int:
     space = window.rfind(" ")
     if space > 0:
         return first + space + 1
-    # from the word before the one that is split, and from at most 10,000 before in a text without spaces
-    line = max(text.rfind(" ", 0, max(0, text.rfind(" ", 0, target))) + 1, target - 10_000, 0)
-    for pattern in WHOLE:
-        for m in pattern.finditer(text, line, min(len(text), target + 10_000)):
-            if m.start() < target < m.end():
-                return m.end()
-    return target
+    return (whole or Whole(text)).end(target) or target
 
 
 def by_size(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[Piece]:
-    at = 0
+    at, whole = 0, Whole(text)
     while at < len(text):
         end = at + size
-        end = len(text) if end >= len(text) else safe_end(text, end)
+        end = len(text) if end >= len(text) else safe_end(text, end, whole=whole)
         yield at, end, text[at:end]
         if end >= len(text):
             return

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.spans import let
+
 # Keywords of each domain, in order of precedence.
 DOMAINS = {
     "financial": ("credit", "card", "bank", "account", "payment", "transaction", "balance", "deposit", "withdraw", "loan", "mortgage", "investment", "iban", "routing", "wire", "transfer", "billing", "invoice"),
@@ -29,30 +34,46 @@ def chars(text: Column, wanted: str) -> Column:
 
 
 def domain(text: Column) -> Column:
-    low = F.lower(text)
-    scores = {d: sum((F.contains(low, F.lit(k)).cast("int") for k in words[1:]), F.contains(low, F.lit(words[0])).cast("int")) for d, words in DOMAINS.items()}
-    best = F.greatest(*scores.values())
-    out = F.when(best < 2, "general")
-    for name, score in scores.items():
-        out = out.when(score == best, name)
-    return out
+    """The domain with most keywords, the first of equals; general with fewer than two."""
+
+    def counts(low: Column) -> Column:
+        return F.array(*[sum((F.contains(low, F.lit(k)).cast("int") for k in words), F.lit(0)) for words in DOMAINS.values()])
+
+    def best(found: Column) -> Column:
+        names = F.array(*map(F.lit, DOMAINS))
+        return F.when(F.array_max(found) < 2, "general").otherwise(F.get(names, (F.array_position(found, F.array_max(found)) - 1).cast("int")))
+
+    return let(let(F.lower(text), counts), best)
+
+
+#: Words of which a text with a match holds one; to look for them is quicker than the pattern.
+_HELD = {
+    r"dear\s+\w+": ("dear",), r"(best|kind)\s+regards": ("regards",), r"sent\s+from": ("sent",), r"(required|optional)\s*\*?": ("required", "optional"), r"please\s+enter": ("please",),
+    r"(first|last)\s+name": ("name",), r"page\s+\d+\s+of\s+\d+": ("page",), r"\[\d+\]": ("[",), r"figure\s+\d+": ("figure",), r"table\s+\d+": ("table",),
+}
 
 
 def source_type(text: Column) -> Column:
-    low = F.lower(text)
-    out = None
-    for name, patterns in SOURCES.items():
-        found = sum((low.rlike(p).cast("int") for p in patterns[1:]), low.rlike(patterns[0]).cast("int"))
-        out = F.when(found >= 2, name) if out is None else out.when(found >= 2, name)
+    def of(low: Column) -> Column:
+        fits = lambda p: (reduce(or_, [F.contains(low, F.lit(w)) for w in _HELD[p]]) & low.rlike(p) if p in _HELD else low.rlike(p)).cast("int")
+        found = {name: sum(map(fits, patterns), F.lit(0)) for name, patterns in SOURCES.items()}
+        out = None
+        for name, n in found.items():
+            out = F.when(n >= 2, name) if out is None else out.when(n >= 2, name)
+        return out
+
     dots = chars(text, ".")
     talk = (F.length(text) / F.greatest(dots, F.lit(1)) < 100) & (chars(text, "\n") > dots)
-    return out.when(talk, "conversation").when(F.length(text) > 500, "document").otherwise("unknown")
+    return F.coalesce(let(F.lower(text), of), F.when(talk, "conversation").when(F.length(text) > 500, "document").otherwise("unknown"))
 
 
 def features(text: Column) -> dict[str, Column]:
     """Scalar features; densities are per word."""
-    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    found = sum((F.regexp_count(text, F.lit(p)) for p in FOUND[1:]), F.regexp_count(text, F.lit(FOUND[0])))
+    words = F.regexp_count(text, F.lit(r"\S+"))
+    email, *numbers, name = FOUND[0], FOUND[1], FOUND[2], FOUND[4], FOUND[3]
+    count = lambda p: F.regexp_count(text, F.lit(p))
+    # without an @ there is no e-mail, without a digit no number
+    found = F.when(F.contains(text, F.lit("@")), count(email)).otherwise(0) + F.when(text.rlike("[0-9]"), sum(map(count, numbers[1:]), count(numbers[0]))).otherwise(0) + count(name)
     return {
         "text_length": F.length(text),
         "word_count": words,

@@ -66,10 +66,35 @@ def find(text: Column, pattern: str, entity_type: str, confidence: float = 0.9)
     return F.when(text.rlike(pattern), F.aggregate(pairs, start, step)["spans"]).otherwise(start["spans"])
 
 
+#: What a text must hold for a pattern to match, where that is quicker to see than the pattern.
+_SIGNS = {"EMAIL": "@", "URL": "://", "PERSON": None}
+
+
+def _may_match(text: Column, kind: str, pattern: str, digits: Column) -> Column:
+    """Whether a search is worth while: a pattern without a sign of its own needs a digit, one of masked cards a star as well."""
+    if kind in _SIGNS:
+        sign = _SIGNS[kind]
+        return F.lit(True) if sign is None else F.contains(text, F.lit(sign))
+    return (digits & F.contains(text, F.lit("*"))) if r"\*" in pattern else digits
+
+
 def find_all(text: Column, patterns: Sequence[tuple[str, str]] = ALL) -> Column:
-    """Matches of all patterns; of equal spans the first pattern's."""
-    found = F.concat(*[find(text, p, t) for t, p in patterns])
-    return let(found, lambda f: F.filter(f, lambda x, i: ~F.exists(F.slice(f, F.lit(1), i), lambda y: (y["start"] == x["start"]) & (y["stop"] == x["stop"]))))
+    """Matches of all patterns, in the patterns' order; of equal spans the first pattern's."""
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def every(digits: Column) -> Column:
+        return F.concat(*[F.when(_may_match(text, t, p, digits), find(text, p, t)).otherwise(none) for t, p in patterns])
+
+    found = let(text.rlike("[0-9]"), every)
+    # equal spans are neighbours in order of place and pattern
+    place = lambda s, i: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), i.alias("i"))
+    same = lambda p, o: (p["start"] == o["start"]) & (p["stop"] == o["stop"])
+
+    def first(f: Column) -> Column:
+        kept = let(F.sort_array(F.transform(f, place)), lambda ps: F.filter(ps, lambda p, k: ~F.coalesce(same(p, F.get(ps, k - 1)), F.lit(False))))
+        return F.transform(F.sort_array(F.transform(kept, lambda p: p["i"])), lambda i: F.get(f, i))
+
+    return let(found, lambda f: F.when(F.size(f) < 2, f).otherwise(first(f)))
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -112,30 +112,84 @@ def _listed(values: list[str]) -> str:
 
 
 @query(f"""
-with v as (select i as id, {_listed(_TEMPLATES)}[i % 4 + 1] as template, {_listed(_FIRST)}[i % 5 + 1] as f, {_listed(_LAST)}[i % 3 + 1] as l, i from range(0, 2000) r(i)),
+with v as (select i as id, {_listed(_TEMPLATES)}[i % 4 + 1] as template, {_listed(_FIRST)}[i % 5 + 1] as f, {_listed(_LAST)}[i % 3 + 1] as l, i from (select doc_id as i from documents)),
 w as (select id, template, f || ' ' || l as person, lower(f || '.' || l) || (i % 97)::varchar || '@example.com' as email, '555-' || lpad((i * 7919 % 10000)::varchar, 4, '0') as phone from v),
 x as (select *, replace(replace(replace(template, '{{{{PERSON}}}}', person), '{{{{EMAIL}}}}', email), '{{{{PHONE}}}}', phone) as text from w),
 y as (select id, text, template, unnest(['PERSON', 'EMAIL', 'PHONE']) as entity_type, unnest([person, email, phone]) as entity_value from x)
 select id, text, entity_type, instr(text, entity_value) - 1 as start, instr(text, entity_value) - 1 + length(entity_value) as stop, entity_value from y where contains(template, '{{{{' || entity_type || '}}}}')""")
 def template_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded labelled samples: templates filled with made-up values, and where these stand."""
+    """Labelled samples, one a document: templates filled with made-up values, and where these stand."""
     pick = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("id") % len(values)).cast("int"))
     person = F.concat(pick(_FIRST), F.lit(" "), pick(_LAST))
     email = F.concat(F.lower(F.replace(person, F.lit(" "), F.lit("."))), (F.col("id") % 97).cast("string"), F.lit("@example.com"))
     phone = F.concat(F.lit("555-"), F.lpad((F.col("id") * 7919 % 10000).cast("string"), 4, "0"))
     values = F.create_map(F.lit("PERSON"), person, F.lit("EMAIL"), email, F.lit("PHONE"), phone)
-    rows = spark.range(2000).select("id", fill(pick(_TEMPLATES), values).alias("x"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).select("id", fill(pick(_TEMPLATES), values).alias("x"))
     return rows.select("id", F.col("x.text").alias("text"), F.inline("x.spans")).drop("confidence")
 
 
-@query(f"select line from (select unnest({_listed([*_TEMPLATES, 'Call {{SSN}}', ' '])}) as line) where trim(line) <> '' and len(list_filter(list_distinct(regexp_extract_all(line, '\\{{\\{{(\\w+)\\}}\\}}', 1)), lambda s: s not in ('PERSON', 'EMAIL', 'PHONE'))) = 0")
+_SLOTS = ["", " {{PERSON}}", " {{SSN}} {{EMAIL}}", " {{EMAIL}} {{PHONE}}"]
+
+
+@query(f"select doc_id, line from (select doc_id, case when doc_id % 7 = 0 then ' ' else left(text, 30) || {_listed(_SLOTS)}[doc_id % 4 + 1] end as line from documents) where trim(line) <> '' and len(list_filter(list_distinct(regexp_extract_all(line, '\\{{\\{{(\\w+)\\}}\\}}', 1)), lambda s: s not in ('PERSON', 'EMAIL', 'PHONE'))) = 0")
 def template_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates whose slots are all known; blank lines go."""
-    lines = spark.createDataFrame([(x,) for x in [*_TEMPLATES, "Call {{SSN}}", " "]], "line string")
+    """Templates begun by the documents whose slots are all known; blank lines go."""
+    slot = F.get(F.array(*map(F.lit, _SLOTS)), (F.col("doc_id") % len(_SLOTS)).cast("int"))
+    line = F.when(F.col("doc_id") % 7 == 0, " ").otherwise(F.concat(F.left("text", F.lit(30)), slot))
+    lines = table(spark, sf_dir, "documents").select("doc_id", line.alias("line"))
     known = F.array(*map(F.lit, ("PERSON", "EMAIL", "PHONE")))
     return lines.where((F.trim("line") != "") & (F.size(F.array_except(template_slots(F.col("line")), known)) == 0))
 
 
+def answer_verdict(prediction: Column, answers: list[list[str]], spaced: Column) -> Column:
+    """labels, factual of a model's answer.
+
+    Without information it is labelled -1 only; spaces are taken out where words aren't ``spaced``; factual is 1 where it points out errors of fact.
+    """
+    said = F.when(spaced, prediction).otherwise(F.replace(prediction, F.lit(" "), F.lit("")))
+    holds = lambda *xs: F.greatest(*[F.coalesce(F.contains(said, F.lit(x)), F.lit(False)) for x in xs])
+    # What an answer says that lacks information, or finds wrong facts.
+    lacking, wrong = ("\u4fe1\u606f\u4e0d\u8db3", "insufficient information"), ("\u4e8b\u5b9e\u6027\u9519\u8bef", "factual errors")
+    labels = F.when(holds(*lacking), F.array(F.lit(-1))).otherwise(answer_labels(said, answers))
+    return F.struct(labels.alias("labels"), holds(*wrong).cast("int").alias("factual"))
+
+
+_VERDICTS = [["the", "der"], ["ofthe", "lade"]]
+_SAID = "(case when doc_id % 3 = 0 then replace(p, ' ', '') else p end)"
+
+
+@query("with p as (select doc_id, coalesce(text, '') || case when doc_id % 5 = 0 then ' insufficient information' when doc_id % 7 = 0 then ' \u4fe1\u606f \u4e0d\u8db3' else '' end || case when doc_id % 4 = 0 then ' factual errors' else '' end as p from documents), "
+       + f"s as (select doc_id, {_SAID} as s from p) select doc_id, case when contains(s, '\u4fe1\u606f\u4e0d\u8db3') or contains(s, 'insufficient information') then [-1] else [" + ", ".join("greatest(" + ", ".join(f"contains(lower(s), '{a}')::int" for a in x) + ", 0)" for x in _VERDICTS) + "] end as labels, contains(s, 'factual errors')::int as factual from s")
+def answer_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as answers: every third without spaces, some that lack information or point out errors."""
+    _id = F.col("doc_id")
+    lacking = F.when(_id % 5 == 0, " insufficient information").when(_id % 7 == 0, " \u4fe1\u606f \u4e0d\u8db3").otherwise("")
+    said = F.concat(F.coalesce("text", F.lit("")), lacking, F.when(_id % 4 == 0, " factual errors").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", answer_verdict(said, _VERDICTS, _id % 3 != 0).alias("x")).select("doc_id", "x.*")
+
+
+def grouped_scores(results: DataFrame, mapping: DataFrame) -> DataFrame:
+    """category, subject, n, correct, score: by subject, by category and in all.
+
+    ``results`` holds subject and correct, ``mapping`` subject, ordinal and category; of a subject's categories the last counts.
+    """
+    last = mapping.groupBy("subject").agg(F.max_by("category", "ordinal").alias("category"))
+    rows = results.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.sum("correct").alias("correct")).join(last, "subject")
+    sums = rows.rollup("category", "subject").agg(F.sum("n").alias("n"), F.sum("correct").alias("correct"))
+    return sums.withColumn("score", F.col("correct") / F.col("n"))
+
+
+@query("""with r as (select source as subject, quality from documents join labels using (doc_id)),
+m as (select source as subject, max_by(lang, lang) as category from documents group by source),
+s as (select subject, count(*) as n, sum(quality)::bigint as correct from r group by subject)
+select category, subject, sum(n)::bigint as n, sum(correct)::bigint as correct, (sum(correct) / sum(n))::double as score from s join m using (subject) group by rollup (category, subject)""")
+def category_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality by source, by the last language of each source, and in all."""
+    docs = table(spark, sf_dir, "documents")
+    results = docs.join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("source").alias("subject"), F.col("quality").alias("correct"))
+    return grouped_scores(results, docs.select(F.col("source").alias("subject"), F.col("lang").alias("ordinal"), F.col("lang").alias("category")).distinct())
+
+
 @query("select lang, count(*) as n, avg(n_chars) as mean, median(n_chars)::double as median, stddev_pop(n_chars) as spread from documents group by lang")
 def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_chars")

@@ -105,10 +105,16 @@ def error_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupingSets([[k] for k in keys], *keys).agg(F.count(F.lit(1)).alias("n")).select("entity_type", "lang", "source", "n")
 
 
-@query(f"select doc_id, regexp_extract_all(text, '{spans.PATTERNS['EMAIL']}') as email, regexp_extract_all(text, '{spans.PATTERNS['CREDIT_CARD']}') as credit_card from documents where regexp_matches(text, '{spans.PATTERNS['EMAIL']}') or regexp_matches(text, '{spans.PATTERNS['CREDIT_CARD']}')")
+# The keys and patterns of the extractor by key.
+KEYS = {"email": spans.PATTERNS["EMAIL"], "phone": r"\b\d{3}[-.\s]?\d{3}[-.\s]?\d{4}\b", "credit_card": spans.PATTERNS["CREDIT_CARD"], "id_card": r"\b\d{17}[\dXx]\b"}
+
+
+@query("select doc_id, " + ", ".join(f"case when regexp_matches({said(p)}, '{p}') then regexp_extract_all({said(p)}, '{p}') end as {k}" for k, p in KEYS.items()) + " from documents where " + " or ".join(f"regexp_matches({said(p)}, '{p}')" for p in KEYS.values()))
 def pii_dict_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = {k.lower(): F.regexp_extract_all("text", F.lit(spans.PATTERNS[k]), F.lit(0)).alias(k.lower()) for k in ("EMAIL", "CREDIT_CARD")}
-    return table(spark, sf_dir, "documents").select("doc_id", *found.values()).where("size(email) > 0 or size(credit_card) > 0")
+    """Values by key; a key without any is null, a text without any key is left out."""
+    found = {k: F.regexp_extract_all("text", F.lit(p), F.lit(0)) for k, p in KEYS.items()}
+    rows = table(spark, sf_dir, "documents").select("doc_id", *[F.when(F.size(x) > 0, x).alias(k) for k, x in found.items()])
+    return rows.where(F.coalesce(*KEYS).isNotNull())
 
 
 #: Disjoint spans: of overlapping neighbours the longer.
@@ -199,11 +205,11 @@ def special_char_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", profile.special_ratio(F.col("text")).alias("ratio")).where("ratio <= 0.5")
 
 
-@query("select level, reversible, realistic, case when level >= 8 then (case when reversible then 'encrypt' else 'hash' end) when level >= 5 then (case when realistic then 'fake' when reversible then 'placeholder' else 'mask' end) else (case when realistic then 'fake' else 'placeholder' end) end as strategy from range(1, 11) l(level), (values (true), (false)) r(reversible), (values (true), (false)) f(realistic)")
+@query(_EVERY + f", l as (select doc_id, entity_type, start, stop, {_LEVEL} as level, doc_id % 2 = 0 as reversible, doc_id % 3 = 0 as realistic from spans) select *, case when level >= 8 then (case when reversible then 'encrypt' else 'hash' end) when level >= 5 then (case when realistic then 'fake' when reversible then 'placeholder' else 'mask' end) else (case when realistic then 'fake' else 'placeholder' end) end as strategy from l")
 def strategy_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = F.array(F.lit(True), F.lit(False))
-    grid = spark.range(1, 11).select(F.col("id").alias("level"), F.explode(both).alias("reversible")).select("*", F.explode(both).alias("realistic"))
-    return grid.withColumn("strategy", profile.recommended(F.col("level"), F.col("reversible"), F.col("realistic")))
+    """What to do with each span, by its type's sensitivity and by what its document asks for."""
+    rows = _all_spans(spark, sf_dir).select("doc_id", "entity_type", "start", "stop", spans.sensitivity(F.col("entity_type")).alias("level"), (F.col("doc_id") % 2 == 0).alias("reversible"), (F.col("doc_id") % 3 == 0).alias("realistic"))
+    return rows.withColumn("strategy", profile.recommended(F.col("level"), F.col("reversible"), F.col("realistic")))
 
 
 @query("select doc_id, i::int as chunk_index, substr(text, i * 1900 + 1, 2000) as chunk from documents, lateral (select unnest(range(0, greatest(1, ceil((length(text) - 100) / 1900.0)::int))) as i)")
@@ -302,7 +308,7 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EVAL = f"""
 with p as (select doc_id, len(list_distinct(regexp_extract_all(text, '{PLAIN['IP_ADDRESS']}'))) as predicted, len(list_intersect(list_distinct(regexp_extract_all(text, '{PLAIN['IP_ADDRESS']}')), list_distinct(regexp_extract_all(text, '\\b(?:[0-9]{{1,2}}\\.){{3}}[0-9]{{1,2}}\\b')))) as tp,
   len(list_distinct(regexp_extract_all(text, '\\b(?:[0-9]{{1,2}}\\.){{3}}[0-9]{{1,2}}\\b'))) as truth from documents)
-select sum(tp)::bigint as tp, sum(predicted - tp)::bigint as fp, sum(truth - tp)::bigint as fn, coalesce(sum(tp) / nullif(sum(predicted), 0), 0)::double as micro_precision, coalesce(sum(tp) / nullif(sum(truth), 0), 0)::double as micro_recall from p"""
+select sum(tp)::bigint as tp, sum(predicted - tp)::bigint as fp, sum(truth - tp)::bigint as fn, coalesce(sum(tp) / nullif(sum(predicted), 0), 0)::double as micro_precision, coalesce(sum(tp) / nullif(sum(truth), 0), 0)::double as micro_recall, coalesce(2.0::double * sum(tp) / nullif(sum(predicted) + sum(truth), 0), 0)::double as micro_f1 from p"""
 
 
 @query(_EVAL)
@@ -313,7 +319,7 @@ def eval_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.size(predicted).alias("p"), F.size(truth).alias("t"), F.size(F.array_intersect(predicted, truth)).alias("tp"))
     sums = rows.agg(F.sum("tp").alias("tp"), F.sum(F.col("p") - F.col("tp")).alias("fp"), F.sum(F.col("t") - F.col("tp")).alias("fn"))
     rate = lambda other: F.coalesce(F.try_divide("tp", F.col("tp") + F.col(other)), F.lit(0.0))
-    return sums.select("*", rate("fp").alias("micro_precision"), rate("fn").alias("micro_recall"))
+    return sums.select("*", rate("fp").alias("micro_precision"), rate("fn").alias("micro_recall"), F.coalesce(F.try_divide(F.col("tp") * 2.0, F.col("tp") * 2 + F.col("fp") + F.col("fn")), F.lit(0.0)).alias("micro_f1"))
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:

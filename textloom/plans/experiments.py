@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import extractors, spans
 from textloom.plans.catalog import _EVERY, query, said, table
-from textloom.plans.measures import EVALUATED, context_complexity, f1, format_complexity, rate
+from textloom.plans.measures import EVALUATED, THRESHOLDS, context_complexity, f1, format_complexity, rate
 
 _C = F.col
 _DIGITS, _CARD = r"\d[\d .()-]{5,}\d", spans.PATTERNS["CREDIT_CARD"]
@@ -210,3 +210,29 @@ def _advice_sql() -> str:
 def error_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What to mend first."""
     return advice(summaries(_errors(spark, sf_dir)))
+
+
+@query(_UNION + " select source, entity_type, case when confidence >= 0.8 then 'HIGH' when confidence >= 0.5 then 'MEDIUM' else 'LOW' end as level, count(*) as n from united group by all")
+def confidence_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all extractors by how sure they are."""
+    return extractor_union(spark, sf_dir).groupBy("source", "entity_type", confidence_level(_C("confidence")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Least confidences of merged spans by detection strategy.
+MERGED = {"high_recall": 0.3, "balanced": 0.5, "high_precision": 0.7}
+_SETTINGS = ", ".join(f"('{k}', {a}::double, {b}::double, {MERGED[k]}::double)" for k, (a, b) in THRESHOLDS.items())
+
+
+_LONGER = _merged_sql("x.kept[1].b - x.kept[1].a > k.b - k.a").rsplit("select doc_id, s.t", 1)[0]
+
+
+@query(_LONGER + f""", s(strategy, recognised, modelled, merged) as (values {_SETTINGS})
+select strategy, (select count_if(confidence >= recognised) from united) as recognised, (select count_if(confidence >= modelled) from united) as modelled, (select count_if(one.s.c >= merged) from one) as merged from s""")
+def thresholds_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that pass each detection strategy's three thresholds, found and merged, in one pass."""
+    rows = _found(spark, sf_dir).select("found", extractors.preferred(_C("found")).alias("kept"))
+    passed = lambda spans_, least: F.sum(F.size(F.filter(spans_, lambda s: s["confidence"] >= least))).cast("long")
+    cells = {k: (passed("found", a), passed("found", b), passed("kept", MERGED[k])) for k, (a, b) in THRESHOLDS.items()}
+    names = ("recognised", "modelled", "merged")
+    sums = rows.agg(*[c.alias(f"{k}_{n}") for k, own in cells.items() for n, c in zip(names, own, strict=True)])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(k).alias("strategy"), *[_C(f"{k}_{n}").alias(n) for n in names]) for k in cells])))

@@ -42,10 +42,10 @@ def consistent_fakes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with b(brand, len, n) as (values {", ".join(f"('{b}', {n}, {len(fakes.FORMATS)})" for b, (_, n) in fakes.BRANDS.items())})
-select brand, f.format, 200::bigint as n, true as valid, 200::bigint as well_formed from b, (select unnest([{", ".join(f"'{f}'" for f in fakes.FORMATS)}]) as format) f""")
+select brand, f.format, d.n, true as valid, d.n as well_formed from b, (select count(*) as n from documents) d, (select unnest([{", ".join(f"'{f}'" for f in fakes.FORMATS)}]) as format) f""")
 def card_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two hundred seeded cards of each brand in each format: how many, whether all have a right check digit, how many the brand's length and first digits."""
-    seeds, out = spark.range(200).select(_C("id").cast("string").alias("seed")), None
+    """A card of each brand for each document, in each format: how many, whether all have a right check digit, how many the brand's length and first digits."""
+    seeds, out = table(spark, sf_dir, "documents").select(_C("doc_id").cast("string").alias("seed")), None
     for brand, (prefixes, length) in fakes.BRANDS.items():
         cards = seeds.select(fakes.card(brand, _C("seed")).alias("card"))
         shown = F.array(*[F.struct(F.lit(name).alias("format"), written(_C("card")).alias("shown")) for name, written in fakes.FORMATS.items()])
@@ -62,18 +62,21 @@ _ID = "i::varchar"
 
 @query(f"""select i as id, {_pick(fakes.FIRST, _ID + " || '/first'")} || ' ' || {_pick(fakes.LAST, _ID + " || '/last'")} as full_name, lower({_pick(fakes.FIRST, _ID + " || '/first'")} || '.' || {_pick(fakes.LAST, _ID + " || '/last'")}) || '@example.com' as email,
   '+1 (' || substr({_digits(_ID)}, 1, 3) || ') 555-' || substr({_digits(_ID)}, 4, 4) as phone_intl, ({_num(_ID)} % 200 + 1)::varchar || ' ' || {_pick(fakes.STREETS, _ID + " || '/street'")} || ', ' || {_pick(fakes.TOWNS, _ID + " || '/town'")} as address,
-  strftime(date '1950-01-01' + ({_num(_ID)} % 18000)::int, '%Y-%m-%d') as dob, '9' || substr({_digits(_ID)}, 8, 2) || '-' || substr({_digits(_ID)}, 10, 2) || '-' || substr({_digits(_ID)}, 12, 4) as ssn, {_pick(("female", "male"), _ID + " || '/gender'")} as gender from range(0, 1000) r(i)""")
+  strftime(date '1950-01-01' + ({_num(_ID)} % 18000)::int, '%Y-%m-%d') as dob, '9' || substr({_digits(_ID)}, 8, 2) || '-' || substr({_digits(_ID)}, 10, 2) || '-' || substr({_digits(_ID)}, 12, 4) as ssn, {_pick(("female", "male"), _ID + " || '/gender'")} as gender from (select c_custkey as i from customer)""")
 def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A thousand seeded persons."""
+    """A made-up person for each customer."""
     fields = fakes.identity(_C("id").cast("string"))
-    return spark.range(1000).select("id", *[fields[c].alias(c) for c in ("full_name", "email", "phone_intl", "address", "dob", "ssn", "gender")])
+    rows = table(spark, sf_dir, "customer").select(_C("c_custkey").alias("id"))
+    return rows.select("id", *[fields[c].alias(c) for c in ("full_name", "email", "phone_intl", "address", "dob", "ssn", "gender")])
 
 
-@query(f"select i // 4 as conv_id, (i % 4)::int as turn, case when i % 2 = 0 then 'user' else 'assistant' end as role, case when i % 2 = 0 then 'I am ' || {_pick(fakes.FIRST, _ID)} || ', how are you?' else 'Fine, and in ' || {_pick(fakes.TOWNS, _ID)} || '?' end as text from range(0, 400) r(i)")
+@query(f"select conv_id, turn, role, case when role = 'user' then 'I am ' || {_pick(fakes.FIRST, _ID)} || ', how are you?' else 'Fine, and in ' || {_pick(fakes.TOWNS, _ID)} || '?' end as text from (select *, conv_id * 1000 + turn as i from conversations)")
 def mock_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seed, user = _C("id").cast("string"), _C("id") % 2 == 0
-    text = F.when(user, F.concat(F.lit("I am "), fakes.pick(fakes.FIRST, seed), F.lit(", how are you?"))).otherwise(F.concat(F.lit("Fine, and in "), fakes.pick(fakes.TOWNS, seed), F.lit("?")))
-    return spark.range(400).select(F.floor(_C("id") / 4).alias("conv_id"), (_C("id") % 4).cast("int").alias("turn"), F.when(user, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    """The given conversations' turns with made-up texts."""
+    rows = table(spark, sf_dir, "conversations")
+    seed = (_C("conv_id") * 1000 + _C("turn")).cast("string")
+    text = F.when(_C("role") == "user", F.concat(F.lit("I am "), fakes.pick(fakes.FIRST, seed), F.lit(", how are you?"))).otherwise(F.concat(F.lit("Fine, and in "), fakes.pick(fakes.TOWNS, seed), F.lit("?")))
+    return rows.select("conv_id", "turn", "role", text.alias("text"))
 
 
 DAMPING, ROUNDS = 0.85, 30

@@ -94,13 +94,6 @@ def eval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(hit.alias("hit"), wrong.alias("wrong"), F.size("t").alias("n")).agg(F.sum("hit").alias("tp"), F.sum("wrong").alias("fp"), F.sum(F.col("n") - F.col("hit")).alias("fn"))
 
 
-@query("select event_type, case when value / 100 >= 0.8 then 'HIGH' when value / 100 >= 0.5 then 'MEDIUM' else 'LOW' end as level, count(*) as n from events group by all")
-def confidence_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    confidence = F.col("value") / 100
-    level = F.when(confidence >= 0.8, "HIGH").when(confidence >= 0.5, "MEDIUM").otherwise("LOW")
-    return table(spark, sf_dir, "events").groupBy("event_type", level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def nested(found: Column) -> Column:
     """Whether some span lies in another; equal ones do."""
     return F.exists(found, lambda a: F.size(F.filter(found, lambda b: (a["start"] >= b["start"]) & (a["stop"] <= b["stop"]))) > 1)
@@ -172,9 +165,14 @@ def default_strategy(entity_type: Column, scenario: Column) -> Column:
 _TABLE = "(values " + ", ".join(f"({k}, '{n}', {r}, {f}, {m}, '{u}', [{', '.join(repr(x) for x in t)}])" for k, (n, r, f, m, u, t) in enumerate(STRATEGIES)) + ") s(ordinal, strategy, reversible, keeps_format, keeps_meaning, utility, types)"
 
 
-@query(f"select * from {_TABLE}")
+@query(_EVERY + f", t as (select {_NAMED} as entity_type, count(*) as n from spans group by 1) select c.*, count(entity_type) as n_types, coalesce(sum(n), 0)::bigint as n_spans from (select * from {_TABLE}) c left join t on list_contains(types, 'ALL') or list_contains(types, entity_type) group by all")
 def strategy_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strategy_table(spark)
+    """Each strategy with the types and the number of spans in the documents that it suits."""
+    name = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in EVALUATED.items() for x in kv]), F.col("entity_type")), F.col("entity_type"))
+    found = _all_spans(spark, sf_dir).groupBy(name.alias("entity_type")).agg(F.count(F.lit(1)).alias("n"))  # one row a type
+    strategies = strategy_table(spark)
+    rows = strategies.join(F.broadcast(found), applicable(F.col("types"), F.col("entity_type")), "left")
+    return rows.groupBy(*strategies.columns).agg(F.count("entity_type").alias("n_types"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_spans"))
 
 
 @query(_EVERY + f", t as (select distinct {_NAMED} as entity_type from spans) select entity_type, list(strategy order by ordinal) as strategies from t join {_TABLE} on list_contains(types, 'ALL') or list_contains(types, entity_type) group by entity_type")
@@ -186,23 +184,14 @@ def strategies_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return types.select("entity_type", F.transform(F.filter(table_, lambda s: applicable(s["types"], F.col("entity_type"))), lambda s: s["strategy"]).alias("strategies"))
 
 
-_PAIRS = "(select unnest([{}]) as entity_type), (select unnest([{}]) as scenario)".format(", ".join(f"'{t}'" for t in (*BY_TYPE, "AGE")), ", ".join(f"'{c}'" for c in (*SCENARIOS, "other")))
-
-
-@query(f"select entity_type, scenario, case when scenario in ('llm_training', 'analytics') and entity_type <> 'AGE' then 'fake_entity' " + " ".join(f"when scenario = '{c}' then '{s}'" for c, s in SCENARIOS.items()) + " else 'placeholder' end as strategy, case entity_type " + " ".join(f"when '{t}' then '{s}'" for t, s in BY_TYPE.items()) + f" end as of_type from {_PAIRS}")
+@query(_EVERY + f", t as (select {_NAMED} as entity_type, count(*) as n from spans group by 1), c as (select unnest([{', '.join(repr(c) for c in (*SCENARIOS, 'other'))}]) as scenario) select entity_type, n, scenario, case when scenario in ('llm_training', 'analytics') and entity_type in {tuple(BY_TYPE)} then 'fake_entity' " + " ".join(f"when scenario = '{c}' then '{s}'" for c, s in SCENARIOS.items()) + " else 'placeholder' end as strategy, case entity_type " + " ".join(f"when '{t}' then '{s}'" for t, s in BY_TYPE.items()) + " end as of_type from t, c")
 def strategy_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, (*BY_TYPE, "AGE")))).alias("entity_type")).select("entity_type", F.explode(F.array(*map(F.lit, (*SCENARIOS, "other")))).alias("scenario"))
+    """How each type that occurs is masked in each scenario."""
+    name = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in EVALUATED.items() for x in kv]), F.col("entity_type")), F.col("entity_type"))
+    found = _all_spans(spark, sf_dir).groupBy(name.alias("entity_type")).agg(F.count(F.lit(1)).alias("n"))
+    rows = found.select("entity_type", "n", F.explode(F.array(*map(F.lit, (*SCENARIOS, "other")))).alias("scenario"))
     of_type = F.try_element_at(F.create_map(*[F.lit(x) for kv in BY_TYPE.items() for x in kv]), F.col("entity_type"))
-    return rows.select("entity_type", "scenario", default_strategy(F.col("entity_type"), F.col("scenario")).alias("strategy"), of_type.alias("of_type"))
-
-
-@query("select strategy, count_if(value / 100 >= recognised) as recognised, count_if(value / 100 >= modelled) as modelled from events, (values " + ", ".join(f"('{k}', {a}::double, {b}::double)" for k, (a, b) in THRESHOLDS.items()) + ") t(strategy, recognised, modelled) group by strategy")
-def thresholds_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores that pass each detection strategy's thresholds, in one pass."""
-    score = F.col("value") / 100
-    sums = table(spark, sf_dir, "events").agg(*[F.count_if(score >= x).alias(f"{k}_{i}") for k, both in THRESHOLDS.items() for i, x in enumerate(both)])
-    rows = F.array(*[F.struct(F.lit(k).alias("strategy"), F.col(f"{k}_0").alias("recognised"), F.col(f"{k}_1").alias("modelled")) for k in THRESHOLDS])
-    return sums.select(F.inline(rows))
+    return rows.select("entity_type", "n", "scenario", default_strategy(F.col("entity_type"), F.col("scenario")).alias("strategy"), of_type.alias("of_type"))
 
 
 _FINANCE, _HEALTH = profile.DOMAINS["financial"][:6], profile.DOMAINS["medical"][:5]
@@ -254,13 +243,13 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.trim(runs), r"\s+", " ").alias("cleaned"))
 
 
-@query("""select query_id, '<details>' || string_agg(left(text, 60) || chr(10), '' order by rank) || '</details>' as context, count(*) as n from (select q.vec_id as query_id, r.vec_id, row_number() over (partition by q.vec_id order by list_distance(q.embedding::double[], r.embedding::double[]), r.vec_id) as rank
+@query("""select query_id, '<details>' || string_agg(text || chr(10), '' order by rank) || '</details>' as context, count(*) as n from (select q.vec_id as query_id, r.vec_id, row_number() over (partition by q.vec_id order by list_distance(q.embedding::double[], r.embedding::double[]), r.vec_id) as rank
 from embeddings q join embeddings r on q.vec_id <> r.vec_id where q.vec_id % 20 = 0) join documents on doc_id = vec_id where rank <= 3 group by query_id""")
 def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest passages of each query, in order, as one block; three rows a query."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     hits = nearest(rows, rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), 3)
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.concat(F.left("text", F.lit(60)), F.lit("\n")).alias("line"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.concat("text", F.lit("\n")).alias("line"))
     out = hits.join(texts, "vec_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("x"), F.count(F.lit(1)).alias("n"))
     return out.select("query_id", F.concat(F.lit("<details>"), F.array_join("x.line", ""), F.lit("</details>")).alias("context"), "n")
 
@@ -322,17 +311,24 @@ def redaction_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def located(text: Column, value: Column) -> Column:
     """start, entity_value of the first place of ``value``, else of the first in any case as it stands there; null without one."""
-    exact, loose = F.instr(text, value), F.locate(F.lower(value), F.lower(text))
+    exact, loose = F.position(value, text), F.position(F.lower(value), F.lower(text))
     at = F.when(exact > 0, exact).when(loose > 0, loose)
     return F.when(at.isNotNull(), F.struct((at - 1).alias("start"), F.substr(text, at, F.length(value)).alias("entity_value")))
 
 
-@query("select doc_id, (case when instr(text, 'Report') > 0 then instr(text, 'Report') else instr(lower(text), 'report') end - 1)::int as start, substr(text, case when instr(text, 'Report') > 0 then instr(text, 'Report') else instr(lower(text), 'report') end, 6) as entity_value from documents where contains(lower(text), 'report')")
+_UP = "translate(w, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+
+@query(f"""with w as (select doc_id, text, string_split(text, ' ')[3] as w from documents),
+v as (select doc_id, text, case doc_id % 3 when 0 then w when 1 then {_UP} else w || '#' end as value from w where w <> ''),
+a as (select *, case when instr(text, value) > 0 then instr(text, value) else instr(lower(text), lower(value)) end as at_ from v)
+select doc_id, (at_ - 1)::int as start, substr(text, at_, length(value)) as entity_value from a where at_ > 0""")
 def value_located(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    low = F.locate("report", F.lower(text))
-    at = F.when(F.instr(text, "Report") > 0, F.instr(text, "Report")).otherwise(low)
-    return table(spark, sf_dir, "documents").where(low > 0).select("doc_id", (at - 1).alias("start"), F.substr(text, at, F.lit(6)).alias("entity_value"))
+    """Where each text's third word stands first, asked for as it is, in capitals or with a sign too many."""
+    word = F.get(F.split("text", " "), F.lit(2))
+    asked = F.when(F.col("doc_id") % 3 == 0, word).when(F.col("doc_id") % 3 == 1, F.translate(word, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(F.concat(word, F.lit("#")))
+    rows = table(spark, sf_dir, "documents").where(word != "").select("doc_id", located(F.col("text"), asked).alias("x"))
+    return rows.where("x is not null").select("doc_id", "x.start", "x.entity_value")
 
 
 def session_mapping(found: DataFrame) -> DataFrame:

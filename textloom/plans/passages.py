@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import passages, spans
 from textloom.functions.chunks import chunks
-from textloom.plans.catalog import PLAIN, query, table
+from textloom.plans.catalog import query, said, table
 
 SIZE, OVERLAP = 600, 100
 _WS = r"[ \t\n\r\f\x0B]"
@@ -83,25 +83,27 @@ def chunk_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CHUNK_SPANS = " union all ".join(
-    f"""select doc_id, chunk_index, pos, '{t}' as entity_type, regexp_extract_all(chunk, '{p}') as hits, string_split_regex(chunk, '{p}') as gaps from k where regexp_matches(chunk, '{p}')""" for t, p in PLAIN.items()
+    f"""select doc_id, chunk_index, pos, text, '{t}' as entity_type, {n} as ordinal, regexp_extract_all({said(p)}, '{p}') as hits, string_split_regex({said(p)}, '{p}') as gaps from k where regexp_matches({said(p)}, '{p}')""" for n, (t, p) in enumerate(spans.ALL)
 )
+_CLOSE = "(least(k.b, x.kept[1].b) - greatest(k.a, x.kept[1].a)) > 0.5 * least(k.b - k.a, x.kept[1].b - x.kept[1].a)"
+_FIRST = f"coalesce(list_position(list_transform(m.kept, lambda k: {_CLOSE}), true), 0)"
+_BETTER = "case when k.r <> x.kept[1].r then k.r else x.kept[1].b - x.kept[1].a > k.b - k.a end"
 
 
-@query(f"""with recursive {_sized('documents')}, k as (select doc_id, chunk_index, pos, substr(text, pos + 1, stop - pos) as chunk from c),
+@query(f"""with recursive {_sized('documents')}, k as (select doc_id, chunk_index, pos, substr(text, pos + 1, stop - pos) as text from c),
 found as ({_CHUNK_SPANS}), numbered as (select *, unnest(range(1, len(hits) + 1)) as i from found),
-placed as (select doc_id, chunk_index, entity_type, hits[i] as v, (pos + list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::int as start from numbered),
-alone as (select a.* from placed a where not exists (select 1 from placed b where a.doc_id = b.doc_id and (a.start, length(a.v)) <> (b.start, length(b.v)) and a.start < b.start + length(b.v) and b.start < a.start + length(a.v)))
-select doc_id, entity_type, start, (start + length(v))::int as stop, v as entity_value from alone group by all""")
+placed as (select doc_id, chunk_index, pos, entity_type, ordinal, length(hits[i]) as n, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::int as s from numbered),
+own as (select * from placed qualify row_number() over (partition by doc_id, chunk_index, s, n order by ordinal) = 1),
+lists as (select doc_id, list({{'kept': [{{'a': pos + s, 'b': pos + s + n, 'r': chunk_index > 0 and s < {OVERLAP}, 't': entity_type}}]}} order by pos + s, n desc, chunk_index > 0 and s < {OVERLAP}, entity_type) as l from own group by doc_id),
+folded as (select doc_id, len(l) as n_found, list_reduce(l, lambda m, x: case when {_FIRST} = 0 then {{'kept': list_concat(m.kept, x.kept)}}
+  else {{'kept': list_transform(m.kept, lambda k, i: case when i = {_FIRST} and {_BETTER} then x.kept[1] else k end)}} end).kept as kept from lists)
+select doc_id, s.t as entity_type, s.a::int as start, s.b::int as stop, substr(text, s.a + 1, s.b - s.a) as entity_value, n_found::int as n_found, len(kept)::int as n_kept from (select doc_id, n_found, kept, unnest(kept) as s from folded) join documents using (doc_id)""")
 def chunked_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of plain types found chunk by chunk, moved to their places and merged; of those that no other place overlaps."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(passages.chunked(F.col("text"), "size", SIZE, OVERLAP)).alias("c"))
-    found = F.concat(*[spans.find(F.col("c.chunk"), p, t) for t, p in PLAIN.items()])
-    rows = rows.select("doc_id", F.inline(passages.shifted(found, F.col("c"))))
-    every = F.array_sort(F.collect_list(F.struct("entity_type", "start", "stop", "entity_value", "confidence", "repeated")))
-    rows = rows.groupBy("doc_id").agg(every.alias("all"))
-    clash = lambda s: F.exists("all", lambda o: ((o["start"] != s["start"]) | (o["stop"] != s["stop"])) & (o["start"] < s["stop"]) & (s["start"] < o["stop"]))
-    merged = F.filter(passages.merge_chunks(F.col("all")), lambda s: ~clash(s))
-    return rows.select("doc_id", F.inline(merged)).drop("confidence", "repeated")
+    """Spans of all types found chunk by chunk, moved to their places and merged, with their numbers before and after; all in the row."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", passages.chunked(F.col("text"), "size", SIZE, OVERLAP).alias("chunks"))
+    found = F.flatten(F.transform("chunks", lambda c: passages.shifted(spans.find_all(c["chunk"]), c)))
+    rows = rows.select("doc_id", found.alias("found")).select("doc_id", F.size("found").alias("n_found"), passages.merge_chunks(F.col("found")).alias("kept"))
+    return rows.select("doc_id", "n_found", F.size("kept").alias("n_kept"), F.inline("kept")).drop("confidence", "repeated")
 
 
 @query()

@@ -53,14 +53,14 @@ def mask_generalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with d as (select i as id, '4' || lpad(((i * 2654435761 + 12345) % 100000000000000)::varchar, 14, '0') as head from range(0, 500) r(i)),
+with d as (select i as id, '4' || lpad(((i * 2654435761 + 12345) % 100000000000000)::varchar, 14, '0') as head from (select doc_id as i from documents)),
 c as (select *, (10 - list_sum(list_transform(range(1, 16), lambda k: case when k % 2 = 1 then (case when substr(head, k, 1)::int > 4 then substr(head, k, 1)::int * 2 - 9 else substr(head, k, 1)::int * 2 end) else substr(head, k, 1)::int end)) % 10) % 10 as digit from d)
 select id, regexp_replace(head || digit::bigint::varchar, '(.{4})(.{4})(.{4})(.{4})', '\\1 \\2 \\3 \\4') as card from c""")
 def card_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded card numbers with their check digit."""
     head = F.concat(F.lit("4"), F.lpad(((F.col("id") * 2654435761 + 12345) % 100000000000000).cast("string"), 14, "0"))
     digit = F.expr("(10 - aggregate(transform(sequence(1, 15), k -> case when k % 2 = 1 then case when int(substr(head, k, 1)) > 4 then int(substr(head, k, 1)) * 2 - 9 else int(substr(head, k, 1)) * 2 end else int(substr(head, k, 1)) end), 0, (a, x) -> a + x) % 10) % 10")
-    rows = spark.range(500).select("id", head.alias("head"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).select("id", head.alias("head"))
     return rows.select("id", F.regexp_replace(F.concat("head", digit.cast("string")), r"(.{4})(.{4})(.{4})(.{4})", "$1 $2 $3 $4").alias("card"))
 
 
