@@ -88,7 +88,7 @@ def _scored(rows: DataFrame) -> DataFrame:
 
 @query("""with c as (select conv_id, turn, role, text, turn % 2 = 0 as changed, case when turn % 2 = 0 then text || ' ' || role else text end as answer from conversations where text is not null),
 s as (select *, (len(string_split(answer, ' ')) > 20)::int as score, (changed and (conv_id, turn, answer) not in (select conv_id, turn, text from c))::int as run from c)
-select role, run, count(*) as n, sum(score)::bigint as total, avg(score) as mean, count_if(score = 1) as right from s group by all""")
+select role, run, count(*) as n, sum(score)::bigint as total, avg(score) as mean, count_if(score = 1)::bigint as right from s group by all""")
 def resumed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers scored, half of them changed, and scored again: run tells in which run a row's score was computed."""
     rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", "role", _C("text").alias("answer"))

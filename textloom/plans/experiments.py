@@ -227,7 +227,7 @@ _LONGER = _merged_sql("x.kept[1].b - x.kept[1].a > k.b - k.a").rsplit("select do
 
 
 @query(_LONGER + f""", s(strategy, recognised, modelled, merged) as (values {_SETTINGS})
-select strategy, (select count_if(confidence >= recognised) from united) as recognised, (select count_if(confidence >= modelled) from united) as modelled, (select count_if(one.s.c >= merged) from one) as merged from s""")
+select strategy, (select count_if(confidence >= recognised) from united)::bigint as recognised, (select count_if(confidence >= modelled) from united)::bigint as modelled, (select count_if(one.s.c >= merged) from one)::bigint as merged from s""")
 def thresholds_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans that pass each detection strategy's three thresholds, found and merged, in one pass."""
     rows = _found(spark, sf_dir).select("found", extractors.preferred(_C("found")).alias("kept"))
