@@ -14,7 +14,7 @@ from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, StopW
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FEATURES, ROUNDS, PENALTY, HELD_OUT, SEED = 1 << 16, 40, 0.01, 20, 42
+FEATURES, ROUNDS, PENALTY, HELD_OUT, SEED = 1 << 14, 20, 0.01, 20, 42
 
 
 def held_out(key: Column, percent: int = HELD_OUT, seed: int = SEED) -> Column:
