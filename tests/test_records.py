@@ -1,3 +1,7 @@
+import json
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textloom.plans import samples
@@ -14,10 +18,33 @@ def test_labelled_lines_and_pairs(spark, tmp_path):
 
 
 def test_repaired(spark):
-    answers = ['```json\n[{"entity_type": "A"}]\n```', 'x [{"entity_type": A, "entity_value": say "hi" },] y', '[{"entity__type": "A"} {"entity_type": B}', "none", "", None]
-    rows = spark.createDataFrame([(k, a) for k, a in enumerate(answers)], "k int, a string").select("k", records.repaired(F.col("a")).alias("x")).orderBy("k").collect()
-    got = [r["x"] for r in rows]
-    assert got == ['[{"entity_type": "A"}]', '[{"entity_type": "A", "entity_value": "say \\"hi\\""}] y', '[{"entity_type": "A"}, {"entity_type": "B"}]', "[]", "[]", got[5]]
+    cases = {
+        '```json\n[{"entity_type": "A"}]\n```': '[{"entity_type": "A"}]',
+        'x [{"entity_type": A, "entity_value": say "hi" },] y': '[{"entity_type": "A", "entity_value": "say \\"hi\\""}]',
+        '[{"entity__type": "A"} {"entity_type": B}': '[{"entity_type": "A"}, {"entity_type": "B"}]',
+        '[{"a": "say "hi" now", "b": 10:30}': '[{"a": "say \\"hi\\" now", "b": "10:30"}]',
+        '[{a: 1.5, "b": [true, x}, {"c": "é\\n", "d":}]': '[{"a": 1.5, "b": [true, "x"]}, {"c": "é\\n", "d": null}]',
+        '[{"a": "cut of': '[{"a": "cut of"}]',
+        '[{"a": "x"}] and [{"a": "y"}]': '[{"a": "x"}]',
+        "none": "[]",
+        "": "[]",
+        None: "[]",
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "k int, a string").select("k", records.repaired(F.col("a")).alias("x")).orderBy("k").collect()
+    assert [r["x"] for r in rows] == list(cases.values())
+
+
+@settings(deadline=None)
+@given(st.text(alphabet='[]{}:,"\\ab1 \n_', max_size=60))
+def test_repaired_is_json(text):
+    got = json.loads(records.mended("[{" + text))
+    assert isinstance(got, list)
+
+
+@settings(deadline=None)
+@given(st.lists(st.dictionaries(st.text("abc_é", min_size=1).filter(lambda x: "__" not in x), st.text('ab"\\é\n,}]{: ', max_size=12) | st.integers(-99, 99) | st.none(), max_size=3), min_size=1, max_size=4))
+def test_repaired_keeps_json(rows):
+    assert json.loads(records.mended("So: " + json.dumps(rows))) == rows
 
 
 def test_exams_and_log(spark, tmp_path):

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,26 +32,114 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-#: Scores of which the smallest is best.
-MEASURES = {"l2": squared_l2, "cosine": lambda a, b: -cosine(a, b), "dot": lambda a, b: -dot(a, b)}
+def _totals(q: np.ndarray, v: np.ndarray, term: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sums over components in their order, as the column expressions add, for each of ``q`` against each of ``v``."""
+    out = np.zeros((len(q), len(v)))
+    for x, y in zip(q.T, v.T, strict=True):
+        out += term(x[:, None], y[None, :])
+    return out
+
+
+def _product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return x * y
+
+
+def _gap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x - y) * (x - y)
+
+
+def _norms(v: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.add.accumulate(v * v, axis=1)[:, -1]) if v.shape[1] else np.zeros(len(v))
+
+
+def _cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return -(_totals(q, v, _product) / (_norms(q)[:, None] * _norms(v)[None, :]))
+
+
+#: Scores of which the smallest is best, of blocks of queries and rows.
+MEASURES = {"l2": lambda q, v: _totals(q, v, _gap), "cosine": _cosines, "dot": lambda q, v: -_totals(q, v, _product)}
+
+#: Pairs that a task scores at once.
+_PAIRS = 1 << 20
+
+
+def _by_length(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and matrix of the vectors of each length."""
+    lengths = np.diff(vectors.offsets.to_numpy())
+    flat, starts = vectors.values.to_numpy(), vectors.offsets.to_numpy()[:-1]
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        yield at, flat[starts[at][:, None] + np.arange(n)]
+
+
+class _Best:
+    """The k best rows so far for each of some queries of one length."""
+
+    def __init__(self, ids: np.ndarray, scopes: np.ndarray, q: np.ndarray, k: int) -> None:
+        self.ids, self.scopes, self.q, self.k = ids, scopes, q, k
+        self.of, self.vec, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.limit = np.full(len(ids), np.inf)
+
+    def meet(self, vec: np.ndarray, scopes: np.ndarray, v: np.ndarray, measure: str, earlier: bool) -> None:
+        step = max(1, _PAIRS // max(1, len(self.ids)))
+        for a in range(0, len(vec), step):
+            ids, own = vec[a : a + step], scopes[a : a + step]
+            score = MEASURES[measure](self.q, v[a : a + step])
+            ok = (score <= self.limit[:, None]) & (own[None, :] == self.scopes[:, None])
+            ok &= ids[None, :] < self.ids[:, None] if earlier else ids[None, :] != self.ids[:, None]
+            of, at = np.nonzero(ok)
+            if not len(of):
+                continue
+            of, to, got = np.append(self.of, of), np.append(self.vec, ids[at]), np.append(self.score, score[of, at])
+            order = np.lexsort((to, got, of))
+            of = of[order]
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            place = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))
+            kept = order[place < self.k]
+            self.limit[of[place == self.k - 1]] = got[order[place == self.k - 1]]
+            self.of, self.vec, self.score = of[place < self.k], to[kept], got[kept]
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int, measure: str = "l2", scope: str | None = None, earlier: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: the best ``k`` of ``rows`` (vec_id, v) for each of ``queries`` (query_id, q), not itself.
 
     ``scope`` names a column that both must share; ``earlier`` leaves only smaller ids.  Queries go
-    out in blocks of about ``QUERY_BLOCK`` and each task keeps k rows a query before the shuffle.
+    out in blocks of about ``QUERY_BLOCK``; a task scores its rows against a block by matrices and
+    yields k rows a query.  Ids are integers; a null id, scope, vector or component takes no part, and
+    neither does a pair of different lengths or whose score isn't a number.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    shape = lambda rows, key, v: rows.select(F.col(key).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v"), (F.lit("") if scope is None else F.col(scope).cast("string")).alias("scope")).where(F.forall("v", lambda x: x.isNotNull()) & F.col("id").isNotNull() & F.col("scope").isNotNull())
+    asked, rows = shape(queries, "query_id", "q"), shape(rows, "vec_id", "v")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     out = None
     for block in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        meet = F.col("query_id") > F.col("vec_id") if earlier else F.col("query_id") != F.col("vec_id")
-        if scope is not None:
-            own = own.withColumnRenamed(scope, "_scope")
-            meet = meet & (F.col("_scope") == F.col(scope))
-        pairs = rows.join(F.broadcast(own), meet).select("query_id", "vec_id", MEASURES[measure](F.col("q"), F.col("v")).alias("score"))
-        found = pairs.where("score is not null").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        found = rows.mapInArrow(_task(own, k, measure, earlier), "query_id long, vec_id long, score double")
+        found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def _task(own: pa.Table, k: int, measure: str, earlier: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = pc.unique(own.column("scope"))
+
+    def parts(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        ids, v, scope = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (batch.column(x) for x in ("id", "v", "scope")))
+        ids, scope = ids.to_numpy(), pc.fill_null(pc.index_in(scope, value_set=names), -1).to_numpy()
+        for at, matrix in _by_length(v):
+            yield ids[at], scope[at], matrix
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not own.num_rows:
+            return
+        best = {q.shape[1]: _Best(ids, scope, q, k) for ids, scope, q in parts(own)}
+        for batch in batches:
+            for ids, scope, v in parts(batch):
+                if v.shape[1] in best:
+                    best[v.shape[1]].meet(ids, scope, v, measure, earlier)
+        for x in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(x.ids[x.of]), pa.array(x.vec), pa.array(x.score)], ["query_id", "vec_id", "score"])
+
+    return task

@@ -133,7 +133,8 @@ def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     tf = docs.select("doc_id", F.explode(words).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n"))))  # one row
     raw = tf.join(df, "word").select("doc_id", "word", (_C("tf") * (F.log((_C("n") + 1) / (_C("df") + 1)) + 1)).alias("raw"))
-    length = raw.groupBy("doc_id").agg(F.sqrt(F.sum(_C("raw") * _C("raw"))).alias("length"))
-    weighed = raw.join(length, "doc_id").select("doc_id", "word", F.round(_C("raw") / _C("length"), 6).alias("weight"))
+    # a text's words meet once: their length and their places are windows over the same partitions
+    length = F.sqrt(F.sum(_C("raw") * _C("raw")).over(Window.partitionBy("doc_id")))
+    weighed = raw.select("doc_id", "word", F.round(_C("raw") / length, 6).alias("weight"))
     best = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "word")
     return weighed.withColumn("k", F.row_number().over(best)).where("k <= 3").drop("k")

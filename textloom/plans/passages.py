@@ -60,12 +60,16 @@ def chunk_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(spark, sf_dir, "size")
 
 
-@query("with " + _packed("p", _PARAGRAPHS, r"\n\n", "''") + f" select doc_id, count(*) as n, max(length(chunk))::int as longest, sha256(string_agg(chunk, chr(30) order by chunk_index)) as digest from p where doc_id not in (select doc_id from p where length(chunk) > {SIZE}) group by doc_id")
+_BIG = f"(select {{'d': doc_id, 'i': chunk_index}} as doc_id, chunk as text from p where length(chunk) > {SIZE})"  # a long paragraph is alone in its chunk
+
+
+@query("with recursive " + _packed("p", _PARAGRAPHS, r"\n\n", "''") + f""", {_sized(_BIG)},
+pieces as (select doc_id, chunk_index, 0 as k, chunk from p where length(chunk) <= {SIZE} union all select doc_id.d, doc_id.i, chunk_index, substr(text, pos + 1, stop - pos) from c)
+select doc_id, count(*) as n, max(length(chunk))::int as longest, sha256(string_agg(chunk, chr(30) order by chunk_index, k)) as digest from pieces group by doc_id""")
 def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines taken for paragraphs, as many as fit, of the longer texts none of whose lines had to be cut."""
+    """Lines taken for paragraphs, as many as fit, of all longer texts; a line too long is cut by size."""
     text = F.replace("text", F.lit("\n"), F.lit("\n\n"))
-    cut = F.exists(F.split(text, r"\n[ \t\n\r\f\x0B]*\n"), lambda x: F.length(F.regexp_replace(x, r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")) > SIZE)
-    rows = table(spark, sf_dir, "documents").where((F.length("text") > SIZE) & ~cut).select("doc_id", passages.chunked(text, "paragraph", SIZE, OVERLAP).alias("c")).where("size(c) > 0")
+    rows = table(spark, sf_dir, "documents").where(F.length("text") > SIZE).select("doc_id", passages.chunked(text, "paragraph", SIZE, OVERLAP).alias("c")).where("size(c) > 0")
     return rows.select("doc_id", F.size("c").cast("long").alias("n"), F.array_max(F.transform("c.chunk", F.length)).alias("longest"), F.sha2(F.array_join("c.chunk", "\x1e"), 256).alias("digest"))
 
 

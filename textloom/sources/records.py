@@ -1,11 +1,15 @@
 """Records in JSON, CSV and logs: labelled lines, exam sheets, catalog items, model lists, repaired answers, log tails.
 
 Parsers are column expressions, so that they serve files and columns alike; a malformed line gives
-nulls and no spans.
+nulls and no spans.  Only answers are mended in Python, over Arrow batches.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,19 +93,93 @@ def models(payload: Column) -> Column:
     return F.transform(listed, one)
 
 
+_NAME = re.compile(r'"?([^":{}\[\],]*+)"?\s*+:')
+_QUOTED = re.compile(r'"((?:[^"\\]|\\.|"(?!\s*(?:[,}\]]|$)))*+)"', re.DOTALL)  # ends at the quote that a value's end follows
+_BARE = re.compile(r'"?([^,}\]\r\n]*+)')
+_LITERAL = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null")
+
+
+def _unescaped(inner: str) -> str:
+    """What stands between a string's quotes; with an escape that JSON lacks it is taken as it is."""
+    closed = re.sub(r'(\\.)|"', lambda m: m[1] or '\\"', inner, flags=re.DOTALL)
+    try:
+        return json.loads(f'"{closed}"', strict=False)
+    except ValueError:
+        return inner
+
+
+def _value(text: str, at: int) -> tuple[str, int]:
+    """The JSON form of the value at ``at``, quoted or bare, and where it ends."""
+    if quoted := _QUOTED.match(text, at):
+        return json.dumps(_unescaped(quoted[1]), ensure_ascii=False), quoted.end()
+    bare = _BARE.match(text, at)
+    said = bare[1].strip()
+    return said if _LITERAL.fullmatch(said) else json.dumps(said, ensure_ascii=False), max(bare.end(), at + 1)
+
+
+def mended(answer: str | None) -> str:
+    """The array of objects in ``answer`` as JSON, read by one scan that keeps the closers of open brackets; ``[]`` without one.
+
+    Talk around it goes.  Missing commas, quotes and brackets are set, surplus ones go, a name without
+    a value has null, and a name's repeated underscores count as one.
+    """
+    begun = re.search(r"\[\s*\{", answer or "")
+    if begun is None:
+        return "[]"
+    out, open_, filled, named, at = ["["], ["]"], [False], False, begun.start() + 1
+
+    def put(piece: str) -> None:
+        out.append(piece if named or not filled[-1] else ", " + piece)
+        filled[-1] = True
+
+    def close() -> None:
+        out.append(("null" if named else "") + open_.pop())
+        filled.pop()
+
+    while open_ and at < len(answer):
+        c = answer[at]
+        nameless = open_[-1] == "}" and not named
+        if c in "{[" and nameless:  # has no place in an object
+            at += 1
+        elif c in "{[":
+            put(c)
+            open_.append("}" if c == "{" else "]")
+            filled.append(False)
+            named, at = False, at + 1
+        elif c in "}]":
+            while c in open_:  # what was left open inside ends with it
+                last = open_[-1]
+                close()
+                named = False
+                if last == c:
+                    break
+            at += 1
+        elif c.isspace() or c in ",:":
+            at += 1
+        elif nameless:
+            name = _NAME.match(answer, at)
+            if name:
+                put(json.dumps(re.sub("_+", "_", _unescaped(name[1].strip())), ensure_ascii=False) + ": ")
+                named = True
+            at = name.end() if name else at + 1
+        else:
+            value, at = _value(answer, at)
+            put(value)
+            named = False
+    while open_:
+        close()
+        named = False
+    return "".join(out)
+
+
 def repaired(answer: Column) -> Column:
-    """The JSON array in a model's answer, mended: fences and talk off, brackets closed, names and bare values corrected, commas set; ``[]`` without one."""
-    bare = F.trim(F.regexp_replace(answer, r"```(?:json)?\s*", ""))
-    whole, begun = F.regexp_extract(bare, r"(?s)\[\s*\{.*?\}\s*\]", 0), F.regexp_extract(bare, r"(?s)\[.*", 0)
-    missing = F.greatest(F.regexp_count(begun, F.lit(r"\[")) - F.regexp_count(begun, F.lit(r"\]")), F.lit(0))
-    text = F.when(whole != "", whole).when(begun != "", F.concat(begun, F.repeat(F.lit("]"), missing))).otherwise("[]")
-    text = F.replace(F.replace(text, F.lit("entity__type"), F.lit("entity_type")), F.lit("entity__value"), F.lit("entity_value"))
-    bare_value = r'"(entity_(?:type|value))":\s*([^",}\]\s][^,}\]]*)'
-    names, values = (F.regexp_extract_all(text, F.lit(bare_value), F.lit(k)) for k in (1, 2))
-    quoted = F.zip_with(names, values, lambda n, v: F.concat(F.lit('"'), n, F.lit('": "'), F.replace(F.rtrim(v), F.lit('"'), F.lit('\\"')), F.lit('"')))
-    pieces = F.zip_with(F.split(text, bare_value, -1), quoted, lambda gap, q: F.concat(gap, F.coalesce(q, F.lit(""))))
-    text = F.array_join(pieces, "")
-    return F.regexp_replace(F.regexp_replace(text, r",(\s*[}\]])", "$1"), r"\}\s*\{", "}, {")
+    """``mended`` of a column."""
+
+    @F.pandas_udf("string")
+    def each(answers: pd.Series) -> pd.Series:
+        return answers.map(mended)
+
+    return each(answer)
 
 
 def read_exams(spark: SparkSession, path: str) -> DataFrame:
@@ -117,8 +195,8 @@ def log_tail(lines: DataFrame, n: int = 300, by: str = "log") -> DataFrame:
     Lines with a null character go, and so do progress bars, but for one that is its log's last line.
     """
     bar = F.col("line").rlike(r"\[.*\] \d+\.\d+%") & ~F.endswith("line", F.lit(" - Completed!"))
-    seen = lines.where(~F.contains("line", F.lit("\x00")))
-    last = seen.groupBy(F.col(by).alias("_log")).agg(F.max("position").alias("_last"))
-    kept = seen.join(last, F.col(by).eqNullSafe(F.col("_log"))).where(~bar | (F.col("position") == F.col("_last")))
+    seen = lines.where(~F.contains("line", F.lit("\x00"))).withColumn("_bar", bar)
+    # the last line stays whatever it is; of the others those that aren't bars
     order = Window.partitionBy(by).orderBy(F.col("position").desc())
-    return kept.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).select(*lines.columns)
+    ranked = seen.withColumn("_first", F.row_number().over(order)).where(~F.col("_bar") | (F.col("_first") == 1))
+    return ranked.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).select(*lines.columns)
