@@ -3,7 +3,8 @@
 A text is its words (A-Z lower-cased) and one end.  ``p(text)`` is the product over its tokens of
 the class transition ``p(c | previous c)``, from the end's class at first, and the word emission
 ``p(w | c)``.  Exchange clustering assigns the classes: each item in turn moves to the class that
-raises the training text's class-bigram likelihood most, until none moves.
+raises the training text's class-bigram likelihood most, until at most one item in 500 moves in a
+sweep, or for 12 sweeps.
 
 The words with ``CORE * c >= sqrt(n)`` of the n training tokens, at most CORE * sqrt(n) of them and more
 in a larger corpus, are clustered by exchange over their sparse bigram counts; all other words

@@ -83,9 +83,9 @@ def fit(sample: np.ndarray, curves: int = CURVES) -> Curves:
         own = np.pad(own, ((0, dims - len(own)), (0, 0)))
         p = (sample - mean) @ own.T
         a, b = p.min(0), p.max(0)
-        room = np.maximum(b - a, 1e-12)
+        room = max(float((b - a).max()), 1e-12)  # of all axes alike, so that a cell is as wide on each and narrow axes don't split neighbours
         axes.append(own.T)
-        span.append(room * 1.5)
+        span.append(np.full(dims, room * 1.5))
         low.append(a - room * (0.05 + 0.4 * rng.random(dims)))  # the shift
     out = Curves(mean, axes, low, span, [])
     out.keys = [np.sort(out.key(c, sample)) for c in range(curves)]
