@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.functions import markdown, sentences
+from textloom.functions import embed, exams, markdown, sentences
 from textloom.models import preference
 from textloom.plans.catalog import query, table
 
@@ -64,3 +64,36 @@ def better_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = answer_pairs(spark, sf_dir)
     model = preference.train(pairs.where(~preference.held_out(_C("pair"))))
     return preference.compare(pairs.where(preference.held_out(_C("pair"))), model).select("pair", "label", "better", F.round("margin", 6).alias("margin"))
+
+
+_HASHED_WORDS = "select doc_id, md5(unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+'))) as h from documents"
+_HEX = "(position({} in '0123456789abcdef') - 1)"
+_HASHED = f"select doc_id, {_HEX.format('h[1]')} * 16 + {_HEX.format('h[2]')} as place, sum(case when h[3] >= '8' then -1 else 1 end)::double as weight from ({_HASHED_WORDS}) group by all"
+
+
+@query(f"select doc_id, place::int as place, weight from ({_HASHED}) where weight <> 0")
+def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashed vectors of all texts, the places that aren't zero."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", embed.embedded(F.col("text")).alias("v"))
+    return rows.select("doc_id", F.posexplode("v").alias("place", "weight")).where("weight <> 0")
+
+
+@query(f"""with v as (select doc_id, map_from_entries(list((place, weight))) as m from ({_HASHED}) group by doc_id), d as (select doc_id, list_transform(range(256), lambda k: coalesce(m[k], 0.0::double)) as v from v),
+n as (select doc_id, v, sqrt(list_dot_product(v, v)) as norm from d where list_dot_product(v, v) > 0),
+s as (select q.doc_id as query_id, r.doc_id as vec_id, list_dot_product(q.v, r.v) / (q.norm * r.norm) as score from n q join n r on q.doc_id <> r.doc_id where q.doc_id % 20 = 0)
+select query_id, vec_id, round(score, 9) as similarity, row_number() over (partition by query_id order by score desc, vec_id) as rank from s qualify rank between 6 and 10""")
+def passage_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of five texts for every text whose id is divisible by 20, by hashed vectors."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), embed.embedded(F.col("text")).alias("v"))
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    return embed.page(rows, asked, 2, 5).select("query_id", "rank", "vec_id", F.round(-F.col("score"), 9).alias("similarity"))
+
+
+@query("""with m as (select source, arg_max(lang, doc_id) as category from documents where lang is not null group by source),
+a as (select d.source as subject, coalesce(m.category, 'other') as category, coalesce(quality = 1, false) as right_ from documents d join labels using (doc_id) left join m on m.source is not distinct from d.source)
+select case grouping(category, subject) when 0 then 'subject' when 1 then 'category' else 'all' end as level, category, subject, count(*) as n, count(*) filter (right_) as n_right, count(*) filter (right_) / nullif(count(*), 0) as accuracy from a group by rollup (category, subject)""")
+def category_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good documents by source, by the language that a source's last document is in, and over all."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    answers = docs.select("doc_id", F.col("source").alias("subject")).join(labels.select("doc_id", (F.col("quality") == 1).alias("right")), "doc_id")
+    return exams.category_accuracy(answers, docs.select(F.col("source").alias("subject"), F.col("lang").alias("category"), F.col("doc_id").alias("place")))
