@@ -86,3 +86,12 @@ def test_latest_keeps_the_last_rows(spark, tmp_path):
         latest(spark.readStream.schema("ts long").parquet(str(source)), out, str(tmp_path / "check"), 4).awaitTermination()
         last = sorted(r.ts for r in spark.read.parquet(f"{out}/batch={k}").collect())
         assert last == list(range(k * 10 + 6, k * 10 + 10))
+
+
+def test_report(spark, tmp_path):
+    rows = spark.createDataFrame([("all", 2, 0.123456), ("none", 0, None)], "name string, n int, rate double")
+    details = spark.createDataFrame([("d1", ["b", "a"])], "doc string, types array<string>")
+    sinks.write_report(rows, str(tmp_path), details)
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "json")).select("name", "n", "rate").collect())) == [("all", 2, 0.123456), ("none", 0, None)]
+    read = lambda n: sorted(map(tuple, spark.read.option("header", "true").csv(str(tmp_path / n)).collect()))
+    assert read("summary") == [("all", "2", "0.1235"), ("none", "0", None)] and read("detailed") == [("d1", "a, b")]

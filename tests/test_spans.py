@@ -108,3 +108,12 @@ def test_words_go_on_in_other_scripts(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert {(a, b, c) for a, b, c in db.execute(f"select doc_id, start, stop from ({catalog.SQL['pii_span_offsets']})").fetchall()} == expected
+
+
+def test_rewritten_in_every_way(spark):
+    text = "é a@b.org, 10.0.0.1"
+    found = spans.merge_longest(spans.find_all(F.lit(text)))
+    shown = {n: one(spark, text, spans.rewritten(F.col("text"), found, x)) for n, x in spans.REDACTIONS.items()}
+    assert shown == {"tagged": "é <pii:email>a@b.org</pii:email>, <pii:ip_address>10.0.0.1</pii:ip_address>", "redacted": "é <PII:email/>, <PII:ip_address/>", "replaced": "é <EMAIL>, <IP_ADDRESS>"}
+    assert one(spark, text, spans.rewritten(F.col("text"), F.slice(found, 1, 0), spans.REDACTIONS["replaced"])) == text
+    assert one(spark, "", spans.rewritten(F.col("text"), spans.merge_longest(spans.find_all(F.col("text"))), spans.REDACTIONS["replaced"])) == ""

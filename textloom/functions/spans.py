@@ -131,9 +131,28 @@ def placeholders(spans: Column) -> Column:
     return let(spans, lambda all_: F.transform(all_, lambda s: one(all_, s)))
 
 
+def rewritten(text: Column, spans: Column, piece: Callable[[Column], Column]) -> Column:
+    """``text`` with ``piece`` of each of the disjoint ``spans``, which are in order, in its place; gaps and pieces are joined once."""
+
+    def whole(spans: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(spans, i - 1)["stop"], F.lit(0))
+        parts = F.transform(spans, lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), piece(s)))
+        return F.concat(F.array_join(parts, ""), F.substr(text, before(F.size(spans)) + 1))
+
+    return let(spans, whole)
+
+
 def splice(text: Column, marked: Column) -> Column:
-    """``text`` with each marked span replaced by its placeholder, from the right."""
-    return F.aggregate(F.reverse(marked), text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), s["placeholder"], F.substr(t, s["stop"] + 1)))
+    """``text`` with each marked span replaced by its placeholder."""
+    return rewritten(text, marked, lambda s: s["placeholder"])
+
+
+#: How a span can be shown: between tags, as an empty tag, as its type.
+REDACTIONS: dict[str, Callable[[Column], Column]] = {
+    "tagged": lambda s: F.concat(F.lit("<pii:"), F.lower(s["entity_type"]), F.lit(">"), s["entity_value"], F.lit("</pii:"), F.lower(s["entity_type"]), F.lit(">")),
+    "redacted": lambda s: F.concat(F.lit("<PII:"), F.lower(s["entity_type"]), F.lit("/>")),
+    "replaced": lambda s: F.concat(F.lit("<"), s["entity_type"], F.lit(">")),
+}
 
 
 def recover(masked: Column, marked: Column) -> Column:

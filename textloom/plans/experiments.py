@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from textloom.functions import extractors, spans
 from textloom.plans.catalog import _EVERY, query, said, table
 from textloom.plans.measures import EVALUATED, THRESHOLDS, context_complexity, f1, format_complexity, rate
+from textloom.sources import sinks
+from textloom.sources.scratch import new_folder
 
 _C = F.col
 _DIGITS, _CARD = r"\d[\d .()-]{5,}\d", spans.PATTERNS["CREDIT_CARD"]
@@ -114,6 +116,16 @@ def experiment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments(judged(found, found.where(_C("source") == "patterns").where(_C("entity_type").isin(*_TRUE))))
 
 
+@query(_JUDGED + " select * replace (round(precision, 4) as precision, round(recall, 4) as recall, round(f1, 4) as f1), (row_number() over (order by f1 desc, sources, least))::int as rank from scored")
+def experiment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary that a report of ``experiment_scores`` holds, read back from its file."""
+    path = new_folder(spark, "report")
+    scores = experiment_scores(spark, sf_dir)
+    sinks.write_report(scores, path)
+    rows = spark.read.option("header", "true").csv(f"{path}/summary")
+    return rows.select(*[F.col(n).cast(t).alias(n) for n, t in scores.dtypes])
+
+
 def confidence_level(confidence: Column) -> Column:
     return F.when(confidence >= 0.8, "HIGH").when(confidence >= 0.5, "MEDIUM").otherwise("LOW")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import profile, spans
-from textloom.plans.catalog import _DISJOINT, _EVERY, _all_spans, _kept_spans, _spans, nearest, query, table
+from textloom.plans.catalog import _DISJOINT, _EVERY, _ONE, _all_spans, _kept_spans, _spans, nearest, query, table
 
 # Masking strategies in order, with what they keep and the types they suit.
 STRATEGIES = (
@@ -36,12 +36,12 @@ def f1(precision: Column, recall: Column) -> Column:
     return F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
 
 
-def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, entity_type, predicted, true for each (type, start, stop) of either: spans of ten characters or more against those of plain types."""
+def _matched(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """doc_id, entity_type, ``more``, predicted, true for each (type, start, stop) of either: spans of ten characters or more against those of plain types."""
     key = ["doc_id", "entity_type", "start", "stop"]
     predicted = _all_spans(spark, sf_dir).where("stop - start >= 10").select(*key).distinct().withColumn("predicted", F.lit(True))
     truth = _spans(spark, sf_dir).select(*key).distinct().withColumn("true", F.lit(True))
-    return predicted.join(truth, key, "full").select("doc_id", "entity_type", F.coalesce("predicted", F.lit(False)).alias("predicted"), F.coalesce("true", F.lit(False)).alias("true"))
+    return predicted.join(truth, key, "full").select("doc_id", "entity_type", *more, F.coalesce("predicted", F.lit(False)).alias("predicted"), F.coalesce("true", F.lit(False)).alias("true"))
 
 
 _MATCHED = _EVERY + """,
@@ -67,6 +67,19 @@ def eval_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("*", p.alias("span_precision"), r.alias("span_recall"), f1(p, r).alias("f1"))
 
 
+@query(_MATCHED + """,
+k as (select coalesce(p.doc_id, t.doc_id) as doc_id, p.doc_id is not null as predicted, t.doc_id is not null as actual from (select distinct doc_id, start, stop from p) p full join (select distinct doc_id, start, stop from t) t on p.doc_id = t.doc_id and p.start = t.start and p.stop = t.stop),
+c as (select doc_id, count_if(predicted and actual)::bigint as tp, count_if(predicted and not actual)::bigint as fp, count_if(actual and not predicted)::bigint as fn from k group by doc_id),
+r as (select *, coalesce(tp / nullif(tp + fp, 0), 0)::double as p, coalesce(tp / nullif(tp + fn, 0), 0)::double as r from c)
+select doc_id, tp, fp, fn, p as span_precision, r as span_recall, coalesce(2 * p * r / nullif(p + r, 0), 0)::double as f1 from r""")
+def eval_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact sets of (start, stop) whatever the type: counts and rates by text."""
+    places = _matched(spark, sf_dir, "start", "stop").groupBy("doc_id", "start", "stop").agg(F.bool_or("predicted").alias("predicted"), F.bool_or("true").alias("true"))
+    rows = places.groupBy("doc_id").agg(*_counts())
+    p, r = rate(F.col("tp"), F.col("fp")), rate(F.col("tp"), F.col("fn"))
+    return rows.select("*", p.alias("span_precision"), r.alias("span_recall"), f1(p, r).alias("f1"))
+
+
 @query(_MATCHED + """,
 c as (select doc_id, count_if(predicted and actual) as tp, count_if(predicted and not actual) as fp, count_if(actual and not predicted) as fn from m group by doc_id)
 select count(*) as n, round(avg(coalesce(tp / nullif(tp + fp, 0), 0)), 9)::double as macro_precision, round(avg(coalesce(tp / nullif(tp + fn, 0), 0)), 9)::double as macro_recall,
@@ -299,14 +312,15 @@ def spans_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _all_spans(spark, sf_dir).select("doc_id", "start", "stop", F.concat(F.lit("["), "entity_type", F.lit("_"), place.cast("string"), F.lit("]")).alias("label"))
 
 
-_MAIL = spans.PATTERNS["EMAIL"]
+_SHOWN = {"tagged": "'<pii:' || lower(t) || '>' || v || '</pii:' || lower(t) || '>'", "redacted": "'<PII:' || lower(t) || '/>'", "replaced": "'<' || t || '>'"}
 
 
-@query(f"select doc_id, regexp_replace(text, '({_MAIL})', '<pii:email>\\1</pii:email>', 'g') as tagged, regexp_replace(text, '{_MAIL}', '<PII:email/>', 'g') as redacted, regexp_replace(text, '{_MAIL}', '<EMAIL>', 'g') as replaced from documents where regexp_matches(text, '{_MAIL}')")
+@query(_ONE + """, p as (select doc_id, s.t as t, s.a as a, s.b as b, substr(text, s.a + 1, s.b - s.a) as v, text, coalesce(lag(s.b) over (partition by doc_id order by s.a), 0) as before from one join documents using (doc_id))
+select doc_id, """ + ", ".join(f"string_agg(substr(text, before + 1, a - before) || {x}, '' order by a) || substr(max(text), (max(b) + 1)::bigint) as {n}" for n, x in _SHOWN.items()) + " from p group by doc_id")
 def redaction_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tagged, redacted and replaced texts."""
-    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike(_MAIL))
-    return rows.select("doc_id", F.regexp_replace("text", f"({_MAIL})", "<pii:email>$1</pii:email>").alias("tagged"), F.regexp_replace("text", _MAIL, "<PII:email/>").alias("redacted"), F.regexp_replace("text", _MAIL, "<EMAIL>").alias("replaced"))
+    """Tagged, redacted and replaced texts, over spans of all types."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", spans.merge_longest(spans.find_all(F.col("text"))).alias("s")).where("size(s) > 0")
+    return rows.select("doc_id", *[spans.rewritten(F.col("text"), F.col("s"), x).alias(n) for n, x in spans.REDACTIONS.items()])
 
 
 def located(text: Column, value: Column) -> Column:

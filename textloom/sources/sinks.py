@@ -21,6 +21,15 @@ def write_details(rows: DataFrame, path: str) -> None:
     flat(rows).write.mode("overwrite").option("header", "true").csv(path)
 
 
+def write_report(scores: DataFrame, path: str, details: DataFrame | None = None) -> None:
+    """``scores`` as JSON lines below ``path``/json and as CSV with numbers to four places below ``path``/summary; ``details`` as CSV below ``path``/detailed."""
+    scores.write.mode("overwrite").json(f"{path}/json")
+    places = [F.round(n, 4).cast("decimal(38,4)").alias(n) if t in ("double", "float") else F.col(n) for n, t in scores.dtypes]
+    write_details(scores.select(*places), f"{path}/summary")
+    if details is not None:
+        write_details(details, f"{path}/detailed")
+
+
 def errors_together(missed: DataFrame, wrong: DataFrame, width: int = 100) -> DataFrame:
     """Both kinds of errors in one table; columns that one lacks hold N/A, contexts are cut at ``width``."""
     rows = missed.withColumn("error", F.lit("FN")).unionByName(wrong.withColumn("error", F.lit("FP")), allowMissingColumns=True)
