@@ -118,3 +118,25 @@ def test_chats_of_repeated_long_and_no_rows(spark):
     assert [(a, b) for a, b, *_ in chat.parse(texts[1])] == [("user", "hi"), ("user", "hi"), ("assistant", long)]
     assert [(a, b) for a, b, *_ in chat.parse(texts[2])] == [("", "")]
     assert chat.format_chats(chat.log_of(talks.limit(0))).count() == 0
+
+
+def test_exchange_ends_where_no_move_raises_the_likelihood():
+    rng = np.random.default_rng(9)
+    for _ in range(5):
+        m, classes = 16, 4
+        counts = rng.poisson(rng.gamma(0.3, 8, (m, m)))
+        rows, cols = np.nonzero(counts)
+        member, g = brown.exchange(m, rows, cols, counts[rows, cols], classes=classes, sweeps=100)
+
+        def likelihood(member):
+            own = np.zeros((classes + 1, classes + 1))
+            np.add.at(own, (member[rows], member[cols]), counts[rows, cols])
+            return own, sum(s * float(brown._xlogx(x).sum()) for s, x in ((1, own), (-1, own.sum(1)), (-1, own.sum(0))))
+
+        own, best = likelihood(member)
+        assert (own == g).all()
+        for i in range(m - 2):
+            for b in range(1, classes):
+                moved = member.copy()
+                moved[i] = b
+                assert likelihood(moved)[1] <= best + 1e-6

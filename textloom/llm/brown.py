@@ -187,7 +187,7 @@ def exchange(m: int, rows: np.ndarray, cols: np.ndarray, n: np.ndarray, classes:
             g[a] -= right
             g[:, a] -= left
             g[a, a] -= same
-            row_n, col_n = g.sum(1), g.sum(0)
+            row_n, col_n = g.sum(1) + left, g.sum(0) + right  # the item's neighbours keep their own places
             f = _xlogx(g)
             by_row, by_col = _xlogx(g + right) - f, _xlogx(g + left[:, None]) - f
             d = g[diagonal, diagonal]
