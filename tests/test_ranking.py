@@ -13,6 +13,7 @@ from textloom.functions import sentences
 from textloom.functions.markdown import markdown, to_markdown
 from textloom.models import preference
 from textloom.plans import ranking
+from textloom.plans.generate import ranked_words
 
 
 def plain_scores(texts):
@@ -53,6 +54,32 @@ def test_abstracts(spark):
     assert sentences.key_sentences(rows.limit(0)).count() == 0
 
 
+def test_halves_round_up(spark):
+    """128 sentences that share nothing: each has 1/128, which SQL rounds to 0.007813."""
+    rows = spark.createDataFrame([(1, ". ".join(f"only{k:03d}" for k in range(128)))], "doc_id long, text string")
+    assert [(r["rank"], r["position"], r["score"]) for r in sentences.key_sentences(rows).collect()] == [(1, 0, 0.007813), (2, 1, 0.007813), (3, 2, 0.007813)]
+    assert sentences.rounded([0.0078125, 0.0078124]).tolist() == [0.007813, 0.007812]
+
+
+def test_sums_run_as_in_sql(spark):
+    """640 sentences that share nothing: 1/640 ends in a half as well, and adding it up leaves less than that."""
+    rows = spark.createDataFrame([(1, ". ".join(f"only{k:03d}" for k in range(640)))], "doc_id long, text string")
+    assert [r["score"] for r in sentences.key_sentences(rows).collect()] == [0.001562] * 3
+
+
+def test_scores_agree_with_and_without_the_graph(monkeypatch):
+    rng = random.Random(5)
+    texts = [[rng.choice("abcdefghijklmnop") for _ in range(rng.choice((0, 1, 1, 3, 8)))] for _ in range(60)]
+    laid = sentences.scores(texts)
+    monkeypatch.setattr(sentences, "_LAID", 0)
+    assert np.allclose(laid, sentences.scores(texts), atol=1e-12)
+
+
+def test_words_in_a_ring_round_halves_up():
+    ring = [f"w{k:03d}" for k in range(128)]
+    assert ranked_words([*ring, ring[0]], 2) == [("w000", 0.007813), ("w001", 0.007813)]
+
+
 STOP: set[str] = set()
 
 

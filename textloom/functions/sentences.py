@@ -2,8 +2,9 @@
 
 Two sentences are as similar as the words that they share over the logarithms of their lengths; each
 is linked with itself as well.  A sentence's score is its PageRank over these weights; one that
-shares nothing passes its weight to all.  The graph isn't laid out: what flows from sentence to sentence goes
-by way of the words, once for each length of sentences, so the work grows with a text's words.
+shares nothing passes its weight to all.  The graph of a text of many sentences isn't laid out: what
+flows from sentence to sentence goes by way of the words, once for each length of sentences, so the
+work grows with a text's words.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DAMPING, ROUNDS, SHORTEST, FALLBACK = 0.85, 30, 6, 10
+DAMPING, REST, ROUNDS, SHORTEST, FALLBACK = 0.85, 0.15, 30, 6, 10
+#: Sentences whose graph is laid out as a matrix.
+_LAID = 1024
 # What ends a sentence.
 ENDS = r"[.!?;。！？；…\n]+"
 WORD_GAPS = r"[^\p{L}\p{N}]+"
@@ -33,15 +36,42 @@ def words(sentence: Column) -> Column:
 
 def scores(texts: Sequence[Sequence[str]]) -> np.ndarray:
     """Each sentence's score, given its words; they add up to 1."""
-    n = len(texts)
-    size = np.array([len(t) for t in texts])
+    flat = np.array([w for t in texts for w in t], object).astype(str)
+    return _scores(np.array([len(t) for t in texts], np.int64), np.unique(flat, return_inverse=True)[1])
+
+
+def _scores(size: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """``scores`` of sentences of ``size`` words, given a number for each word, sentence by sentence."""
+    n = len(size)
     if not n:
         return np.zeros(0)
-    flat = np.array([w for t in texts for w in t], object).astype(str)
-    _, word = np.unique(flat, return_inverse=True)
-    many = int(word.max()) + 1 if len(word) else 0
+    names, word = np.unique(word, return_inverse=True)
+    many = len(names)
     pair = np.unique(np.repeat(np.arange(n), size) * max(many, 1) + word)
     at, word = pair // max(many, 1), pair % max(many, 1)
+    laid = n <= _LAID and n * many <= _LAID**2
+    return _from_matrix(size, at, word, many) if laid else _by_words(size, at, word, many)
+
+
+def _from_matrix(size: np.ndarray, at: np.ndarray, word: np.ndarray, many: int) -> np.ndarray:
+    """Scores by the graph laid out; products are added sentence by sentence, as SQL adds them."""
+    n = len(size)
+    holds = np.zeros((n, many), np.float32)
+    holds[at, word] = 1
+    logs = np.log(np.maximum(size, 1))
+    both = logs[:, None] + logs[None, :]
+    weight = np.divide((holds @ holds.T).astype(float), both, out=np.zeros_like(both), where=both > 1e-12)
+    degree = weight.sum(axis=0)
+    share = np.divide(weight, degree[:, None], out=np.full_like(weight, 1 / n), where=degree[:, None] > 0)
+    x = np.full(n, 1 / n)
+    for _ in range(ROUNDS):
+        x = REST / n + DAMPING * (x[:, None] * share).sum(axis=0)
+    return x
+
+
+def _by_words(size: np.ndarray, at: np.ndarray, word: np.ndarray, many: int) -> np.ndarray:
+    """Scores of many sentences: what flows from one to another goes by way of their words."""
+    n = len(size)
     lengths, kind = np.unique(size, return_inverse=True)
     logs = np.log(np.maximum(lengths, 1))
     both = logs[:, None] + logs[None, :]
@@ -57,21 +87,26 @@ def scores(texts: Sequence[Sequence[str]]) -> np.ndarray:
     share = np.divide(1.0, degree, out=np.zeros(n), where=~alone)
     x = np.full(n, 1 / n)
     for _ in range(ROUNDS):
-        x = (1 - DAMPING) / n + DAMPING * (spread(x * share) + x[alone].sum() / n)
+        x = REST / n + DAMPING * (spread(x * share) + np.append(0.0, x[alone] / n).cumsum()[-1])
     return x
 
 
+def rounded(score: np.ndarray) -> np.ndarray:
+    """Scores to six places, halves up, as SQL rounds them."""
+    return np.floor(np.asarray(score, float) * 1e6 + 0.5) / 1e6
+
+
 def key_sentences(docs: DataFrame, k: int = 3, key: str = "doc_id") -> DataFrame:
     """key, rank, position, sentence, score: the ``k`` best sentences of at least six characters of each text, ties to the earlier.
 
-    Scores are rounded to six places before they are compared.  Texts without such a sentence give no rows.
+    Scores are rounded to six places, halves up, before they are compared.  Texts without such a sentence give no rows.
     """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for i, own, said in zip(batch["key"], batch["words"], batch["said"], strict=True):
-                score = np.round(scores(own), 6)
+                score = rounded(scores(own))
                 best = [p for p in np.lexsort((np.arange(len(score)), -score)).tolist() if len(said[p]) >= SHORTEST][:k]
                 rows += [(i, r, p, said[p], score[p]) for r, p in enumerate(best, 1)]
             yield pd.DataFrame(rows, columns=["key", "rank", "position", "sentence", "score"])

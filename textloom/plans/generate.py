@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import fakes, spans
+from textloom.functions.sentences import rounded
 from textloom.plans.catalog import _DISJOINT, _kept_spans, query, table
 
 _C = F.col
@@ -94,7 +95,7 @@ def ranked_words(words: list[str], k: int, shortest: int = 2) -> list[tuple[str,
     x = np.full(n, 1 / n)
     for _ in range(ROUNDS):
         x = (1 - DAMPING) / n + DAMPING * np.bincount(b, weights=x[a] / degree[a], minlength=n)
-    best = sorted((-round(float(s), 6), w) for w, s in zip(names, x, strict=True) if len(w) >= shortest)
+    best = sorted((-s, w) for w, s in zip(names, rounded(x).tolist(), strict=True) if len(w) >= shortest)
     return [(w, -s) for s, w in best[:k]]
 
 
