@@ -80,6 +80,14 @@ def test_words_in_a_ring_round_halves_up():
     assert ranked_words([*ring, ring[0]], 2) == [("w000", 0.007813), ("w001", 0.007813)]
 
 
+def test_abstracts_move_no_text(spark):
+    """Each text's abstract is made where the text is: no exchange, and repeated keys keep their rows."""
+    rows = spark.createDataFrame([(1, "The first one. x"), (1, None), (2, "a")], "doc_id long, text string")
+    out = sentences.abstracts(rows)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["doc_id"], r["abstract"] or "") for r in out.collect()) == [(1, ""), (1, "The first one"), (2, "a")]
+
+
 STOP: set[str] = set()
 
 

@@ -12,10 +12,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.batches import small_batches
+
 DAMPING, REST, ROUNDS, SHORTEST, FALLBACK = 0.85, 0.15, 30, 6, 10
 #: Sentences whose graph is laid out as a matrix.
 _LAID = 1024
@@ -96,29 +99,56 @@ def rounded(score: np.ndarray) -> np.ndarray:
     return np.floor(np.asarray(score, float) * 1e6 + 0.5) / 1e6
 
 
+def _split(docs: DataFrame, *kept: Column) -> DataFrame:
+    """``kept``, said (the sentences), words (of each) of the texts, in small batches."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(*kept, sentences(F.col("text")).alias("said"))
+    return rows.select("*", F.transform("said", words).alias("words"))
+
+
+def _best(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, list[int], np.ndarray]]:
+    """Of each text of a batch (said, words): where its sentences begin in the batch, its ``k`` best's positions, all scores."""
+    own = batch.column("words")
+    first, inner = own.offsets.to_numpy().astype(np.int64), own.flatten()
+    first = first - first[0]
+    edge = inner.offsets.to_numpy().astype(np.int64)
+    edge = edge - edge[0]
+    word = pc.dictionary_encode(inner.flatten()).indices.to_numpy()  # strings stay in Arrow
+    long = pc.utf8_length(batch.column("said").flatten()).to_numpy() >= SHORTEST
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        score = rounded(_scores(np.diff(edge[a : b + 1]), word[edge[a] : edge[b]]))
+        order = np.argsort(-score, kind="stable")
+        yield a, order[long[a:b][order]][:k].tolist(), score
+
+
 def key_sentences(docs: DataFrame, k: int = 3, key: str = "doc_id") -> DataFrame:
     """key, rank, position, sentence, score: the ``k`` best sentences of at least six characters of each text, ties to the earlier.
 
     Scores are rounded to six places, halves up, before they are compared.  Texts without such a sentence give no rows.
     """
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, own, said in zip(batch["key"], batch["words"], batch["said"], strict=True):
-                score = rounded(scores(own))
-                best = [p for p in np.lexsort((np.arange(len(score)), -score)).tolist() if len(said[p]) >= SHORTEST][:k]
-                rows += [(i, r, p, said[p], score[p]) for r, p in enumerate(best, 1)]
-            yield pd.DataFrame(rows, columns=["key", "rank", "position", "sentence", "score"])
-
-    rows = docs.select(F.col(key).alias("key"), sentences(F.col("text")).alias("said"))
-    rows = rows.select("key", "said", F.transform("said", words).alias("words"))
+            rows = [(i, r, p, a + p, score[p]) for i, (a, best, score) in enumerate(_best(batch, k)) for r, p in enumerate(best, 1)]
+            of, rank, position, at, score = (np.array(c) for c in zip(*rows, strict=True)) if rows else np.zeros((5, 0), np.int64)
+            said = batch.column("said").flatten().take(pa.array(at))
+            columns = [batch.column("key").take(pa.array(of)), pa.array(rank.astype(np.int32)), pa.array(position.astype(np.int32)), said, pa.array(score.astype(float))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "rank", "position", "sentence", "score"])
+
+    rows = _split(docs, F.col(key).alias("key"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInPandas(task, f"key {kind}, rank int, position int, sentence string, score double").withColumnRenamed("key", key)
+    return rows.mapInArrow(task, f"key {kind}, rank int, position int, sentence string, score double").withColumnRenamed("key", key)
 
 
 def abstracts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, abstract: a text's best sentence, else its first ten characters; null for a null text.  Keys are unique."""
-    best = key_sentences(docs, 1, key).select(F.col(key).alias("_key"), "sentence")
-    rows = docs.select(key, F.left("text", F.lit(FALLBACK)).alias("_first")).join(best, F.col(key) == F.col("_key"), "left")
-    return rows.select(key, F.coalesce("sentence", "_first").alias("abstract"))
+    """key, abstract: a text's best sentence, else its first ten characters; null for a null text."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [a + best[0] if best else None for a, best, _ in _best(batch, 1)]
+            said = batch.column("said").flatten().take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pc.coalesce(said, batch.column("first"))], ["key", "abstract"])
+
+    rows = _split(docs, F.col(key).alias("key"), F.left("text", F.lit(FALLBACK)).alias("first"))
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(task, f"key {kind}, abstract string").withColumnRenamed("key", key)
