@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from textloom.functions import embed, exams
+from textloom.functions import embed, exams, vectors
+from textloom.plans import ranking
 
 
 def test_hashed():
@@ -11,6 +12,13 @@ def test_hashed():
     assert (a == b).all() and np.abs(a).sum() == 3 and not c.any()
 
 
+def test_texts_are_encoded_once_for_all_blocks(spark, monkeypatch):
+    """The encoder runs where texts are written; blocks of queries read vectors."""
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
+    plan = ranking.passage_page(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
 def test_encoder_sees_whole_texts_in_batches(spark):
     def sizes():
         return lambda texts: np.array([[len(t), len(texts)] for t in texts], float)

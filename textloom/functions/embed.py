@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,20 +16,24 @@ from pyspark.sql import functions as F
 from textloom.functions import vectors
 
 _WORD = re.compile("[a-z0-9]+")
+_LOWER = {k: k + 32 for k in range(65, 91)}
 #: Dimensions of ``hashed``: two hexadecimal digits of a word's digest.
 DIMS = 256
 
 
+@lru_cache(1 << 16)
+def _place(word: str) -> tuple[int, float]:
+    digest = hashlib.md5(word.encode()).hexdigest()
+    return int(digest[:2], 16), -1.0 if int(digest[2], 16) >= 8 else 1.0
+
+
 def hashed(texts: list[str]) -> np.ndarray:
     """Signed counts of a text's words (a-z and 0-9, A-Z lower-cased) in ``DIMS`` places: the digest's first two digits name it, the third the sign."""
-    out, known = np.zeros((len(texts), DIMS)), {}
+    out = np.zeros((len(texts), DIMS))
     for row, text in zip(out, texts, strict=True):
-        for word in _WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), text)):
-            if word not in known:
-                digest = hashlib.md5(word.encode()).hexdigest()
-                known[word] = int(digest[:2], 16), -1.0 if int(digest[2], 16) >= 8 else 1.0
-            place, sign = known[word]
-            row[place] += sign
+        for word, n in Counter(_WORD.findall(text.translate(_LOWER))).items():
+            place, sign = _place(word)
+            row[place] += sign * n
     return out
 
 

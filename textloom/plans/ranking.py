@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import embed, exams, markdown, sentences
+from textloom.functions.batches import small_batches
 from textloom.models import preference
 from textloom.plans.catalog import query, table
+from textloom.sources.scratch import new_folder
 
 _C = F.col
 _SENTENCES = f"""with recursive said as (
@@ -74,6 +76,7 @@ _HASHED = f"select doc_id, {_HEX.format('h[1]')} * 16 + {_HEX.format('h[2]')} as
 @query(f"select doc_id, place::int as place, weight from ({_HASHED}) where weight <> 0")
 def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed vectors of all texts, the places that aren't zero."""
+    small_batches(spark)
     rows = table(spark, sf_dir, "documents").select("doc_id", embed.embedded(F.col("text")).alias("v"))
     return rows.select("doc_id", F.posexplode("v").alias("place", "weight")).where("weight <> 0")
 
@@ -84,7 +87,10 @@ s as (select q.doc_id as query_id, r.doc_id as vec_id, list_dot_product(q.v, r.v
 select query_id, vec_id, round(score, 9) as similarity, row_number() over (partition by query_id order by score desc, vec_id) as rank from s qualify rank between 6 and 10""")
 def passage_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of five texts for every text whose id is divisible by 20, by hashed vectors."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), embed.embedded(F.col("text")).alias("v"))
+    path, vectors = new_folder(spark, "vectors"), embed.embedded(F.col("text"))
+    small_batches(spark)
+    table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), vectors.alias("v")).write.parquet(path)  # texts are encoded once, not for each block of queries
+    rows = spark.read.schema("vec_id long, v array<double>").parquet(path)
     asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     return embed.page(rows, asked, 2, 5).select("query_id", "rank", "vec_id", F.round(-F.col("score"), 9).alias("similarity"))
 
