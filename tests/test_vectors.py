@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,3 +35,22 @@ def test_search(spark, monkeypatch, measure, scope, earlier):
     if measure == "l2":  # exact scores, so ties are exact too
         assert got == sorted(expected)
     assert vectors.search(table.limit(0), asked, 4, measure, scope).count() == 0 and vectors.search(table, asked.limit(0), 4, measure, scope).count() == 0
+
+
+@pytest.mark.parametrize("measure", sorted(SCORE))
+def test_products_leave_exact_scores(monkeypatch, measure):
+    """Rows near a query by less than a product's error are told apart as by sums over components, and odd lengths aren't lost."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(20, 16)) * 1e3
+    v = np.concatenate([base, base + rng.normal(size=base.shape) * 1e-12, base[:4] * 1e-170, base[:4] * 1e170, np.zeros((1, 16)), np.full((1, 16), np.inf)])
+    ids = np.arange(len(v))
+    for q in (v[:40], v):  # all usual, and with odd lengths
+        with np.errstate(all="ignore"):
+            score = vectors.MEASURES[measure](q, v)
+        monkeypatch.setattr(vectors, "_PAIRS", 7 * len(q))
+        best = vectors._Best(ids[: len(q)], np.zeros(len(q), np.int64), q, 5)
+        with np.errstate(all="ignore"):
+            best.meet(ids, np.zeros(len(v), np.int64), v, measure, False)
+        got = {i: [(s, k) for o, k, s in zip(best.of, best.vec, best.score) if o == i] for i in range(len(q))}
+        for i in range(len(q)):
+            assert got[i] == sorted((s, k) for k, s in enumerate(score[i]) if k != i and not math.isnan(s))[:5]
