@@ -410,3 +410,12 @@ def test_pieces_hold_the_tokenizer_s_ids(docs, rows):
         assert len(starts) == n and set(starts.values()) == {len(wanted)}
     sizes = got.groupby("sequence_id").length.sum()
     assert (sizes < 64).sum() <= 4
+
+
+def test_classifier_counts_all_trusted_texts(spark, monkeypatch):
+    """However many are trusted, all of them are counted."""
+    counted, real = [], perplexity.count_ngrams
+    monkeypatch.setattr(perplexity, "count_ngrams", lambda docs: (counted.append(docs.count()), real(docs))[1])
+    docs = spark.range(12_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    perplexity.train(docs, docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))).release()
+    assert counted == [12_500]
