@@ -154,3 +154,20 @@ def test_only_changed_content_is_computed(spark, tmp_path):
     assert {(r["id"], r["score"]) for r in out.collect()} == {(1, 1), (2, 3), (4, 3)}
     resume.resumed(spark, path, frame(changed), by, score)
     assert ran[2] == [] and resume.folded(out, ["question"]).first()["total"] == 7
+
+
+def test_errors_scan_once_and_tell_unknown_places_apart(spark):
+    plan = experiments.error_summary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    rows = spark.createDataFrame([(None, "PERSON", 0, 5, "A B", 0.9, "a"), (1, "PERSON", 0, 5, "A B", 0.9, "a")], SPAN)
+    assert sorted((r["error"], r["category"]) for r in experiments.errors(rows, rows).collect()) == [("FN", "FN_PERSON_SIMPLE_SIMPLE"), ("FP", "FP_PERSON_HIGH")]
+
+
+def test_measures_by_group_are_those_of_all_pairs(spark):
+    members = spark.createDataFrame([(k, "abc"[k % 3] if k < 30 else None if k == 30 else "d", 1 + k % 2) for k in range(32)], "id long, group string, grade int")
+    queries = members.where("id % 4 = 0 or id > 29").selectExpr("id as query_id", "group")
+    hits = spark.createDataFrame([(q, r, (q * 7 + r * 5) % 32) for q in range(32) for r in range(1, 7)], "query_id long, rank int, id long").where("id <> query_id")
+    relevant = queries.join(members, "group").where("query_id <> id").select("query_id", "id", "grade")
+    told = lambda df: sorted((r["query_id"], r["n_relevant"], *(round(r[c], 9) for c in ("recall", "reciprocal_rank", "gain"))) for r in df.collect())
+    out = relevance.measures_by_group(hits, members, queries, 4)
+    assert told(out) == told(relevance.measures(hits, relevant, 4)) and len(told(out)) == 8

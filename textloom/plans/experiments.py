@@ -130,18 +130,38 @@ def confidence_level(confidence: Column) -> Column:
     return F.when(confidence >= 0.8, "HIGH").when(confidence >= 0.5, "MEDIUM").otherwise("LOW")
 
 
+PLACE = ("doc_id", "entity_type", "start", "stop")
+
+
 def errors(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """error (FN, FP), category, entity_type, format, around, level of each true span not predicted and each predicted span that isn't true.
 
     Both sides hold doc_id, entity_type, start, stop, entity_value, confidence, context.  Of missed spans the
     category tells type, format and surroundings, of wrong ones type and confidence; what doesn't apply is null.
     """
-    place, none = ["doc_id", "entity_type", "start", "stop"], F.lit(None).cast("string")
-    missed = truth.join(predicted.select(*place).distinct(), place, "left_anti").dropDuplicates(place)
-    missed = missed.select(F.lit("FN").alias("error"), "entity_type", format_complexity(_C("entity_type"), _C("entity_value")).alias("format"), context_complexity(_C("context")).alias("around"), none.alias("level"))
-    wrong = predicted.join(truth.select(*place).distinct(), place, "left_anti").groupBy(*place).agg(F.max("confidence").alias("confidence"))
-    wrong = wrong.select(F.lit("FP").alias("error"), "entity_type", none.alias("format"), none.alias("around"), confidence_level(_C("confidence")).alias("level"))
-    return missed.unionByName(wrong).withColumn("category", F.concat_ws("_", "error", "entity_type", "format", "around", "level"))
+    more = [_C(c) for c in (*PLACE, "confidence", "entity_value", "context")]
+    sides = [rows.select(F.lit(p).alias("predicted"), F.lit(not p).alias("true"), *more) for rows, p in ((predicted, True), (truth, False))]
+    return marked_errors(sides[0].unionByName(sides[1]))
+
+
+def marked_errors(rows: DataFrame) -> DataFrame:
+    """``errors`` of one table whose rows tell by ``predicted`` and ``true`` which sides they are of; places meet once.
+
+    A place that isn't wholly known is the same as no other of the other side.
+    """
+    none = F.lit(None).cast("string")
+    whole = F.forall(F.array(*[_C(c).isNull() for c in PLACE]), lambda x: ~x)
+    key = F.when(~whole, _C("predicted")).alias("_side")
+    meant = F.max_by(F.struct("entity_value", "context"), F.when(_C("true"), 1)).alias("x")  # what a place holds is the same in all its rows
+    sums = rows.groupBy(*PLACE, key).agg(F.bool_or("predicted").alias("predicted"), F.bool_or("true").alias("true"), F.max(F.when(_C("predicted"), _C("confidence"))).alias("confidence"), meant)
+    of = lambda missed, other: F.when(_C("true"), missed).otherwise(other)
+    out = sums.where(_C("predicted") != _C("true")).select(
+        of(F.lit("FN"), F.lit("FP")).alias("error"), "entity_type",
+        of(format_complexity(_C("entity_type"), _C("x.entity_value")), none).alias("format"),
+        of(context_complexity(_C("x.context")), none).alias("around"),
+        of(none, confidence_level(_C("confidence"))).alias("level"),
+    )
+    return out.withColumn("category", F.concat_ws("_", "error", "entity_type", "format", "around", "level"))
 
 
 def summaries(rows: DataFrame) -> DataFrame:
@@ -200,8 +220,9 @@ def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in EVALUATED.items() for x in kv]), _C("entity_type")), _C("entity_type"))
     rows = _found(spark, sf_dir).select("doc_id", "text", F.inline("found"))
     rows = rows.withColumns({"entity_type": named, "context": F.substr("text", left + 1, _C("stop") + 20 - left)}).drop("text")
-    predicted = rows.where((_C("source") != "patterns") | _C("entity_type").isin("PERSON", "EMAIL_ADDRESS"))
-    return errors(predicted, rows.where((_C("source") == "patterns") & (_C("entity_type") != "PERSON")))
+    predicted = (_C("source") != "patterns") | _C("entity_type").isin("PERSON", "EMAIL_ADDRESS")
+    true = (_C("source") == "patterns") & (_C("entity_type") != "PERSON")
+    return marked_errors(rows.withColumns({"predicted": predicted, "true": true}).where("predicted or true"))
 
 
 @query(_ERRORS + " select * from summary")
