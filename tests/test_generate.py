@@ -1,7 +1,10 @@
 import numpy as np
+import re
+
 from pyspark.sql import functions as F
 
 from textloom.functions import fakes, vectors
+from textloom.plans import generate
 from textloom.plans.generate import ranked_words
 
 
@@ -49,3 +52,8 @@ def test_search(spark):
     assert ids("cosine") == [(4, 5), (4, 3)]  # a vector without length is like none
     parsed = spark.createDataFrame([("1, 2.5,x",)], "t string").select(vectors.parsed(F.col("t")).alias("v")).first()["v"]
     assert parsed == [1.0, 2.5, None]
+
+
+def test_words_are_counted_where_their_text_comes_to(spark):
+    plan = generate.tfidf_terms(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id#" in plan and not re.search(r"hashpartitioning\(doc_id#\d+L, word#", plan)

@@ -131,7 +131,8 @@ def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three heaviest words of each text by smoothed, normalised TF-IDF over all texts."""
     docs = table(spark, sf_dir, "documents")
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
-    tf = docs.select("doc_id", F.explode(words).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("tf"))
+    # texts move once and are counted where they come to, so that their words needn't
+    tf = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", F.explode(words).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n"))))  # one row
     raw = tf.join(df, "word").select("doc_id", "word", (_C("tf") * (F.log((_C("n") + 1) / (_C("df") + 1)) + 1)).alias("raw"))
     # a text's words meet once: their length and their places are windows over the same partitions
