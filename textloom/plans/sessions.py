@@ -11,6 +11,8 @@ from textloom.sources import mapping, records
 from textloom.sources.scratch import new_folder
 
 _C = F.col
+#: Lines of a part, some, where there are more than a few parts' lines.
+LINES = 10_000
 _ENTRIES = _DISJOINT + """,
 run_on as (select doc_id // 10 as session, doc_id as turn, *, row_number() over (partition by doc_id // 10, entity_type order by doc_id % 2, doc_id, start desc) as number from kept),
 entries as (select *, '${' || entity_type || '_' || lpad(number::varchar, greatest(3, length(number::varchar))::int, '0') || '}' as placeholder, entity_type || '_' || number::varchar as entity_id, sha256(entity_value) as hash_value from run_on)"""
@@ -24,8 +26,11 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _kept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The texts, and the mapping that is kept of them: even turns come first, then all turns."""
-    texts, path = _texts(spark, sf_dir), new_folder(spark, "mapping")
+    """The texts, and the mapping that is kept of them: even turns come first, then all turns.  Entities are found once."""
+    at, path = new_folder(spark, "texts"), new_folder(spark, "mapping")
+    found = _texts(spark, sf_dir)
+    found.write.parquet(at)
+    texts = spark.read.schema(found.schema).parquet(at)
     mapping.keep(spark, path, texts.where("turn % 2 = 0"))
     return texts, mapping.keep(spark, path, texts)
 
@@ -48,11 +53,8 @@ _CUT = ", ".join(f"string_agg(substr(text, before + 1, start - before) || {name}
 def session_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts masked by placeholders, numbered ids and hashes, and each recovered from the kept mapping."""
     texts, kept = _kept(spark, sf_dir)
-    rows = kept.select("turn").distinct()
-    for form in mapping.FORMS:
-        back = mapping.recovered(mapping.masked(texts, kept, form), kept, form)
-        rows = rows.join(back.select("turn", _C("masked").alias(form), _C("text").alias(f"{form}_back")), "turn")
-    return rows
+    back = mapping.recovered_forms(mapping.masked_forms(texts, kept, known=True), kept)
+    return back.select("turn", *[c for form in mapping.FORMS for c in (form, f"{form}_back")])
 
 
 @query("select row_number() over (order by doc_id) - 1 as sample_id, coalesce(text, '') as text, lang as predicted, source as truth from documents")
@@ -62,8 +64,9 @@ def paired_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.struct(_C("lang").alias("entity_value"), F.lit(0).alias("start"), F.lit(1).alias("end"))
     second = F.struct(_C("source").alias("entity_value"), F.lit(0).alias("start_position"), F.lit(1).alias("end_position"))
     sides = {"predicted": (7, F.struct(_C("text").alias("full_text"), F.array(first).alias("spans"))), "truth": (3, F.struct(_C("text"), F.array(second).alias("entities")))}
+    many = -(-docs.count() // LINES)
     for name, (parts, line) in sides.items():
-        rows = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+        rows = docs.repartitionByRange(max(parts, parts * many // 7), "doc_id").sortWithinPartitions("doc_id")
         rows.select(F.to_json(line).alias("value")).write.text(f"{folder}/{name}")
     both = records.paired(*(records.read_labelled(spark, f"{folder}/{name}") for name in sides))
     return both.select("sample_id", "text", *[_C(n)[0]["entity_value"].alias(n) for n in sides])

@@ -7,6 +7,8 @@ places has two numbers.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,25 +78,47 @@ def log(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("session", "entity_type").agg(*counts)
 
 
+def masked_forms(texts: DataFrame, mapping: DataFrame, forms: Sequence[str] = tuple(FORMS), known: bool = False) -> DataFrame:
+    """session, turn and, of each form, the texts with the mapping's names in place of values; texts move once for all forms.
+
+    ``known`` leaves out texts without an entry.
+    """
+    names = [F.expr(FORMS[form][1]).alias(form) for form in forms]
+    marked = mapping.groupBy("session", "turn").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "entity_value", *names))).alias("marked"))
+    rows = texts.select("session", "turn", "text").join(marked, ["session", "turn"], "inner" if known else "left")
+    whole = lambda form: spans.rewritten(F.col("text"), F.col("marked"), lambda s: s[form])
+    return rows.select("session", "turn", *[F.when(F.col("marked").isNull(), F.col("text")).otherwise(whole(form)).alias(form) for form in forms])
+
+
+def recovered_forms(masked_texts: DataFrame, mapping: DataFrame, forms: Sequence[str] = tuple(FORMS)) -> DataFrame:
+    """session, turn and, of each form, the masked text and ``<form>_back``: its names replaced by their values; unknown ones stay.
+
+    A text is read once, so that a value which looks like a name isn't replaced in turn.  The names of all forms meet the mapping together.
+    """
+    hits = {form: F.regexp_extract_all(form, F.lit(FORMS[form][0]), F.lit(0)) for form in forms}
+    names = lambda form: F.transform(F.array_distinct(hits[form]), lambda h: F.struct(F.lit(form).alias("form"), h.alias("name")))
+    asked = F.flatten(F.array(*map(names, forms)))
+    asked = masked_texts.select("session", "turn", F.inline(asked)).distinct()
+    shown = F.array(*[F.struct(F.lit(form).alias("form"), F.expr(FORMS[form][1]).alias("name")) for form in forms])
+    values = mapping.select("session", "entity_value", F.inline(shown)).distinct()
+    of = lambda form: F.map_from_entries(F.collect_list(F.when(F.col("form") == form, F.struct("name", "entity_value")))).alias(f"_{form}")
+    known = asked.join(values, ["session", "form", "name"]).groupBy("session", "turn").agg(*map(of, forms))
+    rows = masked_texts.join(known, ["session", "turn"], "left")
+
+    def back(form: str) -> Column:
+        value = lambda h: F.coalesce(F.try_element_at(F.col(f"_{form}"), h), h)
+        parts = F.zip_with(F.split(form, FORMS[form][0], -1), F.transform(hits[form], value), lambda gap, v: F.concat(gap, F.coalesce(v, F.lit(""))))
+        return F.array_join(parts, "").alias(f"{form}_back")
+
+    return rows.select("session", "turn", *[c for form in forms for c in (F.col(form), back(form))])
+
+
 def masked(texts: DataFrame, mapping: DataFrame, form: str = "placeholder") -> DataFrame:
     """session, turn, masked: texts with the mapping's names in the form given in place of values."""
-    marked = F.array_sort(F.collect_list(F.struct("start", "stop", "entity_value", F.expr(FORMS[form][1]).alias("placeholder"))))
-    rows = texts.select("session", "turn", "text").join(mapping.groupBy("session", "turn").agg(marked.alias("marked")), ["session", "turn"], "left")
-    none = F.array().cast("array<struct<start:int,stop:int,entity_value:string,placeholder:string>>")
-    return rows.select("session", "turn", spans.splice(F.col("text"), F.coalesce("marked", none)).alias("masked"))
+    return masked_forms(texts, mapping, [form]).withColumnRenamed(form, "masked")
 
 
 def recovered(masked_texts: DataFrame, mapping: DataFrame, form: str = "placeholder") -> DataFrame:
-    """session, turn, masked, text: the names of the form replaced by their values; unknown ones stay.
-
-    A text is read once, so that a value which looks like a name isn't replaced in turn.
-    """
-    pattern, name = FORMS[form]
-    hits = F.regexp_extract_all("masked", F.lit(pattern), F.lit(0))
-    asked = masked_texts.select("session", "turn", F.explode(F.array_distinct(hits)).alias("name")).distinct()
-    values = mapping.select("session", F.expr(name).alias("name"), "entity_value").distinct()
-    known = asked.join(values, ["session", "name"]).groupBy("session", "turn").agg(F.map_from_entries(F.collect_list(F.struct("name", "entity_value"))).alias("known"))
-    rows = masked_texts.join(known, ["session", "turn"], "left").withColumn("hits", hits)
-    value = lambda h: F.coalesce(F.try_element_at(F.col("known"), h), h)
-    parts = F.zip_with(F.split("masked", pattern, -1), F.transform("hits", value), lambda gap, v: F.concat(gap, F.coalesce(v, F.lit(""))))
-    return rows.select("session", "turn", "masked", F.array_join(parts, "").alias("text"))
+    """session, turn, masked, text: the names of the form replaced by their values; unknown ones stay."""
+    rows = recovered_forms(masked_texts.select("session", "turn", F.col("masked").alias(form)), mapping, [form])
+    return rows.select("session", "turn", F.col(form).alias("masked"), F.col(f"{form}_back").alias("text"))
