@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import passages
+from textloom.functions.batches import BATCH
 from textloom.functions.chunks import recursive_chunks
+from textloom.plans import passages as plans
 
 
 def text_of(seed, n=900):
@@ -85,3 +87,12 @@ def test_recursive_chunks_against_a_plain_version(seed):
             run += "".join(plain[at].split())
             at += 1
         assert run == inked
+
+
+@pytest.mark.parametrize("name", ["chunk_sentences", "chunk_sized", "chunk_paragraphs", "chunked_spans", "chunk_recursive"])
+def test_texts_go_to_python_in_small_batches(spark, name):
+    """A batch is bounded in bytes, so that a worker's memory doesn't grow with the rows of a task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    getattr(plans, name)(spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get(key)) == BATCH

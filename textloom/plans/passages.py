@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import passages, spans
+from textloom.functions.batches import small_batches
 from textloom.functions.chunks import chunks
 from textloom.plans.catalog import query, said, table
 
@@ -30,8 +31,14 @@ _TAIL = f"case when a.held = '' then '' when position(' ' in right(a.held, {OVER
 _SHORT = rf"select doc_id, 0 as chunk_index, text as chunk from documents where length(text) <= {SIZE} and regexp_matches(text, '[^ \t\n\r\f\x0B]')"
 
 
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, which go to Python in small batches."""
+    small_batches(spark)
+    return table(spark, sf_dir, "documents")
+
+
 def _long(spark: SparkSession, sf_dir: str, way: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.inline(passages.chunked(F.col("text"), way, SIZE, OVERLAP)))
+    rows = _docs(spark, sf_dir).select("doc_id", F.inline(passages.chunked(F.col("text"), way, SIZE, OVERLAP)))
     return rows
 
 
@@ -69,7 +76,7 @@ select doc_id, count(*) as n, max(length(chunk))::int as longest, sha256(string_
 def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines taken for paragraphs, as many as fit, of all longer texts; a line too long is cut by size."""
     text = F.replace("text", F.lit("\n"), F.lit("\n\n"))
-    rows = table(spark, sf_dir, "documents").where(F.length("text") > SIZE).select("doc_id", passages.chunked(text, "paragraph", SIZE, OVERLAP).alias("c")).where("size(c) > 0")
+    rows = _docs(spark, sf_dir).where(F.length("text") > SIZE).select("doc_id", passages.chunked(text, "paragraph", SIZE, OVERLAP).alias("c")).where("size(c) > 0")
     return rows.select("doc_id", F.size("c").cast("long").alias("n"), F.array_max(F.transform("c.chunk", F.length)).alias("longest"), F.sha2(F.array_join("c.chunk", "\x1e"), 256).alias("digest"))
 
 
@@ -104,7 +111,7 @@ folded as (select doc_id, len(l) as n_found, list_reduce(l, lambda m, x: case wh
 select doc_id, s.t as entity_type, s.a::int as start, s.b::int as stop, substr(text, s.a + 1, s.b - s.a) as entity_value, n_found::int as n_found, len(kept)::int as n_kept from (select doc_id, n_found, kept, unnest(kept) as s from folded) join documents using (doc_id)""")
 def chunked_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of all types found chunk by chunk, moved to their places and merged, with their numbers before and after; all in the row."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", passages.chunked(F.col("text"), "size", SIZE, OVERLAP).alias("chunks"))
+    rows = _docs(spark, sf_dir).select("doc_id", passages.chunked(F.col("text"), "size", SIZE, OVERLAP).alias("chunks"))
     found = F.flatten(F.transform("chunks", lambda c: passages.shifted(spans.find_all(c["chunk"]), c)))
     rows = rows.select("doc_id", found.alias("found")).select("doc_id", F.size("found").alias("n_found"), passages.merge_chunks(F.col("found")).alias("kept"))
     return rows.select("doc_id", "n_found", F.size("kept").alias("n_kept"), F.inline("kept")).drop("confidence", "repeated")
@@ -113,5 +120,5 @@ def chunked_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recursive chunks of 500, in order; held against a plain version in the tests."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks(F.col("text"), 500)).alias("chunk_index", "chunk"))
+    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(chunks(F.col("text"), 500)).alias("chunk_index", "chunk"))
     return rows
