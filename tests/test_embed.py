@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from textloom.functions import embed, exams, vectors
+from textloom.functions.batches import BATCH
 from textloom.plans import ranking
 
 
@@ -51,3 +52,10 @@ def test_category_accuracy(spark):
 def test_no_answers(spark):
     answers = spark.createDataFrame([], "subject string, right boolean")
     assert exams.category_accuracy(answers, spark.createDataFrame([], "subject string, category string, place int")).count() == 0
+
+
+def test_texts_go_to_the_encoder_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    ranking.text_vectors(spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get(key)) == BATCH
