@@ -419,3 +419,23 @@ def test_classifier_counts_all_trusted_texts(spark, monkeypatch):
     docs = spark.range(12_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
     perplexity.train(docs, docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))).release()
     assert counted == [12_500]
+
+
+@pytest.mark.parametrize("sent", [perplexity.SENT, 2])
+def test_trusted_texts_are_counted_where_they_stand(spark, monkeypatch, sent):
+    """Ids too many for Spark's own broadcast move no text; more than ``SENT`` give the same rows by a join."""
+    monkeypatch.setattr(perplexity, "SENT", sent)
+    docs = spark.createDataFrame([(k, f"text {k}") for k in (-5, 0, 3, 3, 4, 1 << 40, None)], "doc_id long, text string")
+    known = spark.createDataFrame([(k,) for k in (1 << 40, 3, -5, 99)], "doc_id long")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, -1)
+    try:
+        rows, free = perplexity.of_trusted(docs, known)
+        assert ("Exchange" in rows._jdf.queryExecution().executedPlan().toString()) == (sent == 2)
+        assert sorted(r["doc_id"] for r in rows.collect()) == [-5, 3, 3, 1 << 40]
+        free()
+        none, free = perplexity.of_trusted(docs, known.limit(0))
+        assert none.count() == 0
+        free()
+    finally:
+        spark.conf.unset(key)
