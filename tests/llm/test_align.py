@@ -91,3 +91,19 @@ def test_pieces_encode_like_the_model():
     for _ in range(2):
         bounds, ids = own.encode(pa.array([" " + t for t in texts]))
         assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == model.encode(texts)
+
+
+def test_texts_are_lined_up_a_row_each(docs, rows):
+    """Every text is one row with its groups and links, and no token passes an interpreted function of Spark's."""
+    lined = align.alignments(docs, A, B, 100_000)
+    plan = lined.select(align._digest(lined["groups"]), "pairs")._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and "zip_with" not in plan
+    own = lined.collect()
+    assert len(own) == len(rows) and sum(r["n_groups"] > 0 for r in own) > 10
+    for r in own:
+        groups = [[x.split(",") for x in g.split("|")] for g in ",".join(map(str, r["groups"])).replace(",-1,", "|").split(",-2,")] if r["groups"] else []
+        assert len(groups) == r["n_groups"] and len(r["pairs"]) == r["n_a"] + r["n_b"] - r["n_groups"]
+        assert [sum(len(g[k]) for g in groups) for k in (0, 1)] == [r["n_a"], r["n_b"]]
+        for k in (0, 1):
+            ids = {int(i) for g in groups for i in g[k]}
+            assert {divmod(p, 100_000)[k] for p in r["pairs"]} == ids  # every token has a link

@@ -1,15 +1,15 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers cover the same bytes.
 
-Python only tokenises: a text's ids and the byte offsets where its tokens end, for both sides.  The
-rest are Spark's array functions in the row.
+Tasks tokenise texts and line up both sides by the byte offsets where tokens end, a piece of some
+1 MB at a time by arrays over its bytes; Spark does the rest.
 
-* Groups.  ``array_intersect`` of the ends gives the offsets where tokens of both sides end.  A
-  side's tokens and these offsets are sorted as one sequence, in which an offset closes a group.
+* Groups.  They end at the offsets where tokens of both sides end.  A text's ids come by group as
+  one array of numbers, with marks between sides and groups; Spark makes its text and digest.
 * Links.  Two tokens overlap in the bytes between two neighbouring ends of either side, and in one
   such stretch only, so the distinct ends of both sides are the links; the tokens are those of the
   stretch's last byte.  Both steps are linear in a text's bytes, however long its groups.
 
-Links are counted by pair of ids over the corpus, then each text's links look up their counts: by
+Links are exploded and counted by pair of ids over the corpus, then each text's links look up their counts: by
 broadcast for up to ``SENT`` pairs, else by broadcast for the pairs that stand for more than one
 of ``COMMON`` links and by a join of (text, pair) counts for the rest.
 
@@ -36,8 +36,8 @@ from textloom.llm.words import CACHES, pieces, raw
 
 SENT, COMMON = 1_000_000, 1000
 _BLANK = "▁"
-#: Above every id; a key of a group's end in a sequence of tokens.
-_END = (1 << 20) - 1
+#: What stands between a group's sides and between groups among their ids.
+_OTHER, _NEXT = -1, -2
 _OPEN: dict[str, Side] = {}
 CACHES.append(_OPEN.clear)
 
@@ -131,19 +131,38 @@ def side(path: str) -> Side:
     return _OPEN[path]
 
 
-def tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """doc_id, and for both tokenizers the ids and end offsets (a, a_ends, b, b_ends) of each text's tokens."""
+def _marked(ends: np.ndarray, total: int) -> np.ndarray:
+    """Whether a token ends at each offset."""
+    out = np.zeros(total + 1, bool)
+    out[ends] = True
+    return out
+
+
+def _laid_out(ids: list[np.ndarray], upto: list[np.ndarray], closing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both sides' ids by group, with ``_OTHER`` between sides and ``_NEXT`` after groups but those ``closing`` a text; and where each group ends.
+
+    ``upto``: for both sides the tokens up to each group's end.
+    """
+    before = [np.concatenate([[0], u[:-1]]) for u in upto]
+    marks = 2 * np.arange(len(closing))
+    out = np.empty(len(ids[0]) + len(ids[1]) + 2 * len(closing), np.int32)
+    out[np.arange(len(ids[0])) + np.repeat(before[1] + marks, upto[0] - before[0])] = ids[0]
+    out[np.arange(len(ids[1])) + np.repeat(upto[0] + marks + 1, upto[1] - before[1])] = ids[1]
+    out[upto[0] + before[1] + marks] = _OTHER
+    last = upto[0] + upto[1] + marks + 1
+    out[last] = _NEXT
+    kept = np.ones(len(out), bool)
+    kept[last[closing]] = False
+    return out[kept], last + 1 - np.cumsum(closing)
+
+
+def alignments(docs: DataFrame, a_path: str, b_path: str, factor: int, kind: str = "long") -> DataFrame:
+    """doc_id, n_a, n_b, n_groups of each text, its groups as numbers, and its links as pairs (``a * factor + b``)."""
     small_batches(docs.sparkSession)
+    wide = np.int32 if kind == "int" else np.int64
 
-    def lists(side: tuple, good: np.ndarray) -> list[pa.Array]:
-        """Ids and ends by text, none for texts that aren't ``good``."""
-        bounds, ids, ends, _ = side
-        counts = np.diff(bounds)
-        keep = np.repeat(good, counts)
-        before = np.concatenate([[0], ends])[bounds[:-1]]
-        at = pa.array(np.concatenate([[0], np.cumsum(np.where(good, counts, 0))]).astype(np.int32))
-        own = (ends - np.repeat(before, counts))[keep]
-        return [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (ids[keep], own)]
+    def lists(bounds: np.ndarray, values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 20, keep=True):
@@ -157,57 +176,42 @@ def tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 at = np.concatenate([[0], ends])[bounds]
                 if len(joined) != len(data) or not np.array_equal(joined, data) or not np.array_equal(at, where):
                     good &= [np.array_equal(joined[at[k] : at[k + 1]], data[where[k] : where[k + 1]]) for k in range(len(good))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists(both[0], good), *lists(both[1], good)], ["doc_id", "a", "a_ends", "b", "b_ends"])
+            # from here on the texts that aren't good have no bytes
+            stops = np.cumsum(np.where(good, np.diff(where), 0))
+            counts = [np.where(good, np.diff(bounds), 0) for bounds, *_ in both]
+            ids = [own[np.repeat(good, np.diff(bounds))].astype(np.int32) for bounds, own, *_ in both]
+            ends = [_marked(np.cumsum(side(p).lengths[own]), stops[-1]) for p, own in zip((a_path, b_path), ids, strict=True)]
+            done = [np.cumsum(e) for e in ends]  # tokens that end up to each offset
+            shared, either = np.flatnonzero(ends[0] & ends[1]), np.flatnonzero(ends[0] | ends[1])
+            # the tokens of the last byte before an end are those that overlap there
+            a, b = (own[d[either - 1]] for own, d in zip(ids, done, strict=True))
+            groups, closed = _laid_out(ids, [d[shared] for d in done], np.isin(shared, stops))
+            n_groups = np.searchsorted(shared, stops, "right")
+            columns = [batch.column("doc_id"), *(pa.array(c.astype(np.int64)) for c in (*counts, np.diff(n_groups, prepend=0)))]
+            columns.append(lists(np.concatenate([[0], closed])[np.concatenate([[0], n_groups])], groups))
+            columns.append(lists(np.concatenate([[0], np.searchsorted(either, stops, "right")]), a.astype(wide) * wide(factor) + b))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_groups", "groups", "pairs"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(task, "doc_id long, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>")
-
+    return rows.mapInArrow(task, f"doc_id long, n_a long, n_b long, n_groups long, groups array<int>, pairs array<{kind}>")
 
-def _grouped(ids: str, ends: str) -> Column:
-    """A side's groups as strings of ids; ``_END`` stands after each group but the last."""
-    own = F.zip_with(ids, ends, lambda i, e: F.shiftleft(e.cast("long"), 20) + i)
-    inner = F.slice("shared", 1, F.greatest(F.size("shared") - 1, F.lit(0)))
-    closing = F.transform(inner, lambda e: F.shiftleft(e.cast("long"), 20) + _END)
-    keys = F.sort_array(F.concat(own, closing))
-    parts = F.array_join(F.transform(keys, lambda k: k.bitwiseAND(_END)).cast("array<string>"), ",")
-    return F.split(F.replace(parts, F.lit(f",{_END},"), F.lit(";")), ";")
 
-
-def _by_byte(ends: str) -> Column:
-    """The place in its text of the token that covers each byte."""
-    return F.flatten(F.transform(ends, lambda e, k: F.array_repeat(k, e - F.coalesce(F.get(F.col(ends), k - 1), F.lit(0)))))
-
-
-def linked(tokenised: DataFrame, factor: int, kind: str = "long") -> DataFrame:
-    """Of rows of ``tokens`` their links, one a row: row, pair (``a * factor + b``; null without tokens).
-
-    A row's first link carries doc_id, n_a, n_b, n_groups, n_links and groups.
-    """
-    shared = tokenised.withColumn("shared", F.array_intersect("a_ends", "b_ends"))
-    groups = F.zip_with(_grouped("a", "a_ends"), _grouped("b", "b_ends"), lambda x, y: F.concat(x, F.lit("|"), y))
-    text = F.when(F.size("a") > 0, F.array_join(groups, ";")).otherwise("")
-    sizes = [F.size(c).cast("long").alias(n) for c, n in (("a", "n_a"), ("b", "n_b"), ("shared", "n_groups"))]
-    n_links = (F.size("a") + F.size("b") - F.size("shared")).cast("long").alias("n_links")
-    facts = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups"]
-    spread = shared.select(F.monotonically_increasing_id().alias("row"), "doc_id", *sizes, n_links, text.alias("groups"), "a", "b", _by_byte("a_ends").alias("a_at"), _by_byte("b_ends").alias("b_at"), F.concat("a_ends", "b_ends").alias("ends"))
-    each = spread.select("row", *facts, "a", "b", "a_at", "b_at", F.posexplode_outer("ends").alias("k", "e"))
-    # an end of both sides counts once, as one of a's
-    inside = F.get("a_at", F.col("e")).eqNullSafe(F.get("a_at", F.col("e") - 1))
-    each = each.where(F.col("k").isNull() | (F.col("k") < F.col("n_a")) | inside)
-    last = [F.get(side, F.get(at, F.col("e") - 1)).cast(kind) for side, at in (("a", "a_at"), ("b", "b_at"))]
-    first = [F.when(F.coalesce(F.col("k"), F.lit(0)) == 0, F.col(c)).alias(c) for c in facts]
-    return each.select("row", (last[0] * F.lit(factor).cast(kind) + last[1]).alias("pair"), *first)
+def _digest(groups: Column) -> Column:
+    """Digest of a text's groups as text, '' without any."""
+    text = F.array_join(groups.cast("array<string>"), ",")
+    for mark, sign in ((_OTHER, "|"), (_NEXT, ";")):
+        text = F.replace(text, F.lit(f",{mark},"), F.lit(sign))
+    return F.when(F.size(groups) == 0, "").otherwise(F.sha2(text, 256))
 
 
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each text of ``docs`` (doc_id, text)."""
     n_a, factor = (len(Side(p).lengths) for p in (a_path, b_path))
     kind = "int" if n_a * factor < 1 << 31 else "long"
-    rows = linked(tokens(docs, a_path, b_path), factor, kind)
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
-    facts = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links"]
-    table, drop = temporary(rows.select(*facts, digest, "pair"), "links", compression="zstd", **{"parquet.dictionary.page.size": str(4 << 20)})
-    links = table.select("row", "pair").where("pair is not null")
+    facts = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+    rows = alignments(docs, a_path, b_path, factor, kind).withColumns({"row": F.monotonically_increasing_id(), "n_links": F.size("pairs").cast("long"), "groups_sha256": _digest(F.col("groups"))})
+    table, drop = temporary(rows.select(*facts, "pairs"), "links", compression="zstd", **{"parquet.dictionary.page.size": str(4 << 20)})
+    links = table.select("row", F.explode("pairs").alias("pair"))
     by_b = Window.partitionBy(F.col("pair") % factor)  # at most one row an A id
     counts = links.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
     counts = small(counts.select("pair", "n", (F.col("n") == F.max("n").over(by_b)).alias("best")))
@@ -221,8 +225,8 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         often = one.join(common, "pair")
         rest = one.join(common, "pair", "left_anti").groupBy("row", "pair").agg(F.sum("m").alias("m")).join(counts, "pair")
         found = often.select("row", "m", "n", "best").unionByName(rest.select("row", "m", "n", "best")).groupBy("row").agg(*sums)
-    out = table.where("n_a is not null").select(*facts, "groups_sha256").join(found, "row", "left")
+    out = table.select(*facts).join(found, "row", "left")
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_best", "count_sum")]
-    out = small(out.select(*facts[1:], *zero, "groups_sha256"))
+    out = small(out.select(*facts[1:-1], *zero, "groups_sha256"))
     drop()
     return out
