@@ -59,3 +59,17 @@ def test_texts_go_to_the_encoder_in_small_batches(spark):
     spark.conf.unset(key)
     ranking.text_vectors(spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get(key)) == BATCH
+
+
+def test_a_worker_holds_few_long_texts_at_once(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    ranking.text_vectors(spark, "/root/testdata/sf0.001")
+    texts = spark.range(0, 24, 1, 1).select(F.repeat(F.lit("word "), 200_000).alias("t"))
+    held = lambda: lambda texts: np.full((len(texts), 1), float(sum(map(len, texts))))
+    got = [r["v"][0] for r in texts.select(embed.embedded(F.col("t"), held, batch=1000).alias("v")).collect()]
+    assert len(got) == 24 and max(got) <= BATCH + 1_000_000  # a limit is met by the text that passes it
+
+
+def test_texts_are_encoded_once(spark):
+    plan = ranking.text_vectors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1

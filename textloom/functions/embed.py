@@ -56,7 +56,7 @@ def embedded(text: Column, encode: Callable[[], Callable[[list[str]], np.ndarray
                     out[k] = v
             yield pd.Series(out)
 
-    return each(text)
+    return each.asNondeterministic()(text)  # else Spark copies it into the filter that it infers from an explode, and encodes twice
 
 
 def page(rows: DataFrame, queries: DataFrame, number: int, size: int, measure: str = "cosine") -> DataFrame:
