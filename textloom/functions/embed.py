@@ -3,38 +3,56 @@
 from __future__ import annotations
 
 import hashlib
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import vectors
 
-_WORD = re.compile("[a-z0-9]+")
-_LOWER = {k: k + 32 for k in range(65, 91)}
+#: What stands for each byte of a text: A-Z lower-cased, a space for what belongs to no word (all bytes of letters beyond ASCII too).
+_BYTES = bytes(ord(c.lower()) if (c := chr(k)).isascii() and c.isalnum() else 32 for k in range(256))
 #: Dimensions of ``hashed``: two hexadecimal digits of a word's digest.
 DIMS = 256
+#: Words whose places a worker remembers.
+_KNOWN = 1 << 19
 
 
-@lru_cache(1 << 16)
-def _place(word: str) -> tuple[int, float]:
-    digest = hashlib.md5(word.encode()).hexdigest()
-    return int(digest[:2], 16), -1.0 if int(digest[2], 16) >= 8 else 1.0
+class _Places(dict[bytes, int]):
+    """Twice a word's place, and one if it counts down."""
+
+    def __missing__(self, word: bytes) -> int:
+        digest = hashlib.md5(word).hexdigest()
+        if len(self) >= _KNOWN:
+            self.clear()
+        self[word] = place = int(digest[:2], 16) * 2 + (digest[2] >= "8")
+        return place
+
+
+_PLACES = _Places()
 
 
 def hashed(texts: list[str]) -> np.ndarray:
     """Signed counts of a text's words (a-z and 0-9, A-Z lower-cased) in ``DIMS`` places: the digest's first two digits name it, the third the sign."""
-    out = np.zeros((len(texts), DIMS))
-    for row, text in zip(out, texts, strict=True):
-        for word, n in Counter(_WORD.findall(text.translate(_LOWER))).items():
-            place, sign = _place(word)
-            row[place] += sign * n
-    return out
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    first = np.cumsum([0, *(len(t) + 1 for t in raw)])[:-1]
+    said = np.frombuffer(b" ".join(raw).translate(_BYTES), np.uint8)
+    inside = said != 32
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    begin, end = edges[::2], edges[1::2]
+    buffers = [None, pa.py_buffer(np.append(0, np.cumsum(end - begin))), pa.py_buffer(said[inside])]
+    words = pa.Array.from_buffers(pa.large_binary(), len(begin), buffers).dictionary_encode()  # words stay in Arrow, each is looked up once
+    if not len(words):
+        return np.zeros((len(texts), DIMS))
+    cuts, known = np.frombuffer(words.dictionary.buffers()[1], np.int64)[: len(words.dictionary) + 1].tolist(), words.dictionary.buffers()[2].to_pybytes()
+    place = np.fromiter((_PLACES[known[a:b]] for a, b in pairwise(cuts)), np.int64, len(words.dictionary))
+    of = np.searchsorted(first, begin, side="right") - 1
+    n = np.bincount(of * (2 * DIMS) + place[words.indices.to_numpy()], minlength=len(texts) * 2 * DIMS).reshape(len(texts), DIMS, 2)
+    return (n[:, :, 0] - n[:, :, 1]).astype(float)
 
 
 def embedded(text: Column, encode: Callable[[], Callable[[list[str]], np.ndarray]] = lambda: hashed, batch: int = 32, before: str = "") -> Column:

@@ -77,7 +77,7 @@ _HASHED = f"select doc_id, {_HEX.format('h[1]')} * 16 + {_HEX.format('h[2]')} as
 def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed vectors of all texts, the places that aren't zero."""
     small_batches(spark)
-    rows = table(spark, sf_dir, "documents").select("doc_id", embed.embedded(F.col("text")).alias("v"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", embed.embedded(F.col("text"), batch=1024).alias("v"))
     return rows.select("doc_id", F.posexplode("v").alias("place", "weight")).where("weight <> 0")
 
 
@@ -87,7 +87,7 @@ s as (select q.doc_id as query_id, r.doc_id as vec_id, list_dot_product(q.v, r.v
 select query_id, vec_id, round(score, 9) as similarity, row_number() over (partition by query_id order by score desc, vec_id) as rank from s qualify rank between 6 and 10""")
 def passage_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of five texts for every text whose id is divisible by 20, by hashed vectors."""
-    path, vectors = new_folder(spark, "vectors"), embed.embedded(F.col("text"))
+    path, vectors = new_folder(spark, "vectors"), embed.embedded(F.col("text"), batch=1024)
     small_batches(spark)
     table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), vectors.alias("v")).write.parquet(path)  # texts are encoded once, not for each block of queries
     rows = spark.read.schema("vec_id long, v array<double>").parquet(path)
